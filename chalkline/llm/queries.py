@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chalkline.llm import pii, quality, secrets
 from chalkline.llm.packing import pack
 from chalkline.llm.paths import tokenizer_path
 from chalkline.session import table
@@ -24,6 +26,66 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of documents; counts and digest are of the base spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_pii(docs).drop("text")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    counts = [F.size(F.expr(f"filter(pii_spans, s -> s.base and s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans")
+    )
+
+
+@query(
+    "op3_quality",
+    r"""
+WITH g AS MATERIALIZED (
+  SELECT doc_id, t, words, len(words) AS n, row_number() OVER () AS row,
+         list_transform(range(1, greatest(len(words) - 1, 1)), lambda i: [words[i], words[i + 1], words[i + 2]]) AS tri,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+p AS (SELECT row, i, tri[i] AS win FROM (SELECT row, tri, unnest(range(1, len(tri) + 1)) AS i FROM g)),
+c AS (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS times FROM p),
+r AS (SELECT row, count(DISTINCT i + k) AS n_repeat FROM c, (VALUES (0), (1), (2)) v(k) WHERE times > 1 GROUP BY row),
+m AS (
+  SELECT doc_id, t, n AS n_words, length(array_to_string(words, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words
+  FROM g LEFT JOIN r USING (row))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.5 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 2 * n_dup_lines > len(string_split(t, chr(10)))
+            OR 3 * len(regexp_extract_all(t, '\p{Lu}')) > 2 * word_chars
+            OR 2 * len(regexp_extract_all(t, '!+')) > n_words) AS kept
+FROM m
+""",
+)
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and the cascade's verdict for every text of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of documents; counts and digest are of the base rules' spans."""
+    versions = secrets.versions_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.findings_by_path(versions, secrets.scan_unseen(versions))
+    none = F.array().cast("array<struct<start:bigint,rank:int,rule:string,end:bigint>>")
+    found = found.withColumn("findings", F.coalesce("findings", none))
+    base = F.filter("findings", lambda s: s["rank"] < len(secrets.BASE))
+    counts = [F.size(F.expr(f"filter(findings, s -> s.rule = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select(
+        F.col("path").alias("doc_id"), *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans")
+    )
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
