@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import pii, quality, secrets
+from chalkline.llm.jaccard import jaccard_join
 from chalkline.llm.packing import pack
 from chalkline.llm.paths import tokenizer_path
 from chalkline.session import table
@@ -38,6 +39,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, at similarity 0.8 of five-word sets."""
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op3_quality",
     r"""
