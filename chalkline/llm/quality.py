@@ -120,6 +120,9 @@ def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RUL
     cascade = F
     for rule in ordered:
         cascade = cascade.when(F.expr(rule.rejects.format(t=f"`{text}`")), False)
-    return measured(docs, text).withColumns(
+    judged = measured(docs, text).withColumns(
         {"base_failed": F.expr(" or ".join(f"({r.rejects})" for r in base)), "kept": cascade.otherwise(True)}
     )
+    # a generator of one row: without it a filter on a result would go below the measures it is made of
+    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*[c for c in judged.columns if c not in results], F.inline(F.array(F.struct(*results))))
