@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, pii, quality, rollup, secrets, urls
+from chalkline.llm import decontaminate, perplexity, pii, quality, rollup, secrets, urls
 from chalkline.llm.jaccard import jaccard_join
 from chalkline.llm.packing import pack
 from chalkline.llm.paths import tokenizer_path
@@ -138,3 +138,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL by the registered rules."""
     rules = spark.createDataFrame(urls.RULES, "rule_host string, rule_path string, action string")
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and the verdict of its language's threshold."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return perplexity.classify(table(spark, sf_dir, "documents"), trusted)
