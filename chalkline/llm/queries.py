@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, perplexity, pii, quality, rollup, secrets, urls
+from chalkline.llm import decontaminate, licenses, perplexity, pii, quality, rollup, secrets, urls
 from chalkline.llm.jaccard import jaccard_join
 from chalkline.llm.packing import pack
 from chalkline.llm.paths import tokenizer_path
@@ -145,3 +145,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text, and the verdict of its language's threshold."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     return perplexity.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in the paragraphs of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
