@@ -138,7 +138,7 @@ def section_concept(title: Column) -> Column:
 
 def slash_terms(term: Column) -> Column:
     """Parts of a term joined by slashes; empty unless two at least can stand alone."""
-    parts = F.filter(F.transform(F.split(term, "/"), F.trim), lambda p: (F.length(p) >= 2) & ~p.rlike(r"^\d+차$"))
+    parts = F.filter(F.transform(F.split(term, "/"), lambda x: F.trim(x)), lambda p: (F.length(p) >= 2) & ~p.rlike(r"^\d+차$"))
     return F.when(F.size(parts) >= 2, parts).otherwise(F.array().cast("array<string>"))
 
 
@@ -146,7 +146,7 @@ def paren_term(term: Column) -> Column:
     """struct(ko, english array) of "term(a, b)"."""
     inside = F.regexp_extract(term, r"^\s*([^(]+?)\s*\(([^)]*)\)", 2)
     ko = F.regexp_extract(term, r"^\s*([^(]+?)\s*(\(|$)", 1)
-    return F.struct(ko.alias("ko"), F.filter(F.transform(F.split(inside, ","), F.trim), lambda x: x != "").alias("english"))
+    return F.struct(ko.alias("ko"), F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "").alias("english"))
 
 
 def repaired_filename(name: Column) -> Column:

@@ -13,7 +13,7 @@ MIN_SLIDE_CHARS, SECTION_TOKENS, OVERLAP_TOKENS = 50, 500, 50
 
 def clean_lines(text: Column, drop: tuple[str, ...] = (), drop_single: bool = False) -> Column:
     """Trimmed lines without blank, punctuation-only and dropped ones."""
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x))
 
     def kept(line: Column) -> Column:
         ok = (line != "") & line.rlike(r"[\p{L}\p{N}]")
