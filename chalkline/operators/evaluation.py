@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CUTOFFS = (1, 3, 5)
 
@@ -87,3 +88,29 @@ def pseudo_confidence(logprobs: Column) -> Column:
     total = F.aggregate(logprobs, F.lit(0.0), lambda a, x: a + x)
     mean = F.when(F.size(logprobs) > 0, total / F.size(logprobs))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(mean))) * F.when(mean.isNotNull(), 1.0)
+
+
+@F.arrow_udf(T.LongType())
+def word_distance(reference, heard):
+    """Edits between two lists of words."""
+    import numpy as np
+    import pyarrow as pa
+
+    def edits(a: list[str], b: list[str]) -> int:
+        known: dict[str, int] = {}
+        x = np.array([known.setdefault(w, len(known)) for w in a], np.int64)
+        y = np.array([known.setdefault(w, len(known)) for w in b], np.int64)
+        row = np.arange(len(y) + 1)
+        for i, w in enumerate(x, 1):
+            best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+            new = np.concatenate([[i], best])
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))  # insertions run on
+        return int(row[-1])
+
+    pairs = zip(reference.to_pylist(), heard.to_pylist())
+    return pa.array([None if a is None or b is None else edits(a, b) for a, b in pairs], pa.int64())
+
+
+def word_error_rate(reference: Column, heard: Column) -> Column:
+    """Edits for each reference word, of two word lists."""
+    return error_rate(word_distance(reference, heard), F.size(reference), F.size(heard))

@@ -186,3 +186,13 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each source and language."""
     d = table(spark, sf_dir, "documents")
     return ordered.first_wins(d, F.concat_ws("|", "source", "lang"), ["doc_id"]).select("source", "lang", "doc_id")
+
+
+@query("speech_word_errors")
+def speech_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word error rate of each passage against the next one."""
+    b = table(spark, sf_dir, "benchmark")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("heard"))
+    words = lambda c: text.compared_words(text.nfc(c))
+    p = b.join(other, "item_id").select("item_id", words("text").alias("r"), words("heard").alias("h"))
+    return p.select("item_id", F.size("r").cast("long").alias("n_words"), F.round(evaluation.word_error_rate(F.col("r"), F.col("h")), 6).alias("wer"))
