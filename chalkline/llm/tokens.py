@@ -32,9 +32,10 @@ class _Codes(dict):
 
 
 class WordIds:
-    """Ids of whole texts; ``max_chunks`` bounds the cache, which starts anew when full."""
+    """Ids of whole texts; ``max_chunks`` bounds the cache: the chunks met first stay, later ones are
+    worked out for the texts at hand and forgotten."""
 
-    def __init__(self, path: str, max_chunks: int = 1_500_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 700_000, max_words: int = 150_000) -> None:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -43,11 +44,9 @@ class WordIds:
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(PRE_TOKEN)
-        self.max_chunks = max_chunks
-        self._clear()
-
-    def _clear(self) -> None:
+        self.max_chunks, self.max_words = max_chunks, max_words
         self.codes = _Codes()
+        self.passing: list[str] = []
         self.pretokens: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
@@ -57,7 +56,7 @@ class WordIds:
 
     def _learn(self) -> None:
         fresh, self.codes.fresh = self.codes.fresh, []
-        split, known, odd, words = [], self.pretokens, {}, set()
+        known, split, odd, words = self.pretokens, [], {}, set()
         for chunk in fresh:
             if "<|" in chunk or (not chunk.isascii() and ord(max(chunk)) >= PLAIN_BELOW):
                 odd[chunk] = None
@@ -90,10 +89,21 @@ class WordIds:
         self.starts[self.n : self.n + len(fresh)] = self.used + np.cumsum(lens) - lens
         self.used += len(ids)
         self.n += len(fresh)
+        if len(known) > self.max_words:
+            for word in words:
+                del known[word]
+        if len(self.codes) > self.max_chunks:
+            self.passing = fresh
+
+    def _forget(self) -> None:
+        for chunk in self.passing:
+            del self.codes[chunk]
+        self.n -= len(self.passing)
+        self.used = int(self.starts[self.n]) if self.passing else self.used
+        self.passing = []
 
     def _coded(self, texts: Iterable[str]) -> list[np.ndarray]:
-        if len(self.codes) > self.max_chunks:
-            self._clear()
+        self._forget()
         code = self.codes.__getitem__
         coded = []
         for text in texts:
