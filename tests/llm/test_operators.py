@@ -283,7 +283,9 @@ def plain_model(texts):
     return p, cont
 
 
-def test_perplexity_equals_plain_model(spark):
+@pytest.mark.parametrize("head", [0, 40, perplexity.HEAD_GRAMS])
+def test_perplexity_equals_plain_model(spark, monkeypatch, head):
+    monkeypatch.setattr(perplexity, "HEAD_GRAMS", head)
     rng = random.Random(4)
     texts = [sentence(rng, 120, 40) for _ in range(60)] + [None, "", "tail " * 400, "Q q q zz!!"]
     df = docs_of(spark, texts)
