@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from chalkline.llm.jaccard import word_hashes
 
 RADIUS, BLOCK_BITS, NEAR_BITS = 22, 8, 2
-#: Most items whose shingles and blocks are broadcast at once (some tens of MB).
-ITEM_BLOCK = 20_000
+#: Most items whose shingles and blocks are broadcast at once (296 rows with the shingles for each item, under 100 MB).
+ITEM_BLOCK = 1_000
 
 
 def shingles(hashes: str, words: int) -> str:
