@@ -76,10 +76,11 @@ def united(*sources: DataFrame) -> DataFrame:
 def phrase_list(phrases: DataFrame, keys: list[str], items: int = 500, chars: int = 8000) -> DataFrame:
     """Normalised phrases, each once, by priority, while they fit the budget.
 
-    ``phrases``: (keys, priority, ord, phrase) with a normalised phrase (null ones go).
+    ``phrases``: (keys, priority, ord, phrase) with a normalised phrase (null ones go); ``ord`` may be a
+    struct. Tasks reduce a phrase to its first row before the shuffle.
     """
-    once = phrases.where("phrase is not null").withColumn("_n", F.row_number().over(Window.partitionBy(*keys, F.lower("phrase")).orderBy("priority", "ord"))).where("_n = 1").drop("_n")
-    return budget_prefix(once, keys, ["priority", "ord"], "phrase", items, chars)
+    once = phrases.where("phrase is not null").groupBy(*keys, F.lower("phrase").alias("_lower")).agg(F.min(F.struct("priority", "ord", "phrase")).alias("_first"))
+    return budget_prefix(once.select(*keys, "_first.*"), keys, ["priority", "ord"], "phrase", items, chars)
 
 
 def glossary_hits(sentences: DataFrame, terms: DataFrame, extra: Column | None = None) -> DataFrame:

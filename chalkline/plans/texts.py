@@ -106,10 +106,11 @@ SELECT lang, priority, ord, phrase FROM b WHERE i <= 50 AND used <= 400""",
 )
 def phrase_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised phrases of each language, once each, by priority, within the budget."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 40 and text is not null")
+    d = table(spark, sf_dir, "documents").where("text is not null")
     w = d.select("lang", "doc_id", F.posexplode(F.split("text", " ")).alias("k", "raw"))
-    p = w.select("lang", (F.col("doc_id") % 3).alias("priority"), (F.col("doc_id") * 100000 + F.col("k") + 1).alias("ord"), text.phrase(F.substring("raw", 1, 40)).alias("phrase"))
-    return lexicon.phrase_list(p, ["lang"], 50, 400)
+    p = w.select("lang", (F.col("doc_id") % 3).alias("priority"), F.struct("doc_id", (F.col("k") + 1).alias("k")).alias("ord"), text.phrase(F.substring("raw", 1, 40)).alias("phrase"))
+    number = F.col("ord.doc_id") * 100000 + F.col("ord.k")
+    return lexicon.phrase_list(p, ["lang"], 50, 400).select("lang", "priority", number.alias("ord"), "phrase")
 
 
 @query(
