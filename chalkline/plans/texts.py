@@ -17,8 +17,8 @@ from chalkline.session import table
   length(regexp_replace(text, '(?s)^.*[.!?]+', '')) = 0 AS complete FROM documents WHERE regexp_matches(text, '^[\\x20-\\x21\\x23-\\x26\\x2A-\\x5C\\x5E-\\x7E\\n]*$')""",
 )
 def completed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completed sentences of plain documents, and whether nothing is left over."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x20-\x21\x23-\x26\x2A-\x5C\x5E-\x7E\n]*$"))
+    """Completed sentences of all documents with a text, and whether nothing is left over."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"), (F.length(text.remainder(F.col("text"))) == 0).alias("complete"))
 
 
@@ -120,10 +120,10 @@ n AS (SELECT item_id, regexp_replace(r0, '[\\s.,!?;:"''()\\[\\]{}~-]+', '', 'g')
 SELECT item_id, length(r) AS ref_chars, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(r, h) / length(r) END, 6) AS cer FROM n""",
 )
 def speech_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character error rate of each ASCII passage against the next one."""
+    """Character error rate of each passage against the next one."""
     b = table(spark, sf_dir, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("heard"))
-    p = b.join(other, "item_id").where(F.concat("text", "heard").rlike(r"^[\x00-\x7F]*$"))
+    p = b.join(other, "item_id").where("text is not null and heard is not null")
     p = p.select("item_id", text.compared(text.nfc("text")).alias("r"), text.compared(text.nfc("heard")).alias("h"))
     rate = evaluation.error_rate(F.levenshtein("r", "h"), F.length("r"), F.length("h"))
     return p.select("item_id", F.length("r").cast("long").alias("ref_chars"), F.round(rate, 6).alias("cer"))

@@ -1,9 +1,11 @@
 """Queries and operators over whole tables, against plain versions."""
 
-import pytest
+import re
+import unicodedata
 
 import chalkline.plans  # noqa: F401
 from chalkline import registry
+from tests.compare import connection
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,49 @@ def test_phrase_list_reads_all_documents(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == plain_phrases(docs)
     found = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in registry.QUERIES["phrase_list"](spark, SF).collect()) == plain_phrases(found)
+
+
+END = re.compile("[.!?。！？…]+[\"'”’)\\]】」』]*\\s*")
+
+
+def plain_sentences(text):
+    parts, at = [], 0
+    for m in END.finditer(text):
+        parts.append(text[at : m.end()].strip())
+        at = m.end()
+    return len([p for p in parts if p]), text[at:].strip() == ""
+
+
+def test_completed_sentences_of_all_texts(spark, tmp_path):
+    texts = ["Ja, schön. Über", "Er sagte „nein.” Und", "He said \"no.\" (Yes!)", "終わり。次！「はい。」", "Well… yes…", "one.　", "two.\n", "'", "", None, ".\xa0. rest", "a.) b?] c", "no end\n"]
+    sf = saved(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    plain = {i: plain_sentences(t) for i, t in enumerate(texts) if t is not None}
+    assert {r.doc_id: (r.n_sentences, r.complete) for r in registry.QUERIES["completed_sentences"](spark, sf).collect()} == plain
+    got = {r.doc_id: (r.n_sentences, r.complete) for r in registry.QUERIES["completed_sentences"](spark, SF).collect()}
+    assert got == {r.doc_id: plain_sentences(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    checked = connection(SF).sql(registry.ORACLE_SQL["completed_sentences"]).fetchall()  # the plain documents
+    assert len(checked) and all(got[i] == (n, complete) for i, n, complete in checked)
+
+
+def plain_rate(a, b):
+    a, b = (re.sub("[\\s.,!?;:\"'“”‘’()\\[\\]{}·…~\\-—啊。！？、，]+", "", unicodedata.normalize("NFC", t).lower()) for t in (a, b))
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        before = row
+    return len(a), round(before[-1] / len(a), 6) if a else float(bool(b))
+
+
+def test_speech_errors_of_all_pairs(spark, tmp_path):
+    texts = ["Für „dich“ … ja", "für dich ja", "한국어, 네!", unicodedata.normalize("NFD", "한국어 네"), "one　two\xa0three", "one two tree", "", "…", "x", None, "y"]
+    pairs = {i: plain_rate(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:])) if None not in (a, b)}
+    sf = saved(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    read = lambda at: {r.item_id: (r.ref_chars, r.cer) for r in registry.QUERIES["speech_errors"](spark, at).collect()}
+    assert read(sf) == pairs
+    text = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = read(SF)
+    assert got == {i: plain_rate(t, text[i + 1]) for i, t in text.items() if i + 1 in text}
+    checked = connection(SF).sql(registry.ORACLE_SQL["speech_errors"]).fetchall()  # the ASCII pairs
+    assert len(checked) and all(got[i] == (n, float(rate)) for i, n, rate in checked)
