@@ -28,15 +28,20 @@ def matches(sentence: Column, pattern: Column, exclusions: Column | None = None)
 def candidates(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sentence rows with each pattern that may be in them.
 
-    A small lexicon goes to the tasks as a whole; from a larger one only patterns that share their first
-    word with the sentence are tried, by an equality join, after the words of patterns in Hangul, whose
-    words carry endings, are tried by their first two characters.
+    A small lexicon goes to the tasks as a whole; a larger one is met by equality joins, patterns by their
+    first two characters, and shorter ones by their only one. Both give equal rows.
     """
+    within = F.contains(F.lower("sentence"), F.lower("pattern"))
     if lexicon.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
-        return sentences.join(F.broadcast(lexicon), F.contains(F.lower("sentence"), F.lower("pattern")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("sentence") - 1, F.lit(1))), lambda i: F.lower(F.substring("sentence", i, F.lit(2)))))
-    asked = sentences.withColumn("_gram", F.explode(grams))
-    return asked.join(lexicon.withColumn("_gram", F.lower(F.substring("pattern", 1, 2))), "_gram").drop("_gram")
+        return sentences.join(F.broadcast(lexicon), within)
+    keyed = lexicon.withColumn("_gram", F.substring(F.lower("pattern"), 1, 2))
+    pairs = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("(?s)(?=(..))"), F.lit(1)))
+    single = F.array_union(F.regexp_extract_all(F.lower("sentence"), F.lit("(?s)."), F.lit(0)), F.array(F.lit("")))  # also the empty pattern
+    long, short = (
+        sentences.withColumn("_gram", F.explode(grams)).join(keyed.where(of_length), "_gram").where(within).drop("_gram")
+        for grams, of_length in ((pairs, F.length("_gram") == 2), (single, F.length("_gram") < 2))
+    )
+    return long.unionByName(short)
 
 
 def route(sentences: DataFrame, lexicon: DataFrame, strong: str = "GLOSSARY_TERM") -> DataFrame:

@@ -5,6 +5,7 @@ import unicodedata
 
 import chalkline.plans  # noqa: F401
 from chalkline import registry
+from chalkline.operators import lexicon
 from tests.compare import connection
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,17 @@ def test_speech_errors_of_all_pairs(spark, tmp_path):
     assert got == {i: plain_rate(t, text[i + 1]) for i, t in text.items() if i + 1 in text}
     checked = connection(SF).sql(registry.ORACLE_SQL["speech_errors"]).fetchall()  # the ASCII pairs
     assert len(checked) and all(got[i] == (n, float(rate)) for i, n, rate in checked)
+
+
+def test_large_lexicon_gives_the_same(spark, monkeypatch):
+    texts = ["이 말은 한 마디", "The AI said", "a", "ß É x", "", None, "나 b c", "aXXi"]
+    sentences = spark.createDataFrame(list(enumerate(texts)), "sentence_id long, sentence string")
+    patterns = ["말", "한", "a", "ai", "AI said", "É", "é", "마디", "z", "나 b", "이 말은 한 마디", "a i"]
+    rows = [(i, p, p.upper(), "TEXTBOOK", ["xx"] if p == "a i" else None) for i, p in enumerate(patterns)]
+    lex = spark.createDataFrame(rows, "ord long, pattern string, canonical string, reason string, exclusions array<string>")
+    terms = lex.select("ord", lex.pattern.alias("term"))
+    both = lambda: [sorted(map(tuple, df.collect()), key=repr) for df in (lexicon.route(sentences, lex), lexicon.glossary_hits(sentences, terms))]
+    small = both()
+    assert any("말" in (r[1] or ()) for r in small[1])
+    monkeypatch.setattr(lexicon, "BROADCAST_PATTERNS", 3)
+    assert both() == small
