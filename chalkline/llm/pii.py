@@ -4,7 +4,8 @@ Plain identifiers are found in the text itself. For disguised ones three transdu
 each keeping for every output character the source characters it stands for:
 
 1. homoglyphs and invisible characters fold to ASCII;
-2. "(at)", "[dot]" and "name at host dot tld" become ``@`` and ``.``;
+2. "(at)", "[dot]" and then "na dot me at host dot tld" become ``@`` and ``.``, in any mix that has an
+   at-mark; "name at host.tld" with plain dots only is left, since prose has it ("look at example.com");
 3. runs of spelled digits ("plus one four ...", "eins neun zwei Punkt ...") become digits.
 
 The same detectors then read the normalised text, and their spans map back to source characters.
@@ -57,7 +58,10 @@ _POINT_WORDS, _PLUS_WORDS = ("dot", "point", "punkt", "punto"), ("plus", "más")
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "¹²³⁰-₉①-⑳﹒﹫！-～\U0001d400-\U0001d7ff]")
 _AT = re.compile(r" ?[\[({<] ?(?:at|@|ät) ?[\])}>] ?", re.I)
 _DOT = re.compile(r" ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?", re.I)
-_SPOKEN_AT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}( at )[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+", re.I)
+# A chain of words of a local part, and the host after it; chains without one are taken too, so each is read once.
+_SPOKEN = re.compile(
+    r"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?: dot (?!at )[A-Za-z0-9._%+-]++)*+(?:(?P<at>@| at )[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++)?", re.I
+)
 _SPOKEN_DOT = re.compile(r" dot ", re.I)
 _MARKED = re.compile(r"[\[({<] ?(?:at|@|ät|dot|punkt|point|punto|\.) ?[\])}>]", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -139,7 +143,8 @@ def _spelled(part: str) -> str:
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans in source characters of what is found only after the transducers."""
     odd, lower = bool(_ODD.search(text)), text.lower()
-    marked = bool(_MARKED.search(text)) or (" at " in lower and " dot " in lower)
+    spoken = " at " in lower or " dot " in lower
+    marked = bool(_MARKED.search(text)) or (" dot " in lower and ("@" in lower or " at " in lower))
     if not (odd or marked or _HINT.search(lower)):
         return []
     tape = _Tape(text)
@@ -148,9 +153,15 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
     edits = []
-    for m in _SPOKEN_AT.finditer(tape.text):
-        edits.append((m.start(1), m.end(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, m.end(1) - 1, m.end())]
+    for m in _SPOKEN.finditer(tape.text) if spoken else ():
+        if not m["at"]:
+            continue
+        dots = [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, *m.span())]
+        if m["at"] != "@":  # "look at example.com" is prose: some dot must be disguised
+            if not m[0][0].isalnum() or not (dots or any(tape.changed[i] and tape.text[i] == "." for i in range(*m.span()))):
+                continue
+            dots.append((*m.span("at"), "@"))
+        edits += sorted(dots)
     tape.rewrite(edits)
     tape.rewrite([(m.start(), m.end(), _spelled(m[0])) for m in _SPELLED.finditer(tape.text)])
     if not any(tape.changed) and len(tape.text) == len(text):
