@@ -165,6 +165,11 @@ def test_rollup(spark):
     totals.commit("three", rollup.revisions(counts.where("doc_id = 1"), after))
     totals.commit("empty", rollup.inserts(counts.limit(0)))
     assert read() == [("s", "en", "v1", 2, 10)]
+    totals.compact()
+    assert read() == [("s", "en", "v1", 2, 10)] and not totals.commit("two", rollup.deletes(counts))
+    assert totals.commit("it's/4", rollup.inserts(counts)) and totals.commit("it's/4", rollup.inserts(counts.limit(1)), replace=True)
+    assert read() == [("s", "en", "v1", 3, 13)]
+    assert rollup.Rollup.fresh(spark).totals().count() == 0
 
 
 def test_rollup_query(spark):
@@ -337,7 +342,7 @@ def test_secrets(spark):
 
 def test_ledger_is_incremental(spark):
     versions = secrets.versions_of(docs_of(spark, ["x token: abcdefghijklmnop", "x token: abcdefghijklmnop", "clean"]))
-    first = secrets.scan_unseen(versions, secrets.empty_ledger(spark))
+    first = secrets.scan_unseen(versions, secrets.Ledger.fresh(spark).scans.read())
     assert first.count() == 2
     more = secrets.versions_of(docs_of(spark, ["x token: abcdefghijklmnop", "new"]))
     second = secrets.scan_unseen(more, first)
@@ -350,6 +355,44 @@ def test_ledger_is_incremental(spark):
     assert secrets.scan_unseen(versions.limit(0)).count() == 0
 
 
+def test_ledger_commits(spark):
+    ledger = secrets.Ledger.fresh(spark)
+    first = secrets.versions_of(docs_of(spark, ["x token: abcdefghijklmnop", "x token: abcdefghijklmnop", "clean", None]))
+    assert ledger.findings().count() == 0
+    assert ledger.commit("a/b 'c'", first) == 3 and ledger.commit("a/b 'c'", first) == 0
+    again = secrets.versions_of(docs_of(spark, ["clean", "0123456789abcdef"] * 3 + [""]))
+    assert ledger.commit("second", again) == 1
+    found = [(r.path, secrets_of(r)) for r in ledger.findings().collect()]
+    assert len(found) == 4 + 7 and sorted(k for k, v in found if v) == [0, 1, 1, 3, 5]
+    upgraded = secrets.Ledger(ledger.versions, ledger.scans, (*secrets.RULES, secrets.SecretRule("word", 1, "clean")))
+    assert upgraded.commit("second", again) == 3
+    assert sum("word" in secrets_of(r) for r in upgraded.findings().collect()) == 4
+
+
+def test_secrets_query_on_the_table(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    names = list(secrets.BASE)
+    got = queries.QUERIES["op9_secrets"](spark, SF).collect()
+    assert len(got) == len(text)
+    for r in got:
+        spans = base_secrets(text[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, _, e in spans).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _, _ in spans) for i in range(3)]
+
+
+def test_further_secrets(spark):
+    """The rules beyond the base ones against the same patterns in Python, over many matches in one text."""
+    pem = "-----BEGIN RSA PRIVATE KEY-----"
+    parts = [pem, "ghp_" + "a1B2" * 9, "xoxb-1234567890-abc", "eyJhbGciOiJ9.eyJzdWIiOiIx.c2lnbmF0dXJl", "gh_x", "word", "é", "\n"]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (0, 1, 5, 2500, 5001)]
+    found = secrets.findings_by_path(versions := secrets.versions_of(docs_of(spark, texts)), secrets.scan_unseen(versions))
+    got = {r.path: [(s["start"], s["rule"], s["end"]) for s in (r.findings or []) if s["rank"] > 2] for r in found.collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), r.name, m.end()) for r in secrets.RULES[3:] for m in re.finditer(r.pattern, t)]
+        assert got[i] == sorted(want)
+
+
 def secrets_of(row):
     return [s["rule"] for s in row.findings or []]
 
