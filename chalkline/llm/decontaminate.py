@@ -1,17 +1,19 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 A document's windows as long as an item are fingerprinted by SimHash over their word shingles.
-Fingerprints meet the items' in a multi-index: with 8 blocks of 8 bits and radius 22, two fingerprints
+Fingerprints meet the items' in a multi-index: with 8 blocks of 8 bits and radius 23, two fingerprints
 within the radius differ by at most 2 bits in some block, so the items' blocks are entered with all
 values within 2 bits and every fingerprint within the radius is found by plain equality of a block.
 Candidates are confirmed by the exact weighted Jaccard similarity of the shingle multisets.
 
-Only windows that can pass are fingerprinted: one that begins with a shingle of an item of its length
-and holds the share of the item's shingles without which the similarity cannot be reached. This loses
-nothing: a passing window can be moved to begin at its first shared shingle without losing any.
+A fingerprint's bits follow the similarity only where no shingle outweighs the others. So where the window
+or the item holds a shingle twice, the index is not asked: such pairs meet by the shingle that the window
+begins with, whatever their fingerprints. Windows without a shingle of any item of their length are not
+fingerprinted; that loses nothing, as a passing window can be moved to begin at its first shared shingle.
 
-All is one pass over the documents without a shuffle; what is broadcast comes from the benchmark alone,
-at most ``ITEM_BLOCK`` items at a time, and a larger benchmark is worked off in blocks of items.
+The documents are read once, whatever the number of items, in chunks of ``CHUNK`` shingles (with what
+windows need beside), so a long text costs in proportion. The three tables made from the benchmark are
+broadcast if they have few enough rows or shingles, else joined by a shuffle.
 
 Defined results: null and empty texts have no windows; a text shorter than an item is one window; an
 item of fewer than ``words`` words is not searched for; repeated rows are judged alike; null ids and
@@ -24,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.jaccard import word_hashes
+from chalkline.session import cut
 
-RADIUS, BLOCK_BITS, NEAR_BITS = 22, 8, 2
-#: Most items whose shingles and blocks are broadcast at once (296 rows with the shingles for each item, under 100 MB).
-ITEM_BLOCK = 1_000
+RADIUS, BLOCK_BITS, NEAR_BITS = 23, 8, 2
+_BLOCKS = 64 // BLOCK_BITS
+#: Shingles of a text that are looked at in one row.
+CHUNK = 4096
+#: Most rows of the shingle and index tables, shingles of the item table, and keys to drop that are broadcast (some 64 MB each).
+BROADCAST_ROWS, BROADCAST_SHINGLES = 1_000_000, 4_000_000
 
 
 def shingles(hashes: str, words: int) -> str:
@@ -37,9 +43,16 @@ def shingles(hashes: str, words: int) -> str:
 
 
 def simhash(array: str) -> str:
-    """SQL: 64-bit SimHash of an array of hashes; a repeated hash weighs as often as it is there."""
+    """SQL: 64-bit SimHash of an array of hashes; a repeated hash weighs as often as it is there.
+
+    Four bits are counted at once, in 16-bit lanes of a long; arrays too long for a lane are counted bit by bit.
+    """
+    lanes = "(shiftrightunsigned(x, 4 * q) & 15L) * 35185445863425L & 281479271743489L"
+    sums = f"transform(sequence(0, 15), q -> aggregate({array}, 0L, (n, x) -> n + ({lanes})))"
+    of_lanes = f"get(transform(array({sums}), s -> aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * (shiftrightunsigned(get(s, b div 4), 16 * (b % 4)) & 65535L) > size({array}), shiftleft(1L, b), 0L))), 0)"
     ones = f"aggregate({array}, 0, (n, x) -> n + cast(shiftrightunsigned(x, b) & 1L as int))"
-    return f"coalesce(aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * {ones} > size({array}), shiftleft(1L, b), 0L)), 0L)"
+    by_bit = f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * {ones} > size({array}), shiftleft(1L, b), 0L))"
+    return f"coalesce(if(size({array}) < 32768, {of_lanes}, {by_bit}), 0L)"
 
 
 def similarity(a: str, b: str) -> str:
@@ -49,57 +62,68 @@ def similarity(a: str, b: str) -> str:
 
 
 def _items(benchmark: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(item_id, item_words, item_shingles, item_print), one row for each distinct item."""
+    """(item, item_id, item_words, item_shingles, item_plain, item_print), one row for each distinct item."""
     items = benchmark.select(F.col(key).alias("item_id"), F.expr(word_hashes(f"lower(cast(`{text}` as string))")).alias("_h"))
     items = items.select("item_id", F.size("_h").alias("item_words"), F.expr(shingles("_h", words)).alias("item_shingles"))
     items = items.where(f"item_words >= {words}").distinct()
-    return items.withColumn("item_print", F.expr(simhash("item_shingles")))
+    return items.select(
+        F.xxhash64("item_id", "item_shingles").alias("item"), "item_id", "item_words", "item_shingles",
+        F.expr(_PLAIN.format("item_shingles")).alias("item_plain"), F.expr(simhash("item_shingles")).alias("item_print"),
+    )
+
+
+_PLAIN = "size(array_distinct({0})) = size({0})"
+_VALUE = f"shiftrightunsigned({{0}}, {BLOCK_BITS} * b) & {2**BLOCK_BITS - 1}L"
 
 
 def _near_values() -> list[int]:
     return [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= NEAR_BITS]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_key: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(keys, item_id, word_start, similarity, distance): windows of ``docs`` that hold an item."""
-    items = _items(benchmark, item_key, item_text, words)
-    parts = max(1, -(-items.count() // ITEM_BLOCK))
-    found = None
-    for k in range(parts):
-        some = items.where(F.pmod(F.xxhash64("item_shingles"), F.lit(parts)) == k) if parts > 1 else items
-        one = _leaks_of(docs, some, keys, text, words, threshold)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _leaks_of(docs: DataFrame, items: DataFrame, keys: list[str], text: str, words: int, threshold: float) -> DataFrame:
-    seeds = items.select("item_words", F.explode(F.array_distinct("item_shingles")).alias("seed"), "item_shingles")
-    seeds = seeds.groupBy("seed", "item_words").agg(F.collect_set("item_shingles").alias("sets"))
-    near = F.array(*[F.lit(m) for m in _near_values()])
-    blocks = 64 // BLOCK_BITS
-    index = items.select("item_id", "item_words", "item_shingles", "item_print", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), near.alias("near"))
-    index = index.select(
-        "item_id", "item_words", "item_shingles", "item_print", "block",
-        F.explode(F.expr(f"transform(near, m -> cast(shiftrightunsigned(item_print, block * {BLOCK_BITS}) & {2**BLOCK_BITS - 1}L as int) ^ m)")).alias("value"),
-    )
+def _index(items: DataFrame) -> DataFrame:
+    """(cell, way, item, item_print, item_plain): blocks with all near values (ways 0 to 7), and shingles (way 8)."""
+    near = F.array(*[F.lit(m).cast("bigint") for m in _near_values()])
+    rows = items.select("item", "item_words", "item_shingles", "item_print", "item_plain", near.alias("near"))
+    blocks = rows.where("item_plain").select("*", F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))).alias("b"))
+    blocks = blocks.select("item", "item_words", "item_print", "item_plain", "b", F.explode(F.expr(f"transform(near, m -> ({_VALUE.format('item_print')}) ^ m)")).alias("v"))
+    seeds = rows.select("item", "item_words", "item_print", "item_plain", F.lit(_BLOCKS).alias("b"), F.explode(F.array_distinct("item_shingles")).alias("v"))
+    both = blocks.unionByName(seeds)
+    return both.select(F.xxhash64("item_words", "b", "v").alias("cell"), F.col("b").alias("way"), "item", "item_print", "item_plain")
 
+
+def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_key: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(keys, item_id, word_start, similarity, distance): windows of ``docs`` that hold an item, the best of each item."""
+    items = cut(_items(benchmark, item_key, item_text, words))
+    size = items.agg(F.coalesce(F.max("item_words"), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("shingles"), F.count(F.lit(1)).alias("n")).first()
+    fits = lambda df, rows, most: F.broadcast(df) if rows <= most else df
+    reach = max(int(size.longest) - words + 1, 1)
+    chunk = max(CHUNK, reach)
+
+    seeds = items.select("item_words", F.explode("item_shingles").alias("seed")).distinct()
     df = docs.select(*keys, F.expr(word_hashes(f"lower(cast(`{text}` as string))")).alias("_h"))
     df = df.select(*keys, F.expr(shingles("_h", words)).alias("_s"))
+    cuts = f"transform(sequence(0, greatest(size(_s) - 1, 0) div {chunk}), k -> named_struct('own', k * {chunk}, 'from', greatest(k * {chunk} - {reach}, 0), 'part', slice(_s, cast(greatest(k * {chunk} - {reach}, 0) + 1 as int), {chunk + 2 * reach})))"
+    df = df.select(*keys, F.size("_s").alias("_n"), F.explode(F.expr(cuts)).alias("_c"))
     # outer: else a filter on the array size, worked out anew from the text, goes below
-    df = df.select(*keys, "_s", F.posexplode_outer("_s").alias("_at", "_seed"))
-    df = df.join(F.broadcast(seeds), F.col("_seed") == F.col("seed"))
-    long = f"item_words - {words - 1}"
-    start = f"greatest(least(_at, size(_s) - ({long})), 0)"
+    df = df.select(*keys, "_n", "_c", F.posexplode_outer(F.expr(f"slice(_c.part, cast(_c.own - _c.from + 1 as int), {chunk})")).alias("_k", "_seed"))
+    df = df.join(fits(seeds, size.shingles, BROADCAST_ROWS), F.col("_seed") == F.col("seed"))
+    start = f"greatest(least(_c.own + _k, _n - (item_words - {words - 1})), 0)"
     # a generator of one row: without it the optimizer would cut the window anew wherever it is used
-    window = f"array(named_struct('word_start', {start}, 'window', slice(_s, {start} + 1, {long})))"
-    df = df.select(*keys, "item_words", "sets", F.inline(F.expr(window)))
-    shared = "size(filter(window, x -> array_contains(s, x)))"
-    df = df.where(F.expr(f"exists(sets, s -> {shared} >= {threshold} * size(s))")).drop("sets")
-    df = df.withColumn("print", F.expr(simhash("window")))
-    probes = df.select(*keys, "item_words", "word_start", "window", "print", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    probes = probes.withColumn("value", F.expr(f"cast(shiftrightunsigned(print, block * {BLOCK_BITS}) & {2**BLOCK_BITS - 1}L as int)"))
-    pairs = probes.join(F.broadcast(index), ["item_words", "block", "value"])
-    pairs = pairs.withColumn("distance", F.expr("cast(bit_count(print ^ item_print) as int)")).where(F.col("distance") <= RADIUS)
+    window = f"array(named_struct('word_start', {start}, 'window', slice(_c.part, cast({start} - _c.from + 1 as int), item_words - {words - 1})))"
+    df = df.select(*keys, "item_words", "seed", F.inline(F.expr(window)))
+    prints = f"array(named_struct('print', {simhash('window')}, 'plain', {_PLAIN.format('window')}))"
+    df = df.select(*keys, "item_words", "seed", "word_start", "window", F.inline(F.expr(prints)))
+
+    ways = F.expr(f"sequence(if(plain, 0, {_BLOCKS}), {_BLOCKS})")
+    df = df.select(*keys, "item_words", "seed", "word_start", "window", "print", "plain", F.explode(ways).alias("b"))
+    df = df.withColumn("cell", F.expr(f"xxhash64(item_words, b, if(b = {_BLOCKS}, seed, {_VALUE.format('print')}))"))
+    pairs = df.join(fits(_index(items), size.n * _BLOCKS * len(_near_values()) + size.shingles, BROADCAST_ROWS), "cell").where("b = way")
+    pairs = pairs.withColumn("distance", F.expr("cast(bit_count(print ^ item_print) as int)"))
+    # a pair that several blocks bring is taken from the first of them
+    first = f"array_position(transform(sequence(0, {_BLOCKS - 1}), b -> bit_count({_VALUE.format('(print ^ item_print)')}) <= {NEAR_BITS}), true) - 1"
+    pairs = pairs.where(F.expr(f"if(b = {_BLOCKS}, not (plain and item_plain), distance <= {RADIUS} and {first} = b)"))
+    pairs = pairs.select(*keys, "item", "word_start", "window", "distance")
+    pairs = pairs.join(fits(items.select("item", "item_id", "item_shingles"), size.shingles, BROADCAST_SHINGLES), "item")
     pairs = pairs.withColumn("similarity", F.expr(similarity("window", "item_shingles"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("word_start")).alias("before"), "distance")).alias("best")
     return pairs.groupBy(*keys, "item_id").agg(best).select(
@@ -111,5 +135,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """``docs`` without those that hold a benchmark item; null ids and repeated rows included."""
     one, two = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
     named = docs.select(one.alias("_one"), two.alias("_two"), F.col(text).alias("_text"))
-    gone = leaks(named, benchmark, ["_one", "_two"], "_text").select("_one", "_two").distinct()
+    gone = cut(leaks(named, benchmark, ["_one", "_two"], "_text").select("_one", "_two").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, (one == gone["_one"]) & (two == gone["_two"]), "left_anti")

@@ -437,13 +437,53 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs_of(spark, texts), bench.limit(0), ["doc_id"]).count() == 0
 
 
-def test_item_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_many_items_and_long_texts(spark, monkeypatch, most):
+    """Tables of the benchmark joined by shuffle and by broadcast; items across the borders of chunks."""
     rng = random.Random(10)
-    items = [sentence(rng, 20, 3000) for _ in range(7)]
+    items = [sentence(rng, 20 + k, 3000) for k in range(7)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 2)
-    got = decontaminate.leaks(docs_of(spark, items), bench, ["doc_id"])
-    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(7)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", most)
+    monkeypatch.setattr(decontaminate, "CHUNK", 40)
+    padded = [f"{sentence(rng, 13 * k, 3000)} {t}{' tail' * (k % 3)}" for k, t in enumerate(items)]
+    got = decontaminate.leaks(docs_of(spark, padded), bench, ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.item_id, r.word_start, r.similarity) for r in got) == [(i, i, 13 * i, 1.0) for i in range(7)]
+
+
+@pytest.mark.parametrize("n", [13, 17, 25])
+def test_few_distinct_shingles(spark, n):
+    """Alternating words: two shingles outweigh all others, so fingerprints say nothing."""
+    items = [" ".join(f"a{k}" if i % 2 else f"b{k}" for i in range(n)) for k in range(200)]
+    texts = [" ".join(f"b{k}" if i % 2 else f"a{k}" for i in range(n)) for k in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.leaks(docs_of(spark, texts), bench, ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(200)]
+
+
+def test_edited_items_are_found(spark):
+    """Items of many lengths with as many words changed as similarity 0.8 allows, one part repeated."""
+    rng = random.Random(12)
+    items, texts = [], []
+    for k in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(13, 120))]
+        m = len(w) - 4
+        spare = (2 * m - int(np.ceil(2 * m * 0.8 / 1.8))) - m  # shingles that may differ
+        cut_off = [*w[spare:], *(["the"] * spare if k % 2 else [f"n{rng.randrange(10**6)}" for _ in range(spare)])]
+        items.append(" ".join(w))
+        texts.append(" ".join(cut_off))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.leaks(docs_of(spark, texts), bench, ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(300)]
+    assert any(r.similarity < 0.82 for r in got)
+
+
+def test_simhash_lanes(spark):
+    rng = random.Random(3)
+    arrays = [[rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (0, 1, 2, 50, 333, 40_000)]
+    df = spark.createDataFrame([(k, a) for k, a in enumerate(arrays)], "k int, a array<long>")
+    got = [r.f & (2**64 - 1) for r in df.orderBy("k").select(F.expr(decontaminate.simhash("a")).alias("f")).collect()]
+    assert got == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in a) > len(a)) for a in arrays]
 
 
 def test_multi_index_covers_the_radius():
