@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a predicate that rejects a text. Its cost (seconds over a sample) and selectivity (share
-of the sample that it rejects) are estimated once; the cascade then asks rules in order of rejection
-per cost, and a text that one rule rejects is not looked at by the next. The order changes the work,
-never the verdict.
+Each rule is a predicate over measures of a text. Its cost (seconds over a sample, its measures included,
+over those of reading the sample) and selectivity (share of the sample that it rejects) are estimated
+once; the cascade then asks rules in order of rejection per cost, and a text that one rule rejects is not
+looked at by the next. Where only the kept rows are wanted (``kept_rows``), a measure is worked out just
+before the first rule that needs it, for the texts that are left. The order changes the work, never the
+verdict.
 
 Defined results: a null text has no words, lines or symbols, so ``min_words`` rejects it; repeated
 rows are judged alike; an empty table keeps the given order of the rules; other columns pass through
-(a column named like a result is replaced).
+(``measured`` and ``judge`` replace those named like a result; names that begin with ``_q_`` are taken).
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that costs and selectivities are estimated on.
-SAMPLE_ROWS = 1000
+#: Rows that costs and selectivities are estimated on, none longer than so many characters, and how often each is judged then.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TIMES = 300, 50_000, 10
 
 # White space between words, and the characters that count as symbols.
 SPACES = r"[\\x20\\x09-\\x0D]+"
@@ -52,58 +54,106 @@ CASCADE_RULES = (
 )
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text``.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    Three-word windows are compared by 64-bit hashes, of which as many low bits as positions need
-    give way to the position, so one sort of plain numbers brings equal windows together.
+
+def _with_measures(df: DataFrame, t: str, names: list[str], hash_bits: int = 64) -> DataFrame:
+    """``df`` with the named measures and their helper columns ``_q_...``; helpers that are there are used.
+
+    Three-word windows are compared by 64-bit hashes, of which as many low bits as positions need give way
+    to the position, so one sort of plain numbers brings equal hashes together. Neighbours in that order
+    are then compared word by word; should hashes of different windows be equal, the windows themselves
+    are sorted. ``hash_bits`` weakens the hashes for tests of that.
     """
-    t = f"`{text}`"
-    df = docs.withColumn("_words", F.expr(_words(t)))
-    df = df.withColumns(
-        {
-            "n_words": F.expr("cast(size(_words) as bigint)"),
-            "word_chars": F.expr("cast(length(array_join(_words, '')) as bigint)"),
-            "n_symbols": F.expr(f"cast(regexp_count(coalesce({t}, ''), '{SYMBOLS}') as bigint)"),
-            "_lines": F.expr(f"filter(split(coalesce({t}, ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"),
-            "_hashes": F.expr("transform(_words, x -> xxhash64(x))"),
-        }
-    ).drop("_words")
-    df = df.withColumn("n_dup_lines", F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)")).drop("_lines")
-    df = df.withColumn("_bits", F.expr("cast(ceil(log2(n_words + 1)) as int)"))
-    df = df.withColumn(
-        "_keys",
-        F.expr(
-            "sort_array(transform(slice(_hashes, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) ->"
-            " shiftleft(shiftrightunsigned(xxhash64(x, get(_hashes, i + 1), get(_hashes, i + 2)), _bits), _bits) | cast(i as bigint)))"
-        ),
-    ).drop("_hashes")
-    df = df.withColumn(
-        "_at",
-        F.expr(
-            "sort_array(transform(filter(_keys, (x, i) -> shiftrightunsigned(x ^ get(_keys, i - 1), _bits) = 0"
-            " or shiftrightunsigned(x ^ get(_keys, i + 1), _bits) = 0), x -> x & (shiftleft(1L, _bits) - 1)))"
-        ),
-    ).drop("_keys", "_bits")
-    return df.withColumn(
-        "n_repeat_words",
-        F.expr(
-            "aggregate(_at, named_struct('n', 0L, 'last', -3L),"
-            " (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x), a -> a.n)"
-        ),
-    ).drop("_at")
+    if "_q_words" not in df.columns:
+        df = df.withColumn("_q_words", F.expr(_words(t)))
+    simple = {
+        "n_words": "cast(size(_q_words) as bigint)",
+        "word_chars": "cast(length(array_join(_q_words, '')) as bigint)",
+        "n_symbols": f"cast(regexp_count(coalesce({t}, ''), '{SYMBOLS}') as bigint)",
+    }
+    df = df.withColumns({n: F.expr(simple[n]) for n in names if n in simple})
+    if "n_dup_lines" in names:
+        df = df.withColumn("_q_lines", F.expr(f"filter(split(coalesce({t}, ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
+        df = df.withColumn("n_dup_lines", F.expr("cast(size(_q_lines) - size(array_distinct(_q_lines)) as bigint)")).drop("_q_lines")
+    if "n_repeat_words" in names:
+        low = "(shiftleft(1L, _q_bits) - 1)"
+        mask = "" if hash_bits == 64 else f" & {((1 << hash_bits) - 1) << (63 - hash_bits)}L"
+        window = "xxhash64(x, get(_q_hashes, i + 1), get(_q_hashes, i + 2))"
+        df = df.withColumns({"_q_hashes": F.expr("transform(_q_words, x -> xxhash64(x))"), "_q_bits": F.expr("cast(ceil(log2(size(_q_words) + 1)) as int)")})
+        df = df.withColumn(
+            "_q_keys",
+            F.expr(
+                "sort_array(transform(slice(_q_hashes, 1, greatest(size(_q_hashes) - 2, 0)), (x, i) ->"
+                f" shiftleft(shiftrightunsigned({window}{mask}, _q_bits), _q_bits) | cast(i as bigint)))"
+            ),
+        ).drop("_q_hashes")
+        # numbers whose hash equals a neighbour's, in order: few in most texts
+        df = df.withColumn(
+            "_q_twice",
+            F.expr(
+                "filter(_q_keys, (x, i) -> shiftrightunsigned(x ^ get(_q_keys, i - 1), _q_bits) = 0"
+                " or shiftrightunsigned(x ^ get(_q_keys, i + 1), _q_bits) = 0)"
+            ),
+        ).drop("_q_keys")
+        at = lambda x, k: f"get(_q_words, cast({x} & {low} as int) + {k})"
+        before = "get(_q_twice, i - 1)"
+        same = " and ".join(f"{at('x', k)} = {at(before, k)}" for k in range(3))
+        clash = f"exists(transform(_q_twice, (x, i) -> i > 0 and shiftrightunsigned(x ^ {before}, _q_bits) = 0 and not ({same})), x -> x)"
+        windows = "sort_array(transform(sequence(0, size(_q_words) - 3), i -> named_struct('w', concat_ws(' ', get(_q_words, i), get(_q_words, i + 1), get(_q_words, i + 2)), 'i', cast(i as bigint))))"
+        exact = f"get(transform(array({windows}), s -> sort_array(transform(filter(s, (x, i) -> x.w <=> get(s, i - 1).w or x.w <=> get(s, i + 1).w), x -> x.i))), 0)"
+        df = df.withColumn("_q_at", F.expr(f"if({clash}, {exact}, sort_array(transform(_q_twice, x -> x & {low})))")).drop("_q_twice", "_q_bits")
+        df = df.withColumn(
+            "n_repeat_words",
+            F.expr(
+                "aggregate(_q_at, named_struct('n', 0L, 'last', -3L),"
+                " (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x), a -> a.n)"
+            ),
+        ).drop("_q_at")
+    return df
+
+
+def _settled(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with the named columns behind a generator of one row: a filter on them stays above what makes them."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
+def measured(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text``."""
+    return _with_measures(docs.drop("_q_words"), f"`{text}`", list(MEASURES), hash_bits).drop("_q_words")
+
+
+def _asked(rule: Rule, text: str) -> F.Column:
+    return F.expr(rule.rejects.format(t=f"`{text}`"))
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) of each rule over at most ``rows`` rows."""
-    sample = docs.select(F.col(text)).limit(rows).persist()
+    """(rule, seconds, share rejected) of each rule over at most ``rows`` rows, the first that a few partitions give.
+
+    Each rule's job runs once to be compiled and twice to be timed, over ``SAMPLE_TIMES`` copies of the
+    sample; the time that the job takes without a rule is taken off.
+    """
+    spark = docs.sparkSession
+    taken = docs.select(F.col(text).cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS).take(rows)
+    if not taken:
+        return [(rule, 0.0, 0.0) for rule in rules]
+    sample = spark.createDataFrame(taken, "_t string").repartition(1).persist()
     try:
-        n = sample.count()
+        copies = sample.select(F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_TIMES))), "_t").drop("col")
+
+        def timed(df: DataFrame, rejects: F.Column) -> tuple[float, int]:
+            spent = []
+            for _ in range(3):
+                began = time.perf_counter()
+                n = df.agg(F.count_if(rejects).alias("n")).first()["n"]
+                spent.append(time.perf_counter() - began)
+            return min(spent[1:]), n
+
+        idle, _ = timed(copies, F.length("_t") < 0)
         found = []
         for rule in rules:
-            began = time.perf_counter()
-            rejected = measured(sample, text).agg(F.count_if(F.expr(rule.rejects.format(t=f"`{text}`"))).alias("n")).first()["n"]
-            found.append((rule, time.perf_counter() - began, rejected / n if n else 0.0))
+            seconds, n = timed(measured(copies, "_t"), _asked(rule, "_t"))
+            found.append((rule, max(seconds - idle, 1e-4), n / (len(taken) * SAMPLE_TIMES)))
         return found
     finally:
         sample.unpersist()
@@ -115,14 +165,21 @@ def in_order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
 
 
 def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = CASCADE_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with the measures, ``base_failed`` and ``kept``; only the needed ones are computed."""
-    ordered = in_order(estimate(docs, base + rules, text, sample_rows))
+    """``docs`` with all measures, ``base_failed`` and ``kept``."""
     cascade = F
-    for rule in ordered:
-        cascade = cascade.when(F.expr(rule.rejects.format(t=f"`{text}`")), False)
-    judged = measured(docs, text).withColumns(
-        {"base_failed": F.expr(" or ".join(f"({r.rejects})" for r in base)), "kept": cascade.otherwise(True)}
-    )
-    # a generator of one row: without it a filter on a result would go below the measures it is made of
-    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged.select(*[c for c in judged.columns if c not in results], F.inline(F.array(F.struct(*results))))
+    for rule in in_order(estimate(docs, base + rules, text, sample_rows)):
+        cascade = cascade.when(_asked(rule, text), False)
+    judged = measured(docs, text).withColumns({"base_failed": F.expr(" or ".join(f"({r.rejects})" for r in base)), "kept": cascade.otherwise(True)})
+    return _settled(judged, [*MEASURES, "base_failed", "kept"])
+
+
+def kept_rows(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + CASCADE_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects; what a rule rejects costs nothing after it."""
+    own = {c: f"_q_own_{c}" for c in docs.columns if c in (*MEASURES, "_q_words")}
+    df, t = docs.withColumnsRenamed(own), own.get(text, text)
+    for rule in in_order(estimate(docs, rules, text, sample_rows)):
+        new = [m for m in MEASURES if m in rule.rejects and m not in df.columns]
+        if new:
+            df = _settled(_with_measures(df, f"`{t}`", new), [*new, "_q_words"])
+        df = df.where(~F.coalesce(_asked(rule, t), F.lit(False)))
+    return df.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])

@@ -149,6 +149,34 @@ def test_quality_edges_and_order(spark):
     assert quality.in_order([(a, 1.0, 0.1), (b, 1.0, 0.5), (c, 0.1, 0.2)]) == [c, b, a]
 
 
+def test_repeated_windows_despite_equal_hashes(spark):
+    """Hashes of four bits: windows that differ share them, so the words decide."""
+    rng = random.Random(4)
+    texts = [sentence(rng, rng.randrange(120), 6) for _ in range(200)] + EDGES
+    df = docs_of(spark, texts)
+    weak, full = ({r.doc_id: r.n_repeat_words for r in quality.measured(df, hash_bits=n).collect()} for n in (4, 64))
+    for i, t in enumerate(texts):
+        w = [x for x in re.split("[ \t-\r]+", t or "") if x]
+        times = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        n = len({k + j for k in range(len(w) - 2) if times[tuple(w[k : k + 3])] > 1 for j in range(3)})
+        assert weak[i] == full[i] == n, t
+
+
+def test_kept_rows_whatever_the_order(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [sentence(rng, 30 + k, 10 + 9 * k) + " !#" * (k % 37) for k in range(120)] + ["A" * 9 + sentence(rng, 60), "LOUD " * 80, *EDGES]
+    df = docs_of(spark, texts).withColumn("n_words", F.lit("own"))
+    want = sorted(r.doc_id for r in quality.judge(df.drop("n_words")).where("kept").collect())
+    rules = list(quality.BASE_RULES + quality.CASCADE_RULES)
+    for order in (rules, rules[::-1]):
+        monkeypatch.setattr(quality, "in_order", lambda _, order=order: order)
+        got = quality.kept_rows(df)
+        assert got.columns == df.columns and sorted((r.doc_id, r.n_words) for r in got.collect()) == [(k, "own") for k in want]
+    monkeypatch.undo()
+    assert sorted(r.doc_id for r in quality.kept_rows(df).collect()) == want and quality.kept_rows(df.limit(0)).count() == 0
+    assert 20 < len(want) < len(texts) - 15
+
+
 # 4
 
 
