@@ -23,15 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.llm.tokens import give_back
 from chalkline.session import cut
 
 #: Most members of a block; a bucket of more is dealt in pairs of blocks.
 BLOCK = 512
+#: Most rows to drop that are broadcast; more meet the documents by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _SKETCH = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("text_hash", T.LongType()),
         T.StructField("set_id", T.LongType()),
+        T.StructField("second", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
@@ -87,13 +91,14 @@ def _sketcher(n: int, bands: int, rows: int):
                 part = batch.slice(at, 512)
                 sets = shingle_sets(part.column(2), n)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                ids = np.zeros(len(sets), np.uint64)
+                ids, second = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 hashes = np.zeros((len(full), bands), np.uint64)
                 if full:
                     flat = np.concatenate([sets[k] for k in full])
                     starts = np.cumsum([0] + [len(sets[k]) for k in full[:-1]])
                     with np.errstate(over="ignore"):
                         ids[full] = _mixed(np.add.reduceat(_mixed(flat), starts) + np.uint64(1))
+                        second[full] = np.add.reduceat(_mixed(flat ^ np.uint64(0xA0761D6478BD642F)), starts)
                         for b in range(bands):
                             band = np.full(len(full), b + 1, np.uint64)
                             for k in range(b * rows, (b + 1) * rows):
@@ -105,7 +110,8 @@ def _sketcher(n: int, bands: int, rows: int):
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel().view(np.int64)))
                 known = pa.array(ids.view(np.int64), mask=lens == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), known, lists], _SKETCH.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), known, pa.array(second.view(np.int64)), lists], _SKETCH.names)
+        give_back()
 
     return sketch
 
@@ -207,12 +213,20 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float, recall: float) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links) of each row."""
+    """(doc_id, text_hash, class_id, n_links) of each row.
+
+    A set is named by a 64-bit hash of its n-grams. A second hash shows names that different sets share, of which
+    some are to be expected in 10^10 sets; those sets are named anew by both.
+    """
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(word_hashes("text")).alias("words"))
     sketches = cut(sketches.mapInArrow(_sketcher(words, bands, rows), _SKETCH))
-    named = sketches.where("doc_id is not null and set_id is not null")
+    twins = sketches.groupBy("set_id").agg(F.min("second").alias("_low"), F.max("second").alias("_high")).where("_low <> _high").select("set_id")
+    if not (twins := cut(twins)).isEmpty():
+        sketches = sketches.join(twins.withColumn("_twin", F.lit(True)), "set_id", "left")
+        sketches = sketches.withColumn("set_id", F.when(F.col("_twin"), F.xxhash64("set_id", "second")).otherwise(F.col("set_id"))).drop("_twin")
+    named = sketches.where("doc_id is not null and set_id is not null").drop("second")
     sets = named.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("size"))
     sets = cut(sets.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "size"))
 
@@ -241,16 +255,15 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     grouped = parts.join(sets, parts.node == sets.set_id)
     lowest = grouped.groupBy("part").agg(F.min("doc_id").alias("lowest"))
     linked = found.groupBy("set_id").agg(F.sum("links").alias("links"))
-    classes = (
+    classes = cut(
         sets.join(parts, sets.set_id == parts.node, "left").join(lowest, "part", "left").join(linked, "set_id", "left")
         .select("set_id", F.coalesce("lowest", "doc_id").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    return sketches.select("doc_id", "text_hash", "set_id").join(classes, "set_id", "left").select(
-        "doc_id",
-        "text_hash",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+    # rows without an id or words stay out of the join, where null would be one hot key; the join splits a set of many copies
+    alone = F.col("doc_id").isNull() | F.col("set_id").isNull()
+    rows = sketches.select("doc_id", "text_hash", "set_id")
+    joined = rows.where(~alone).join(classes, "set_id").select("doc_id", "text_hash", "class_id", "n_links")
+    return joined.union(rows.where(alone).select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
@@ -265,7 +278,8 @@ def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     each of them stays.
     """
     labels = cut(labelled(docs, key, text, words, threshold, recall))
-    gone = labels.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    gone = cut(labels.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     kept = docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (F.xxhash64(docs[text].cast("string")) == gone["_hash"]), "left_anti")
     again = labels.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if again:

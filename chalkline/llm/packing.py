@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from chalkline.llm.tokens import word_ids
+        from chalkline.llm.tokens import give_back, word_ids
 
         coder = word_ids(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
@@ -178,5 +178,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
                     yield from emit()
         if keys:
             yield from emit()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, PIECES)

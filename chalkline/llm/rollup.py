@@ -28,7 +28,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, version: str, text: str = "tex
     """(doc_id, source, lang, tokenizer, n_tokens) of each document."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from chalkline.llm.tokens import word_ids
+        from chalkline.llm.tokens import give_back, word_ids
 
         coder = word_ids(tokenizer)
         for batch in batches:
@@ -36,6 +36,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, version: str, text: str = "tex
                 part = batch.slice(at, 512)
                 n = coder.counts([t or "" for t in part.column(3).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n)], ["doc_id", "source", "lang", "n_tokens"])
+        give_back()
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text).cast("string"))
     counted_docs = plain.mapInArrow(counted, "doc_id long, source string, lang string, n_tokens long")

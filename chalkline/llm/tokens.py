@@ -7,10 +7,12 @@ chunks between blanks and line breaks, and a chunk is worked out once per worker
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: The pre-token pattern of the word_bpe_49k file, written for the `regex` module.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -62,7 +64,8 @@ class WordIds:
                 odd[chunk] = None
                 split.append(None)
                 continue
-            parts = self.pattern.findall(chunk.lower())
+            lower = chunk.lower()
+            parts = [lower] if lower.isalpha() else self.pattern.findall(lower)
             words.update(p for p in parts if p not in known)
             split.append(parts)
         if words:
@@ -137,7 +140,15 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return b
 
 
-@functools.lru_cache(maxsize=4)
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and stand beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One ``WordIds`` for each file and Python worker."""
     return WordIds(path)

@@ -102,6 +102,27 @@ def plain_join(texts):
     return [(i, part[i], links[i]) for i in range(len(sets))]
 
 
+def test_sets_that_share_a_name(spark, monkeypatch):
+    """First hashes of one bit: most sets share a name, and are told apart by the second."""
+    texts = [sentence(random.Random(k), 30) for k in range(20)] * 2 + EDGES
+
+    def sketcher(n, bands, rows, make=jaccard._sketcher):
+        inner = make(n, bands, rows)
+
+        def sketch(batches):
+            import pyarrow as pa
+
+            for b in inner(batches):
+                low = pa.array([None if x is None else x & 1 for x in b.column(2).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), low, b.column(3), b.column(4)], b.schema.names)
+
+        return sketch
+
+    monkeypatch.setattr(jaccard, "_sketcher", sketcher)
+    got = jaccard.jaccard_join(docs_of(spark, texts))
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == plain_join(texts)
+
+
 def near_copies(rng, n):
     base = sentence(rng, 80).split()
     out = []
