@@ -6,6 +6,8 @@ import json
 import math
 import random
 import re
+import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -235,15 +237,78 @@ def test_rollup_query(spark):
 # 5
 
 
-def test_licenses(spark):
+def families(spark, texts):
+    got = collections.defaultdict(set)
+    for r in licenses.scan(docs_of(spark, texts)).collect():
+        got[r.doc_id].add(r.family)
+    return [got[i] for i in range(len(texts))]
+
+
+def wrapped(text, width, mark):
+    return "\n".join(f"{mark}{line}" for line in textwrap.wrap(text, width))
+
+
+def test_license_statements_wrapped_and_marked(spark):
     rng = random.Random(2)
-    texts = [f"{sentence(rng, 30)}\n{t}" for _, t in licenses.TEMPLATES] + [sentence(rng, 60), "in the use of the terms of the work", None, "", "All rights reserved. All rights reserved."]
-    got = {(r.doc_id, r.paragraph): r.family for r in licenses.scan(docs_of(spark, texts)).collect()}
-    want = {(i, 1): f for i, (f, _) in enumerate(licenses.TEMPLATES)} | {(len(licenses.TEMPLATES) + 4, 0): "reserved"}
-    assert got == want
+    texts, want = [], []
+    for k, (family, t) in enumerate(licenses.TEMPLATES):
+        body = wrapped(t, 34, ["", "# ", " * ", "// "][k % 4])
+        texts.append(f"{sentence(rng, 30)}\n{body}\n{sentence(rng, 30)}" if k % 2 else f"{sentence(rng, 30)}\n \n{body}\n#\n{sentence(rng, 30)}")
+        want.append({family})
+    assert families(spark, texts) == want
+
+
+def test_licenses_told_apart(spark):
+    rng = random.Random(3)
+    cases = [
+        (sentence(rng, 60), set()), ("in the use of the terms of the work", set()), ("We take all rights reserved seats.", set()),
+        ("Those all rights reserved tables were full, so we left the file in the hall.", set()), (None, set()), ("", set()),
+        ("All rights reserved. All rights reserved.", {"reserved"}), ("\n" * 40_000, set()),
+        ("Licensed under the MIT license. \n" + "word " * 30 + "\nReleased under the Apache License 2.0.", {"mit", "apache-2.0"}),
+        ("Licensed under the MIT license. Licensed under the BSD 3-Clause License.", {"mit", "bsd"}),
+        ("Licensed under the Quokka License, version 7.", {"unknown"}), ("SPDX-License-Identifier: MIT", {"mit"}), ("// SPDX-License-Identifier: GPL-3.0-only", {"gpl-3.0"}),
+    ]
+    assert families(spark, [t for t, _ in cases]) == [w for _, w in cases]
+    again = licenses.scan(docs_of(spark, ["The MIT License (MIT)"] * 3)).collect()
+    assert sorted((r.doc_id, r.family) for r in again) == [(0, "mit"), (1, "mit"), (2, "mit")] and all(0 <= r.probability <= 1 for r in again)
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_license_model_is_held_out_and_kept(spark):
+    table, intercepts, accuracy = licenses._trained(spark)
+    assert accuracy > 0.88 and len(intercepts) == len(licenses.CLASSES)
+    assert licenses._trained(spark)[0] is table
+
+
+def test_license_passages_equal_a_plain_walk(spark):
+    rng = random.Random(5)
+    vocabulary = ["alpha", "beta", "gamma", "x", ".", "\n", "\n\n", "\n#\n"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(120))) for _ in range(60)] + [None, "", "alpha beta " * 9]
+    wanted = {("alpha", "beta"), ("gamma", "alpha"), ("¶", "gamma")}
+    rows = spark.createDataFrame([(a, b) for a, b in wanted], "a string, b string").select(F.xxhash64("a", "b").alias("pair"))
+    got = collections.Counter((r.doc_id, r.paragraph, r.at, r.passage) for r in licenses.passages(docs_of(spark, texts), rows).collect())
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        for k, body in enumerate(re.split(r"\n[\W_]*\n", t or "")):
+            marked = re.sub(r"[.!?;:]+(?=\s|$)", " ¶ ", body.lower())
+            w = [x for x in re.split(r"[^\w¶]+", f"¶ {marked} ¶") if x]
+            last, passage = None, 0
+            for at in range(len(w) - 1):
+                if (w[at], w[at + 1]) in wanted:
+                    passage += last is not None and at - last > licenses.GAP
+                    last = at
+                    want[i, k, at, passage] += 1
+    assert got == want
+
+
+def test_license_scan_is_linear_in_a_line(spark):
+    began = time.perf_counter()
+    licenses.scan(docs_of(spark, ["some words of a line " * 1000])).count()
+    middle = time.perf_counter()
+    licenses.scan(docs_of(spark, ["some words of a line " * 40_000])).count()
+    assert time.perf_counter() - middle < 10 + 3 * (middle - began)
+
+
 # 6
 
 
