@@ -25,6 +25,24 @@ def test_stream_equals_batch(finals):
     assert want == got == [("s1", 1, "Hello there.", 0.9), ("s1", 2, "More words come!", 0.5), ("s2", 1, "Only one.", None), ("s2", 2, "Then two.", 0.7)]
 
 
+def test_session_end_and_hot_session(spark, tmp_path):
+    """A row that ends its session gives the rest; and a long session equals the fold over its results."""
+    rows = [("s", 1, "open end", 0.5, 0.0, False), ("s", 2, None, None, 0.2, True), ("t", 1, "no end.", 0.4, 0.0, False)]
+    df = spark.createDataFrame(rows, "session_id string, ord long, text string, confidence double, at double, ended boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "ended"))
+    got = run(segmenter.segments_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "ended"))), "ended")
+    assert sorted((r.session_id, r.text) for r in got) == [("s", "open end"), ("t", "no end.")]
+    long = [(None if i % 3 else "hot", i, f"word {i}" + "." * (i % 4 == 0), 0.9, i / 2) for i in range(3000)]
+    df = spark.createDataFrame(long, "session_id string, ord long, text string, confidence double, at double")
+    want = []
+    for name in (None, "hot"):
+        speech, rules = segmenter.Speech(), segmenter.Rules()
+        mine = [r for r in long if r[0] == name]
+        want += [(name, *s) for r in mine for s in speech.hear(*r[2:], rules)] + [(name, *s) for s in speech.close(mine[-1][4], rules)]
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, segmenter.segments(df).collect()), key=key) == sorted(want, key=key)
+
+
 def test_acquisitions(spark, tmp_path):
     rows = [("k", i, 0.0, "done") for i in range(10)] + [("f", 1, 0.0, "failed"), ("f", 2, 10.0, "done"), ("f", 3, 31.0, "done")]
     df = spark.createDataFrame(rows, "key string, ord long, at double, outcome string")
