@@ -373,45 +373,51 @@ def test_nnls_conditions():
 
 
 def plain_model(texts):
+    """Interpolated modified Kneser-Ney of order two by its definition: (P(w | v), the words, discounts)."""
     words = [[x for x in re.split("[ \t-\r]+", (t or "").lower()) if x] for t in texts]
     big = collections.Counter(p for w in words for p in zip(["<s>", *w], [*w, "</s>"]))
 
-    def discounts(values):
+    def cuts(values):
         n = collections.Counter(values)
-        return perplexity._discounts(n[1], n[2], n[3], n[4])
+        return perplexity.discounts(n[1], n[2], n[3], n[4])
 
-    two, more = discounts(big.values())
-    cont = collections.Counter(w for _, w in big)
-    low_two, low_more = discounts(cont.values())
-    d = lambda c, a, b: 1.0 if c == 1 else a if c == 2 else b
+    high, cont = cuts(big.values()), collections.Counter(w for _, w in big)
+    low = cuts(cont.values())
     total = sum(cont.values())
-    rest = sum(d(c, low_two, low_more) for c in cont.values()) / total
-    unknown = rest / (len(cont) + 1)
-    single = lambda w: (cont[w] - d(cont[w], low_two, low_more)) / total + unknown if cont[w] > 1 else unknown
+    unknown = sum(low[min(c, 3) - 1] for c in cont.values()) / total / (len(cont) + 1)
+    single = lambda w: (cont[w] - low[min(cont[w], 3) - 1]) / total + unknown if w in cont else unknown
     seen, left = collections.Counter(), collections.Counter()
     for (v, _), c in big.items():
         seen[v] += c
-        left[v] += d(c, two, more)
+        left[v] += high[min(c, 3) - 1]
 
     def p(v, w):
-        if seen[v] < 2:
+        if v not in seen:
             return single(w)
         c = big[v, w]
-        return (max(c - d(c, two, more), 0) if c > 1 else 0) / seen[v] + left[v] / seen[v] * single(w)
+        return (c - high[min(c, 3) - 1] if c else 0) / seen[v] + left[v] / seen[v] * single(w)
 
-    return p, cont
+    return p, cont, high
 
 
-@pytest.mark.parametrize("head", [0, 40, perplexity.HEAD_GRAMS])
-def test_perplexity_equals_plain_model(spark, monkeypatch, head):
-    monkeypatch.setattr(perplexity, "HEAD_GRAMS", head)
+def test_discounts():
+    # Y = 40 / (40 + 2 x 20) = 1/2, so 1 - 2 Y 20/40, 2 - 3 Y 10/20, 3 - 4 Y 5/10
+    assert perplexity.discounts(40, 20, 10, 5) == (0.5, 1.25, 2.0)
+
+
+@pytest.mark.parametrize(("head", "salt"), [(0, 10**9), (40, 300), (perplexity.HEAD, 10**9)])
+def test_perplexity_equals_plain_model(spark, monkeypatch, head, salt):
+    """Without a head, with one of some grams and many salts, and with all grams in it."""
+    monkeypatch.setattr(perplexity, "HEAD", head)
+    monkeypatch.setattr(perplexity, "SALT_CHARS", salt)
+    monkeypatch.setattr(perplexity, "BLOCK_TOKENS", 1000)
     rng = random.Random(4)
-    texts = [sentence(rng, 120, 40) for _ in range(60)] + [None, "", "tail " * 400, "Q q q zz!!"]
+    texts = [sentence(rng, 120, 40 + 3 * i) for i in range(60)] + [None, "", "tail " * 400, "Q q q zz!!"]
     df = docs_of(spark, texts)
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     half = {r.doc_id for r in trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}
-    p, cont = plain_model([texts[i] for i in half])
-    assert abs(sum(p("w1", w) for w in cont) + p("w1", "never") - 1) < 1e-9
+    p, cont, high = plain_model([texts[i] for i in half])
+    assert all(abs(sum(p(v, w) for w in cont) + p(v, "never") - 1) < 1e-9 for v in ("w1", "w77", "<s>")) and 0 < high[0] < 1
     got = {r.doc_id: r for r in perplexity.classify(df, trusted).collect()}
     for i, t in enumerate(texts):
         w = (t or "").lower().split()
@@ -420,7 +426,8 @@ def test_perplexity_equals_plain_model(spark, monkeypatch, head):
             continue
         logs = sum(math.log(p(a, b)) for a, b in zip(["<s>", *w], [*w, "</s>"]))
         assert got[i].perplexity == pytest.approx(math.exp(-logs / (len(w) + 1)), rel=1e-4)
-    assert all(got[i].kept for i in range(60)) and not got[63].kept
+    held = sorted(got[i].perplexity for i in range(60) if i not in half)
+    assert got[0].threshold == held[math.ceil(0.99 * len(held)) - 1] and not got[63].kept
 
 
 def test_perplexity_edges(spark):
