@@ -4,20 +4,24 @@ Plain identifiers are found in the text itself. For disguised ones three transdu
 each keeping for every output character the source characters it stands for:
 
 1. homoglyphs and invisible characters fold to ASCII;
-2. "(at)", "[dot]" and then "na dot me at host dot tld" become ``@`` and ``.``, in any mix that has an
-   at-mark; "name at host.tld" with plain dots only is left, since prose has it ("look at example.com");
+2. "(at)", "[dot]" and then "na dot me at host dot tld" and "name_at_host_dot_tld" become ``@`` and ``.``, in any
+   mix that has an at-mark; "name at host.tld" with plain dots only is left, since prose has it ("look at
+   example.com"); "192 dot 168 dot 1 dot 5" becomes an address with dots;
 3. runs of spelled digits ("plus one four ...", "eins neun zwei Punkt ...") become digits.
 
 The same detectors then read the normalised text, and their spans map back to source characters.
 
 Defined results: a null or empty text has no spans; repeated rows each get their own; all other
-columns pass through untouched (a column named like the result is replaced).
+columns pass through untouched (a column named like the result is replaced). Memory for a text follows
+its length and the number of rewritten places, not a record for each character.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,13 +67,16 @@ _SPOKEN = re.compile(
     r"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?: dot (?!at )[A-Za-z0-9._%+-]++)*+(?:(?P<at>@| at )[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++)?", re.I
 )
 _SPOKEN_DOT = re.compile(r" dot ", re.I)
+_SPOKEN_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![\w.])", re.I)
+_JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+]+?(?P<at>([_-])at\2)[A-Za-z0-9]+(?:\2dot\2[A-Za-z0-9]+)+(?![A-Za-z0-9])", re.I)
+_JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
 _MARKED = re.compile(r"[\[({<] ?(?:at|@|ät|dot|punkt|point|punto|\.) ?[\])}>]", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(
     rf"(?<!\w)(?:(?:{'|'.join(_PLUS_WORDS)}|\+)[ -]?)?(?:{_WORD})(?:(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9]|{'|'.join(_POINT_WORDS)}))(?!\w)){{6,}}", re.I
 )
 _SPELLED_PART = re.compile(r"\w+|\+")
-_HINT = re.compile(rf"[ ,-](?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|{'|'.join(_POINT_WORDS)})(?!\w)")
+_HINT = re.compile(rf"\W(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9]|{'|'.join(_POINT_WORDS)})(?!\w)")  # what any spelled run begins with
 
 
 def luhn(digits: str) -> bool:
@@ -105,23 +112,55 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class _Tape:
-    """A text under rewriting; ``spans[i]`` are the source characters of its character i."""
+    """A text under rewriting, in pieces: plain ones are source text from some place on, changed ones stand for a source part."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.spans, self.changed = text, [(i, i + 1) for i in range(len(text))], [False] * len(text)
+        self.text = text
+        self.at, self.source, self.changed = [0], [(0, len(text))], [False]
+
+    def _pieces(self, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(piece, first and last place of it) within [start, end)."""
+        k = bisect.bisect_right(self.at, start) - 1
+        while k < len(self.at) and self.at[k] < end:
+            stop = self.at[k + 1] if k + 1 < len(self.at) else len(self.text)
+            yield k, max(start, self.at[k]), min(end, stop)
+            k += 1
+
+    def part(self, start: int, end: int) -> tuple[int, int]:
+        """The source characters that [start, end) stands for."""
+        k, j = bisect.bisect_right(self.at, start) - 1, bisect.bisect_right(self.at, end - 1) - 1
+        first = self.source[k][0] + (0 if self.changed[k] else start - self.at[k])
+        return first, self.source[j][1] if self.changed[j] else self.source[j][0] + end - self.at[j]
+
+    def new_text(self, start: int, end: int) -> str:
+        """What [start, end) has of rewritten text."""
+        return "".join(self.text[a:z] for k, a, z in self._pieces(start, end) if self.changed[k])
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces each [start, end) by its string, whose characters stand for all of the part."""
-        text, spans, changed, at = [], [], [], 0
+        if not edits:
+            return
+        text, at, source, changed, size, done = [], [], [], [], 0, 0
+
+        def add(piece: str, part: tuple[int, int], new: bool) -> None:
+            nonlocal size
+            if piece:
+                text.append(piece)
+                at.append(size)
+                source.append(part)
+                changed.append(new)
+                size += len(piece)
+
+        def keep(start: int, end: int) -> None:
+            for k, a, z in self._pieces(start, end):
+                add(self.text[a:z], self.source[k] if self.changed[k] else self.part(a, z), self.changed[k])
+
         for start, end, new in edits:
-            whole = (self.spans[start][0], self.spans[end - 1][1])
-            text += [self.text[at:start], new]
-            spans += self.spans[at:start] + [whole] * len(new)
-            changed += self.changed[at:start] + [True] * len(new)
-            at = end
-        self.text = "".join([*text, self.text[at:]])
-        self.spans = spans + self.spans[at:]
-        self.changed = changed + self.changed[at:]
+            keep(done, start)
+            add(new, self.part(start, end), True)
+            done = end
+        keep(done, len(self.text))
+        self.text, self.at, self.source, self.changed = "".join(text), at or [0], source or [(0, 0)], changed or [True]
 
 
 def _folded(c: str) -> str:
@@ -145,7 +184,9 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     odd, lower = bool(_ODD.search(text)), text.lower()
     spoken = " at " in lower or " dot " in lower
     marked = bool(_MARKED.search(text)) or (" dot " in lower and ("@" in lower or " at " in lower))
-    if not (odd or marked or _HINT.search(lower)):
+    joined_up = "_dot_" in lower or "-dot-" in lower
+    numbers = " dot " in lower and bool(_SPOKEN_IP.search(text))
+    if not (odd or marked or joined_up or numbers or _HINT.search(f" {lower}")):
         return []
     tape = _Tape(text)
     if odd:
@@ -158,19 +199,23 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
             continue
         dots = [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, *m.span())]
         if m["at"] != "@":  # "look at example.com" is prose: some dot must be disguised
-            if not m[0][0].isalnum() or not (dots or any(tape.changed[i] and tape.text[i] == "." for i in range(*m.span()))):
+            if not m[0][0].isalnum() or not (dots or "." in tape.new_text(*m.span())):
                 continue
             dots.append((*m.span("at"), "@"))
         edits += sorted(dots)
     tape.rewrite(edits)
+    if joined_up:
+        tape.rewrite([e for m in _JOINED.finditer(tape.text) for e in sorted([(*m.span("at"), "@"), *((d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(tape.text, m.end("at"), m.end()))])])
+    if " dot " in lower:
+        tape.rewrite([(d.start(), d.end(), ".") for m in _SPOKEN_IP.finditer(tape.text) for d in _SPOKEN_DOT.finditer(tape.text, *m.span())])
     tape.rewrite([(m.start(), m.end(), _spelled(m[0])) for m in _SPELLED.finditer(tape.text)])
-    if not any(tape.changed) and len(tape.text) == len(text):
+    if tape.text == text:
         return []
     found = set()
     for start, kind, end in plain_spans(tape.text):
-        source = (tape.spans[start][0], kind, tape.spans[end - 1][1])
-        if any(tape.changed[start:end]) or source[2] - source[0] != end - start:
-            found.add(source)
+        first, last = tape.part(start, end)
+        if tape.new_text(start, end) or last - first != end - start:
+            found.add((first, kind, last))
     return sorted(found)
 
 

@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions, short hash prefixes, full digests, precedence.
 
 A URL is expanded into the expressions that a rule could have: of its host's suffixes and its path's
-prefixes those of the shapes (number of host labels, length of path) that occur among the rules. They
-meet the rules by equality of the first 32 bits of a SHA-256 digest; a hit counts when the full digests
+prefixes those of the shapes (number of host labels, length of path) that occur among the rules, however
+many those are: the driver holds the distinct shapes, which are far fewer than rules. Expressions meet
+the rules by equality of the first 32 bits of a SHA-256 digest; a hit counts when the full digests
 agree. The longest rule wins; of rules of equal length the one that blocks, then the first by text.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and no rule; repeated rows
@@ -12,13 +13,13 @@ through (those named host, path, rule and verdict are replaced).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: At most so many rules are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
-#: A rule set may have so many shapes; each is one expression of a URL.
-MOST_SHAPES = 1_000
 # Host and path of the registered rules, with their verdicts.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -45,9 +46,7 @@ def _digested(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict; ``rules`` has rule_host, rule_path and action."""
     known = _digested(rules)
-    shapes = known.select("labels", "path_length").distinct().limit(MOST_SHAPES + 1).collect()
-    if len(shapes) > MOST_SHAPES:
-        raise ValueError(f"the rules have more than {MOST_SHAPES} shapes")
+    shapes = known.groupBy("labels").agg(F.sort_array(F.collect_set("path_length")).alias("lengths")).collect()
     pages = with_host_and_path(pages, url)
     if not shapes:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -56,18 +55,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
 
     urls = pages.select("host", "path").distinct()
     labels = F.split("host", "\\.")
-    expressions = [
-        F.when(
-            (F.size(labels) >= s.labels) & (F.length("path") >= s.path_length),
-            F.concat(F.array_join(F.slice(labels, -s.labels, s.labels), "."), F.substring("path", 1, s.path_length)),
-        )
-        for s in shapes
-    ]
-    hits = urls.select("host", "path", F.explode(F.array_compact(F.array(*expressions))).alias("expression"))
+    suffix = lambda s: F.array_join(F.slice(labels, -s["l"], s["l"]), ".")
+    of_shape = lambda s: F.transform(F.filter(s["p"], lambda n: n <= F.length("path")), lambda n: F.concat(suffix(s), F.substring("path", F.lit(1), n)))
+    all_shapes = F.from_json(F.lit(json.dumps([{"l": r.labels, "p": list(r.lengths)} for r in shapes])), "array<struct<l:int,p:array<int>>>")
+    expressions = F.flatten(F.transform(F.filter(all_shapes, lambda s: s["l"] <= F.size(labels)), of_shape))
+    hits = urls.select("host", "path", F.explode(expressions).alias("expression"))
     hits = hits.withColumn("_digest", F.sha2("expression", 256)).withColumn("prefix", F.substring("_digest", 1, 8))
     hits = hits.join(known, "prefix").where(F.col("_digest") == F.col("digest"))
-    rank = F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("b"), (-F.xxhash64("rule")).alias("x"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("_best"))
+    rank = F.struct((-F.length("rule")).alias("n"), (F.col("action") != "block").alias("b"), F.col("rule").alias("r"))
+    best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), rank).alias("_best"))
     best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "_best")
     joined = pages.join(best, (pages.host == best["_host"]) & (pages.path == best["_path"]), "left")
     return joined.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_host", "_path", "_best")

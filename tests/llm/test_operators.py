@@ -74,6 +74,43 @@ def test_pii_disguised_and_redacted(spark):
     assert pii.with_pii(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("call plus four 9 one 7 six 2 three 4 five 8 one now", [("phone", 5, 47)]), ("one 2 three 4", []),
+        ("host 192 dot 168 dot 1 dot 5 is up", [("ip", 5, 28)]), ("192.168 dot 1.5", [("ip", 0, 15)]), ("1 dot 2 dot 3", []),
+        ("to john_at_example_dot_com.", [("email", 3, 26)]), ("j.d-at-mail-dot-example-dot-org", [("email", 0, 31)]), ("look_at_this", []),
+        ("john DOT doe AT example DOT com", [("email", 0, 31)]), ("look at example.com", []), ("a dot plan at noon", []),
+    ],
+)
+def test_pii_further_disguises(text, spans):
+    assert [(pii.KINDS[k], s, e) for s, k, e, _ in pii.find(text)] == spans
+
+
+def test_pii_tape_maps_back():
+    """Random rewrites against a list with one source part for each character."""
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 30)))
+        tape, parts, new = pii._Tape(text), [(i, i + 1) for i in range(len(text))], [False] * len(text)
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(parts) + 1), min(len(parts) + 1, 2 * rng.randrange(3))))
+            edits = [(a, z, "X" * rng.randrange(3)) for a, z in zip(cuts[::2], cuts[1::2])]
+            tape.rewrite(edits)
+            for a, z, s in reversed(edits):
+                parts[a:z], new[a:z] = [(parts[a][0], parts[z - 1][1])] * len(s), [True] * len(s)
+            assert len(tape.text) == len(parts)
+            for _ in range(5 if parts else 0):
+                a = rng.randrange(len(parts))
+                z = rng.randrange(a, len(parts)) + 1
+                assert tape.part(a, z) == (parts[a][0], parts[z - 1][1]) and bool(tape.new_text(a, z)) == any(new[a:z])
+
+
+def test_pii_very_long_text():
+    text = "plain words and (dot) signs. " * 40_000 + "jane (at) example [dot] com"
+    assert [(pii.KINDS[k], e - s) for s, k, e, _ in pii.find(text)] == [("email", 27)]
+
+
 def test_pii_query_digest(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.QUERIES["op1_pii"](spark, SF).collect():
@@ -328,6 +365,24 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_many_shapes(spark, monkeypatch):
+    """Rules of over a thousand shapes, ties, and the join by shuffle."""
+    rules = [(f"{'a.' * (k % 40)}com", "/" + "x" * (k // 40), "block" if k % 2 else "allow") for k in range(1600)]
+    rules += [("b.org", "/pq", "allow"), ("org", "/pq/r", "block"), ("t.net", "/", "allow"), ("t.net", "/", "block"), (None, "/", "block"), ("x.net", None, "block")]
+    df = spark.createDataFrame(rules, "rule_host string, rule_path string, action string")
+    pages = [(k, f"http://{'a.' * k}com/{'x' * 45}") for k in range(45)] + [(50, "http://q.b.org/pq/r"), (51, "x://T.net/"), (52, None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+
+    def fits(host, path):
+        found = [(-len(h + p), a != "block", h + p, a) for h, p, a in rules if h and p and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return min(found)[2:] if found else (None, "allow")
+
+    for most in (0, 10**6):
+        monkeypatch.setattr(urls, "BROADCAST_RULES", most)
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(frame, df).collect()}
+        assert got == {k: fits(*((u or "x:///").split("://")[1].lower().split("/", 1)[0], "/" + (u or "x:///").split("://")[1].split("/", 1)[1])) for k, u in pages}
+
+
 # 7
 
 
