@@ -54,3 +54,8 @@ def worker_status(raw: Column, allowed: tuple[str, ...]) -> Column:
     """Status of a JSON object, or of a bare word; null unless it is allowed."""
     status = F.coalesce(F.from_json(raw, "status string")["status"], raw)
     return F.when(status.isin(*allowed), status)
+
+
+def cancellation(first: Column, second: Column) -> Column:
+    """struct(details, code) of a cancelled result: the first of two places that has details."""
+    return F.when(first["details"].isNotNull(), first).when(second["details"].isNotNull(), second)

@@ -208,3 +208,9 @@ def failure_kind(message: Column, permanent: tuple[str, ...], transient: tuple[s
     """Permanent markers go before transient ones; what has neither may be tried again."""
     has = lambda marks: reduce(lambda a, m: a | F.lower(message).contains(m), marks, F.lit(False))
     return F.when(has(permanent), "permanent").when(has(transient), "transient").otherwise("retryable")
+
+
+def draft(partial: Column, placeholder: str, least: int = 6) -> Column:
+    """A partial result that is worth a draft: trimmed, long enough and not the placeholder; else null."""
+    t = F.trim(partial)
+    return F.when((F.length(t) >= least) & (t != placeholder), t)

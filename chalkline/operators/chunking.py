@@ -131,3 +131,8 @@ def hit_payload(hits: DataFrame) -> DataFrame:
     """Section title of a hit: its section, else its chapter, else ''; empty strings fall through too."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     return hits.withColumns({"section_title": F.coalesce(blank("section_title"), blank("chapter"), F.lit("")), "score": F.bround("score", 4)})
+
+
+def with_defaults(chunks: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """``chunks`` with a default in each named column that is null."""
+    return chunks.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})

@@ -14,13 +14,45 @@ def answer_ranks(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
     ``queries``: (query_id, query_type, answers array); ``hits``: (query_id, chunk_id, score, rank).
     """
-    asked = queries.select("query_id", F.explode_outer("answers").alias("chunk_id"))
-    got = asked.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"]).groupBy("query_id").agg(
+    answers = queries.select(F.col("query_id").alias("group"), F.explode("answers").alias("chunk_id"))
+    return group_answer_ranks(queries.select("query_id", "query_type", F.col("query_id").alias("group")), answers, hits)
+
+
+def group_answer_ranks(queries: DataFrame, answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """The same where queries of a group share their answers, which stay rows: ``queries`` (query_id, query_type, group),
+    ``answers`` (group, chunk_id). Only a query's hits meet the answers."""
+    answers = answers.select("group", "chunk_id").distinct()
+    sizes = answers.groupBy("group").agg(F.count(F.lit(1)).alias("n_answers"))
+    asked = queries.select("query_id", "group")
+    got = hits.select("query_id", "chunk_id", "rank").join(asked, "query_id").join(answers, ["group", "chunk_id"]).groupBy("query_id").agg(
         F.min("rank").alias("first_rank"), F.count_distinct("chunk_id").alias("n_found")
     )
     top = hits.groupBy("query_id").agg(F.max("score").alias("top_score"))
-    sized = queries.select("query_id", "query_type", F.size(F.array_distinct("answers")).cast("long").alias("n_answers"))
-    return sized.join(got, "query_id", "left").join(top, "query_id", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    out = queries.join(sizes, "group", "left").join(got, "query_id", "left").join(top, "query_id", "left")
+    none = F.lit(0).cast("long")
+    return out.select("query_id", "query_type", F.coalesce("n_answers", none).alias("n_answers"), "first_rank", F.coalesce("n_found", none).alias("n_found"), "top_score")
+
+
+def uplift(raw: DataFrame, normalised: DataFrame, cutoffs: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """Recall of two arms, raw and normalised queries, and what the second gains; one row. Both: (query_id, n_answers, first_rank)."""
+    arms = raw.select("*", F.lit("raw").alias("arm")).unionByName(normalised.select("*", F.lit("normalised").alias("arm")), allowMissingColumns=True).where("n_answers > 0")
+    hit = lambda k: (F.coalesce(F.col("first_rank"), F.lit(1 << 30)) <= k).cast("double")
+    of = lambda arm, k: F.avg(F.when(F.col("arm") == arm, hit(k)))
+    columns = [c for k in cutoffs for c in (F.round(of("raw", k), 6).alias(f"raw_{k}"), F.round(of("normalised", k), 6).alias(f"normalised_{k}"), F.round(of("normalised", k) - of("raw", k), 6).alias(f"gain_{k}"))]
+    return arms.agg(*columns)
+
+
+def confusion(routed: DataFrame) -> DataFrame:
+    """Router decisions against what was expected, one row. ``routed``: (expected, use_rag, gated); expected is on, off or either.
+
+    ``accuracy`` leaves out the rows where either is right; ``gated_off`` counts triggered ones that the score gate stopped.
+    """
+    on, off = F.col("expected") == "on", F.col("expected") == "off"
+    right = (on & F.col("use_rag")) | (off & ~F.col("use_rag"))
+    return routed.agg(
+        F.count_if(on & F.col("use_rag")).alias("true_on"), F.count_if(on & ~F.col("use_rag")).alias("false_off"), F.count_if(off & F.col("use_rag")).alias("false_on"),
+        F.count_if(off & ~F.col("use_rag")).alias("true_off"), F.count_if(F.col("gated")).alias("gated_off"), F.round(F.avg(F.when(on | off, right.cast("double"))), 6).alias("accuracy"),
+    )
 
 
 def metrics(ranks: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
@@ -90,6 +122,12 @@ def pseudo_confidence(logprobs: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(mean))) * F.when(mean.isNotNull(), 1.0)
 
 
+def mean_confidence(logprob: Column) -> Column:
+    """The same as an aggregate over rows."""
+    mean = F.avg(logprob)
+    return F.when(mean.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(mean))))
+
+
 @F.arrow_udf(T.LongType())
 def word_distance(reference, heard):
     """Edits between two lists of words."""

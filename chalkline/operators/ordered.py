@@ -90,3 +90,10 @@ def latest_per_window(rows: DataFrame, keys: list[str], at: str, seconds: int =
     slot = F.floor(F.col(at).cast("double") / seconds)
     w = Window.partitionBy(*keys, slot).orderBy(F.desc(at))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def running_text(rows: DataFrame, keys: list[str], order: str, delta: str, into: str) -> DataFrame:
+    """``rows`` with all deltas of their item so far, joined; null before the first one."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = F.collect_list(delta).over(w)
+    return rows.withColumn(into, F.when(F.size(parts) > 0, F.array_join(parts, "")))

@@ -80,3 +80,10 @@ def unique_or_fail(rows: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key)
     checked = rows.withColumn("_n", F.count(F.lit(1)).over(w))
     return checked.where(F.assert_true(F.col("_n") == 1, F.concat(F.lit("duplicate key: "), F.col(key).cast("string"))).isNull()).drop("_n")
+
+
+def updated_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with new values where the condition holds, and whether a row was ``affected``."""
+    hit = F.coalesce(condition, F.lit(False))
+    out = rows.withColumn("affected", hit)
+    return out.withColumns({c: F.when(F.col("affected"), v).otherwise(F.col(c)) for c, v in values.items()})

@@ -1,5 +1,5 @@
 """Registered queries by subject; importing this package registers all of them."""
 
-from chalkline.plans import control, latency, retrieval, sequences, texts
+from chalkline.plans import control, latency, retrieval, sequences, texts, words
 
-__all__ = ["control", "latency", "retrieval", "sequences", "texts"]
+__all__ = ["control", "latency", "retrieval", "sequences", "texts", "words"]

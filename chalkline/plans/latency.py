@@ -66,5 +66,4 @@ def doc_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chalkline.sources.writers import chunk_stats
 
     d = table(spark, sf_dir, "documents").withColumnRenamed("lang", "doc_type")
-    tokens = d.groupBy("doc_type").agg(F.sum(estimate_tokens(F.col("text"))).alias("tokens"))
-    return chunk_stats(d).join(tokens, "doc_type")
+    return chunk_stats(d, F.sum(estimate_tokens(F.col("text"))).alias("tokens"))

@@ -42,10 +42,9 @@ def _hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    answers = v.where("vec_id % 7 = 0 and label <> 9").groupBy("label").agg(F.collect_list("vec_id").alias("answers"))
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("query_type"), "label")
-    queries = asked.join(answers, "label", "left").withColumn("answers", F.coalesce("answers", F.array().cast("array<bigint>")))
-    return evaluation.answer_ranks(queries, retrieval.merged_hits(_hits(spark, sf_dir)))
+    answers = v.where("vec_id % 7 = 0 and label <> 9").select(F.col("label").alias("group"), F.col("vec_id").alias("chunk_id"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("query_type"), F.col("label").alias("group"))
+    return evaluation.group_answer_ranks(asked, answers, retrieval.merged_hits(_hits(spark, sf_dir)))
 
 
 @query("retrieve_topk", _HITS + "SELECT query_id, chunk_id, index_name, round(score, 6) AS score, rank, (max(score) OVER (PARTITION BY query_id)) >= 0.45 AS use_rag FROM hits WHERE rank <= 5")
@@ -142,11 +141,12 @@ SELECT a.label, len(list_intersect(answers, members)) AS n_kept, len(list_filter
 )
 def label_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that each index keeps and loses."""
-    v = table(spark, sf_dir, "embeddings")
-    members = v.where("vec_id % 3 <> 0").groupBy("label").agg(F.collect_set("vec_id").alias("members"))
-    answers = v.where("vec_id % 20 < 4").groupBy("label").agg(F.collect_set("vec_id").alias("answers"))
-    kept, lost = evaluation.kept_answers(F.col("answers"), F.col("members"))
-    return answers.join(members, "label").select("label", F.size(kept).cast("long").alias("n_kept"), F.size(lost).cast("long").alias("n_lost"), (F.size(kept) == 0).alias("dropped"))
+    v = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    members = v.where("vec_id % 3 <> 0").select("label", "vec_id", F.lit(True).alias("_in")).distinct()
+    answers = v.where("vec_id % 20 < 4").select("label", "vec_id").distinct()
+    kept = F.count("_in")
+    out = answers.join(members, ["label", "vec_id"], "left").groupBy("label").agg(kept.alias("n_kept"), (F.count(F.lit(1)) - kept).alias("n_lost"), (kept == 0).alias("dropped"))
+    return out.join(members.select("label").distinct(), "label", "left_semi")
 
 
 @query(
@@ -190,3 +190,35 @@ def index_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = c.where("n_regionkey < 3").select(F.col("c_custkey").alias("course_id"), F.lit("hss").alias("route_major"), F.array(F.lit("lecture")).alias("route_indexes"))
     out = retrieval.indexes_for(courses, routes, "ai", {"ai": "major_ai", "hss": "major_hss", "bme": "major_bme"})
     return out.withColumn("indexes", F.array_join("indexes", ","))
+
+
+@query(
+    "normalised_uplift",
+    _RANKS
+    + """SELECT round(avg(CASE WHEN raw <= 1 THEN 1.0 ELSE 0.0 END), 6) AS raw_1, round(avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS normalised_1,
+  round(avg(CASE WHEN first_rank <= 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN raw <= 1 THEN 1.0 ELSE 0.0 END), 6) AS gain_1,
+  round(avg(CASE WHEN raw <= 5 THEN 1.0 ELSE 0.0 END), 6) AS raw_5, round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS normalised_5,
+  round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN raw <= 5 THEN 1.0 ELSE 0.0 END), 6) AS gain_5
+FROM (SELECT *, first_rank + query_id % 3 AS raw FROM ranks) WHERE n_answers > 0""",
+)
+def normalised_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What normalised queries gain over raw ones, whose first answer stands lower here for some."""
+    ranks = _ranks(spark, sf_dir)
+    return evaluation.uplift(ranks.withColumn("first_rank", F.col("first_rank") + F.col("query_id") % 3), ranks)
+
+
+@query(
+    "router_confusion",
+    _HITS
+    + """, t AS (SELECT query_id, max(score) AS top FROM hits GROUP BY query_id),
+r AS (SELECT ['on', 'off', 'either'][(query_id // 100) % 3 + 1] AS expected, top >= 0.5 AND query_id % 200 = 0 AS use_rag, query_id % 200 = 0 AND top < 0.5 AS gated FROM t)
+SELECT count(*) FILTER (expected = 'on' AND use_rag) AS true_on, count(*) FILTER (expected = 'on' AND NOT use_rag) AS false_off, count(*) FILTER (expected = 'off' AND use_rag) AS false_on,
+  count(*) FILTER (expected = 'off' AND NOT use_rag) AS true_off, count(*) FILTER (gated) AS gated_off,
+  round(avg(CASE WHEN expected <> 'either' THEN CASE WHEN (expected = 'on') = use_rag THEN 1.0 ELSE 0.0 END END), 6) AS accuracy FROM r""",
+)
+def router_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of trigger and score gate against what was expected."""
+    tops = retrieval.merged_hits(_hits(spark, sf_dir)).groupBy("query_id").agg(F.max("score").alias("top"))
+    triggered = F.col("query_id") % 200 == 0
+    expected = F.get(F.array(F.lit("on"), F.lit("off"), F.lit("either")), (F.floor(F.col("query_id") / 100) % 3).cast("int"))
+    return evaluation.confusion(tops.select(expected.alias("expected"), retrieval.gated(triggered, F.col("top"), 0.5).alias("use_rag"), (triggered & (F.col("top") < 0.5)).alias("gated")))

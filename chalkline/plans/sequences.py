@@ -79,8 +79,8 @@ def context_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stale_skip",
-    """WITH j AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS queued, epoch_us(ts) / 1e6 + value % 9 AS started FROM events),
-n AS (SELECT *, lead(queued) OVER (PARTITION BY event_type ORDER BY queued, event_id) AS nxt FROM j)
+    """WITH j AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS queued, epoch_us(ts) / 1e6 + value % 9 AS started FROM events),
+n AS (SELECT *, lead(queued) OVER (PARTITION BY user_id ORDER BY queued, event_id) AS nxt FROM j)
 SELECT event_id, coalesce((started - queued) * 1000 > 3000 AND nxt <= started, false) AS skipped FROM n""",
 )
 def stale_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def stale_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     j = table(spark, sf_dir, "events").withColumns({"queued": at, "started": at + F.col("value") % 9})
     j = j.withColumn("_order", F.struct("queued", "event_id"))
-    return ordered.stale_skips(j, ["event_type"], "_order", "queued", "started").select("event_id", "skipped")
+    return ordered.stale_skips(j, ["user_id"], "_order", "queued", "started").select("event_id", "skipped")
 
 
 @query(
@@ -125,12 +125,10 @@ def sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def speech_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least confidence, pseudo-confidence of log probabilities, results over the guard."""
     e = table(spark, sf_dir, "events")
-    probs = F.filter(F.collect_list(-F.col("value") / 100), lambda x: x.isNotNull())
-    out = e.groupBy("user_id").agg(
-        F.round(F.min(F.when(F.col("value") > 50, F.col("value"))), 6).alias("low"), probs.alias("_p"),
+    return e.groupBy("user_id").agg(
+        F.round(F.min(F.when(F.col("value") > 50, F.col("value"))), 6).alias("low"), F.round(evaluation.mean_confidence(-F.col("value") / 100), 6).alias("pseudo"),
         F.count_if(~F.coalesce(F.col("value") / 100 < 0.5, F.lit(False))).alias("n_kept"),
     )
-    return out.select("user_id", "low", F.round(evaluation.pseudo_confidence(F.col("_p")), 6).alias("pseudo"), "n_kept")
 
 
 @query(

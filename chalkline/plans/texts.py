@@ -11,10 +11,14 @@ from chalkline.registry import query
 from chalkline.session import table
 
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+_ENDS, _CLOSERS = ".!?。！？…", "[\"''”’)\\]】」』]*"
+
+
 @query(
     "completed_sentences",
-    """SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '(?s)(.*?[.!?]+)', 1), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences,
-  length(regexp_replace(text, '(?s)^.*[.!?]+', '')) = 0 AS complete FROM documents WHERE regexp_matches(text, '^[\\x20-\\x21\\x23-\\x26\\x2A-\\x5C\\x5E-\\x7E\\n]*$')""",
+    f"""SELECT doc_id, len(regexp_extract_all(text, '[^{_ENDS}]*[{_ENDS}]+{_CLOSERS}')) AS n_sentences,
+  regexp_matches(regexp_replace(text, '(?s)^.*[{_ENDS}]+{_CLOSERS}', ''), '^{_BLANK}$') AS complete FROM documents WHERE text IS NOT NULL""",
 )
 def completed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed sentences of all documents with a text, and whether nothing is left over."""
@@ -98,11 +102,11 @@ def lexicon_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "phrase_list",
-    """WITH w AS (SELECT lang, doc_id, unnest(string_split(text, ' '))[1:40] AS raw, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents WHERE doc_id < 40 AND text IS NOT NULL),
-p AS (SELECT lang, doc_id % 3 AS priority, doc_id * 100000 + k AS ord, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS phrase FROM w),
-o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, lower(phrase) ORDER BY priority, ord) AS n FROM p WHERE length(phrase) BETWEEN 2 AND 30) WHERE n = 1),
-b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY priority, ord) AS i, sum(length(phrase)) OVER (PARTITION BY lang ORDER BY priority, ord ROWS UNBOUNDED PRECEDING) AS used FROM o)
-SELECT lang, priority, ord, phrase FROM b WHERE i <= 50 AND used <= 400""",
+    """WITH w AS (SELECT lang, doc_id, unnest(string_split(text, ' '))[1:40] AS raw, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, doc_id % 3 AS priority, doc_id, k, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS phrase FROM w),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, lower(phrase) ORDER BY priority, doc_id, k) AS n FROM p WHERE length(phrase) BETWEEN 2 AND 30) WHERE n = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY priority, doc_id, k) AS i, sum(length(phrase)) OVER (PARTITION BY lang ORDER BY priority, doc_id, k ROWS UNBOUNDED PRECEDING) AS used FROM o)
+SELECT lang, priority, doc_id * 100000 + k AS ord, phrase FROM b WHERE i <= 50 AND used <= 400""",
 )
 def phrase_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised phrases of each language, once each, by priority, within the budget."""
@@ -113,12 +117,7 @@ def phrase_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.phrase_list(p, ["lang"], 50, 400).select("lang", "priority", number.alias("ord"), "phrase")
 
 
-@query(
-    "speech_errors",
-    """WITH p AS (SELECT a.item_id, lower(a.text) AS r0, lower(b.text) AS h0 FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE regexp_matches(a.text || b.text, '^[\\x00-\\x7F]*$')),
-n AS (SELECT item_id, regexp_replace(r0, '[\\s.,!?;:"''()\\[\\]{}~-]+', '', 'g') AS r, regexp_replace(h0, '[\\s.,!?;:"''()\\[\\]{}~-]+', '', 'g') AS h FROM p)
-SELECT item_id, length(r) AS ref_chars, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(r, h) / length(r) END, 6) AS cer FROM n""",
-)
+@query("speech_errors")  # no SQL: DuckDB's edit distance counts bytes, not characters
 def speech_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of each passage against the next one."""
     b = table(spark, sf_dir, "benchmark")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.operators.relational import unique_or_fail
@@ -13,9 +13,10 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     unique_or_fail(chunks, "chunk_id").write.mode("overwrite").json(path)
 
 
-def chunk_stats(chunks: DataFrame) -> DataFrame:
+def chunk_stats(chunks: DataFrame, *more: Column) -> DataFrame:
+    """Count and text lengths by document type, and further aggregates in the same pass."""
     n = F.length("text")
-    return chunks.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"))
+    return chunks.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), *more)
 
 
 def build_indexes(vectors: DataFrame, subsets: DataFrame, path: str, force: bool = False) -> None:
