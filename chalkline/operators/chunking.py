@@ -136,3 +136,20 @@ def hit_payload(hits: DataFrame) -> DataFrame:
 def with_defaults(chunks: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """``chunks`` with a default in each named column that is null."""
     return chunks.withColumns({c: F.coalesce(F.col(c), v) for c, v in defaults.items()})
+
+
+def textbook_blocks(docs: DataFrame, key: str, chapter: str, section: str, summary: str, terms: str, text: str = "text") -> DataFrame:
+    """(key, chapter_no, block, section_no, body): intro, sections, summary and terms of each chapter, by line patterns.
+
+    The lines of a chapter belong to the last marker above them; those before its first marker are the intro. Lines
+    above the first chapter go. Sections are numbered within their chapter; other blocks have the number 0.
+    """
+    lines = lines_of(docs, key, text)
+    marker = F.when(F.col("line").rlike(chapter), "intro").when(F.col("line").rlike(section), "section").when(F.col("line").rlike(summary), "summary").when(F.col("line").rlike(terms), "terms")
+    in_order = Window.partitionBy(key).orderBy("line_no")
+    lines = lines.withColumn("_m", marker).withColumns({"block": F.last("_m", True).over(in_order), "chapter_no": F.count_if(F.col("_m") == "intro").over(in_order)})
+    inside = Window.partitionBy(key, "chapter_no").orderBy("line_no")
+    lines = lines.withColumn("section_no", F.when(F.col("block") == "section", F.count_if(F.col("_m") == "section").over(inside)).otherwise(0).cast("long"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    out = lines.where("_m is null and chapter_no > 0").groupBy(key, "chapter_no", "block", "section_no")
+    return out.agg(F.trim(F.array_join(body, "\n")).alias("body")).where("body <> ''")

@@ -96,3 +96,23 @@ def glossary_hits(sentences: DataFrame, terms: DataFrame, extra: Column | None =
     found = hit.groupBy("sentence_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("_h"))
     own = F.coalesce("_h", F.array().cast("array<string>"))
     return sentences.join(found, "sentence_id", "left").select("sentence_id", (F.array_union(own, extra) if extra is not None else own).alias("hits"))
+
+
+def retriggered(routed: DataFrame, hints: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``routed`` (route's rows of one fixed major) with a second try for the sentences that nothing triggered.
+
+    ``hints``: (sentence_id, hits array of glossary terms). The sentence with its hints is routed again; those without
+    hints stay off.
+    """
+    off = routed.where("not use_rag").select("sentence_id", F.col("query").alias("_said"))
+    again = off.join(hints.where(F.size("hits") > 0), "sentence_id").select("sentence_id", F.concat_ws(" ", "_said", F.array_join("hits", " ")).alias("sentence"))
+    second = route(again, lexicon).where("use_rag")
+    return routed.join(second.select("sentence_id"), "sentence_id", "left_anti").unionByName(second)
+
+
+def diagnostics(glossary: DataFrame, lexicon: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """(key, n_glossary, n_lexicon, n_phrases, n_phrase_chars): how much each session's aids hold; sessions of any of them."""
+    one = lambda df, **aggregates: df.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    n = F.count(F.lit(1))
+    out = one(glossary, n_glossary=n).join(one(lexicon, n_lexicon=n), key, "full").join(one(phrases, n_phrases=n, n_phrase_chars=F.sum(F.length("phrase"))), key, "full")
+    return out.na.fill(0)

@@ -196,3 +196,50 @@ def speech_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: text.compared_words(text.nfc(c))
     p = b.join(other, "item_id").select("item_id", words("text").alias("r"), words("heard").alias("h"))
     return p.select("item_id", F.size("r").cast("long").alias("n_words"), F.round(evaluation.word_error_rate(F.col("r"), F.col("h")), 6).alias("wer"))
+
+
+@query(
+    "retriggered_routes",
+    """WITH s AS (SELECT item_id, text FROM benchmark WHERE text IS NOT NULL),
+r AS (SELECT item_id, text, contains(lower(text), 'ü') AS own, item_id % 3 = 0 AS hinted FROM s)
+SELECT item_id AS sentence_id, own OR hinted AS use_rag, CASE WHEN own OR hinted THEN 'UML' ELSE '' END AS terms,
+  CASE WHEN own THEN text || ' UML' WHEN hinted THEN text || ' ü UML' ELSE text END AS query FROM r""",
+)
+def retriggered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that trigger nothing, tried again with their glossary hints."""
+    s = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("sentence_id"), F.col("text").alias("sentence"))
+    lex = spark.createDataFrame([(0, "ü", "UML", "TEXTBOOK", None)], "ord int, pattern string, canonical string, reason string, exclusions array<string>")
+    hints = s.select("sentence_id", F.when(F.col("sentence_id") % 3 == 0, F.array(F.lit("ü"))).otherwise(F.array().cast("array<string>")).alias("hits"))
+    return lexicon.retriggered(lexicon.route(s, lex), hints, lex).select("sentence_id", "use_rag", "terms", "query")
+
+
+@query(
+    "textbook_blocks",
+    """WITH l AS (SELECT doc_id, k, CASE k % 7 WHEN 0 THEN 'Chapter ' || k WHEN 2 THEN '1.' || k WHEN 4 THEN 'Summary' WHEN 5 THEN 'Key terms' ELSE 'w' || k END AS line, k % 7 AS m
+  FROM (SELECT doc_id, unnest(range(0, 7 + doc_id % 9)) AS k FROM documents WHERE doc_id IS NOT NULL))
+SELECT doc_id, k // 7 + 1 AS chapter_no, CASE m WHEN 1 THEN 'intro' WHEN 3 THEN 'section' ELSE 'terms' END AS block, CASE WHEN m = 3 THEN 1 ELSE 0 END::BIGINT AS section_no, line AS body FROM l WHERE m IN (1, 3, 6)""",
+)
+def textbook_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intro, sections, summary and terms of chapters, on line patterns made from the documents' numbers."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    k = F.explode(F.sequence(F.lit(0), (6 + F.col("doc_id") % 9).cast("int"))).alias("k")
+    n, m = F.col("k").cast("string"), F.col("k") % 7
+    line = F.when(m == 0, F.concat(F.lit("Chapter "), n)).when(m == 2, F.concat(F.lit("1."), n)).when(m == 4, "Summary").when(m == 5, "Key terms").otherwise(F.concat(F.lit("w"), n))
+    lines = d.select("doc_id", k).select("doc_id", "k", line.alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    text_ = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return chunking.textbook_blocks(lines.select("doc_id", text_.alias("text")), "doc_id", "^Chapter ", r"^\d+\.\d+", "^Summary$", "^Key terms$")
+
+
+@query(
+    "session_diagnostics",
+    """WITH g AS (SELECT n_regionkey AS session, count(*) AS n_glossary FROM nation WHERE n_nationkey % 2 = 0 GROUP BY ALL),
+l AS (SELECT n_regionkey AS session, count(*) AS n_lexicon FROM nation WHERE n_regionkey > 0 GROUP BY ALL),
+p AS (SELECT r_regionkey AS session, count(*) AS n_phrases, sum(length(r_name))::BIGINT AS n_phrase_chars FROM region WHERE r_regionkey <> 2 GROUP BY ALL)
+SELECT session, coalesce(n_glossary, 0) AS n_glossary, coalesce(n_lexicon, 0) AS n_lexicon, coalesce(n_phrases, 0) AS n_phrases, coalesce(n_phrase_chars, 0) AS n_phrase_chars
+FROM g FULL JOIN l USING (session) FULL JOIN p USING (session)""",
+)
+def session_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of each session's glossary, lexicon and phrase list."""
+    n = table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "session")
+    phrases = table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("session"), F.col("r_name").alias("phrase"))
+    return lexicon.diagnostics(n.where("n_nationkey % 2 = 0"), n.where("session > 0"), phrases, "session")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,18 +26,23 @@ def acquisitions(attempts: DataFrame, done_seconds: float = DONE_SECONDS, failed
     failed one for ``failed_seconds`` (0: not at all).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        until, got = None, []
-        pdf = pdf.sort_values(["at", "ord"])
-        for r in pdf.itertuples():
-            ok = _acquire(until, r.at)
-            if ok:
-                until = r.at + (failed_seconds if r.outcome == "failed" else done_seconds)
-            got.append(ok)
-        return pdf.assign(acquired=got)[["key", "ord", "at", "acquired"]]
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, until = None, None
+        for batch in batches:
+            keys, ats, outcomes = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            got = []
+            for key, at, outcome in zip(keys, ats, outcomes):
+                if key != current:
+                    current, until = key, None
+                ok = _acquire(until, at)
+                if ok:
+                    until = at + (failed_seconds if outcome == "failed" else done_seconds)
+                got.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.bool_())], ["key", "ord", "at", "acquired"])
 
     plain = attempts.select(F.col("key").cast("string"), F.col("ord").cast("long"), F.col("at").cast("double"), F.col("outcome").cast("string"))
-    return plain.groupBy("key").applyInPandas(run, "key string, ord long, at double, acquired boolean")
+    in_order = plain.repartition("key").sortWithinPartitions("key", "at", "ord")
+    return in_order.mapInArrow(walked, "key string, ord long, at double, acquired boolean")
 
 
 def acquisitions_stream(attempts: DataFrame, done_seconds: float = DONE_SECONDS, failed_seconds: float = FAILED_SECONDS) -> DataFrame:
@@ -66,10 +72,16 @@ def once(jobs: DataFrame, keys: list[str], at: str, lateness: str = "1 hour") ->
     return jobs.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def late_dropped_stream(packets: DataFrame) -> DataFrame:
-    """Packets (key, ord, sequence, text) whose sequence exceeds all seen before in their session."""
+def late_dropped_stream(packets: DataFrame, forget_seconds: int = 6 * 3600) -> DataFrame:
+    """Packets (key, ord, sequence, text) whose sequence exceeds all seen before in their session.
+
+    A session's state leaves after ``forget_seconds`` without packets.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         seen = group.get[0] if group.exists else 0
         out = []
         for r in sorted((r for f in frames for r in f.itertuples()), key=lambda r: r.ord):
@@ -77,9 +89,10 @@ def late_dropped_stream(packets: DataFrame) -> DataFrame:
                 seen = r.sequence
                 out.append((key[0], r.ord, r.sequence, r.text))
         group.update((int(seen),))
+        group.setTimeoutDuration(1000 * forget_seconds)
         yield pd.DataFrame(out, columns=["key", "ord", "sequence", "text"])
 
-    return packets.groupBy("key").applyInPandasWithState(step, "key string, ord long, sequence long, text string", "seen long", "append", "NoTimeout")
+    return packets.groupBy("key").applyInPandasWithState(step, "key string, ord long, sequence long, text string", "seen long", "append", "ProcessingTimeTimeout")
 
 
 def throttled(partials: DataFrame, keys: list[str], at: str, seconds: int = 1, lateness: str = "10 seconds") -> DataFrame:
