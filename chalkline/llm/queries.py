@@ -35,7 +35,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: s["base"])
     counts = [F.size(F.expr(f"filter(pii_spans, s -> s.base and s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select(
-        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans")
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"),
+        F.size("pii_spans").cast("long").alias("n_spans"),
     )
 
 
@@ -93,8 +94,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("findings", lambda s: s["rank"] < len(secrets.BASE))
     counts = [F.size(F.expr(f"filter(findings, s -> s.rule = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.BASE]
     return found.select(
-        F.col("path").alias("doc_id"), *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans")
-    )
+        F.col("path").alias("doc_id"), *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"),
+        F.size("findings").cast("long").alias("n_spans"),
+    )
 
 
 @query("op7_packing")
