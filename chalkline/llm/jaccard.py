@@ -193,6 +193,7 @@ def _verifier(n: int, threshold: float):
             found += compare(group)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], _LINKS.names)
+        give_back()
 
     return verify
 
