@@ -15,6 +15,7 @@ is a link. An empty table gives no rows. Only the id and the text are read, so c
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,13 +165,15 @@ def _verifier(n: int, threshold: float):
             side = np.array([r[4] for r in members])
             near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, False)
-        earlier = sorted({k for r in members for k in r[6] if k < bucket})
-        if earlier and near.any():
-            at = {k: i for i, k in enumerate(earlier)}
-            x = np.zeros((len(members), len(earlier)), np.float32)
-            for i, r in enumerate(members):
-                x[i, [at[k] for k in r[6] if k < bucket]] = 1
-            near &= (x @ x.T) == 0
+        if near.any():  # pairs that an earlier bucket has too are of that one; buckets of one member here are of no pair
+            times = Counter(k for r in members for k in set(r[6]) if k < bucket)
+            earlier = sorted(k for k, n in times.items() if n > 1)
+            for part in range(0, len(earlier), 2048):
+                at = {k: i for i, k in enumerate(earlier[part : part + 2048])}
+                x = np.zeros((len(members), len(at)), np.float32)
+                for i, r in enumerate(members):
+                    x[i, [at[k] for k in r[6] if k in at]] = 1
+                near &= (x @ x.T) == 0
         if not near.any():
             return []
         links = near @ np.array([r[5] for r in members], np.int64)
