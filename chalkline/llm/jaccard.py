@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.llm.batches import small_batches
 from chalkline.llm.tokens import give_back
 from chalkline.session import cut
 
 #: Most members of a block; a bucket of more is dealt in pairs of blocks.
 BLOCK = 512
+#: Texts that a task hands to Python at once.
+BATCH_ROWS = 1000
 #: Most rows to drop that are broadcast; more meet the documents by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SKETCH = T.StructType(
@@ -225,7 +228,8 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(word_hashes("text")).alias("words"))
-    sketches = cut(sketches.mapInArrow(_sketcher(words, bands, rows), _SKETCH))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        sketches = cut(sketches.mapInArrow(_sketcher(words, bands, rows), _SKETCH))
     twins = sketches.groupBy("set_id").agg(F.min("second").alias("_low"), F.max("second").alias("_high")).where("_low <> _high").select("set_id")
     if not (twins := cut(twins)).isEmpty():
         sketches = sketches.join(twins.withColumn("_twin", F.lit(True)), "set_id", "left")
@@ -253,7 +257,8 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
         "set_id", "own", "size", "mine", "words",
     )
     place = ["bucket", "left", "right"]
-    found = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_verifier(words, threshold), _LINKS))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        found = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_verifier(words, threshold), _LINKS))
 
     parts = connected(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     grouped = parts.join(sets, parts.node == sets.set_id)

@@ -31,9 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.llm.batches import small_batches
 from chalkline.llm.jaccard import word_hashes
 from chalkline.llm.tokens import give_back
 from chalkline.session import ensure_checkpoint_dir
@@ -42,10 +44,12 @@ from chalkline.session import ensure_checkpoint_dir
 QUANTILE = 0.99
 #: Most words, and most pairs, whose values are broadcast (some 20 bytes each).
 HEAD = 1 << 18
+#: Texts that a task hands to Python at once.
+BATCH_ROWS = 3000
 #: More trusted ids than this are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Words of a block; pairs that a shard counts, values that it holds, and characters of documents for each of its salts.
-BLOCK_TOKENS, SHARD_PAIRS, SHARD_VALUES, SALT_CHARS = 2_000_000, 2_000_000, 2_000_000, 200_000_000
+BLOCK_TOKENS, SHARD_PAIRS, SHARD_VALUES, SALT_CHARS = 1_500_000, 2_000_000, 2_000_000, 200_000_000
 _BEGIN, _END = np.uint64(1), np.uint64(2)  # stand for the borders of a text
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _COUNTED = "shard int, firsts binary, seconds binary, ns binary"
@@ -57,10 +61,18 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
+def _squeezed(blob: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(blob if isinstance(blob, bytes) else blob.tobytes())
+
+
+def _opened(blob: bytes, of: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), of)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -112,8 +124,8 @@ def _planes(keys: np.ndarray) -> bytes:
     return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _from_planes(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _power_of_two(n: float) -> int:
@@ -140,7 +152,7 @@ def pair_counts(docs: DataFrame, shards: int = 16) -> DataFrame:
             v, w, n, shard = v[order], w[order], n[order].astype(np.uint8), shard[order]
             edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
             rows = [
-                (k, _planes(v[a:z]), w[a:z].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), n[a:z].tobytes())
+                (k, _squeezed(_planes(v[a:z])), _squeezed(w[a:z].view(np.uint8).reshape(-1, 8)[:, :6].T), _squeezed(n[a:z]))
                 for k, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a
             ]
             columns = list(zip(*rows))
@@ -168,9 +180,10 @@ def pair_counts(docs: DataFrame, shards: int = 16) -> DataFrame:
                     yield from summed(parts)
                     parts = []
                 shard = k
-                w = np.zeros((len(ns), 8), np.uint8)
-                w[:, :6] = np.frombuffer(seconds, np.uint8).reshape(6, -1).T
-                parts.append((_from_planes(firsts), w.view(np.uint64).ravel(), np.frombuffer(ns, np.uint8).astype(np.int64)))
+                n = _opened(ns).astype(np.int64)
+                w = np.zeros((len(n), 8), np.uint8)
+                w[:, :6] = _opened(seconds).reshape(6, -1).T
+                parts.append((_from_planes(_opened(firsts)), w.view(np.uint64).ravel(), n))
         if parts:
             yield from summed(parts)
         give_back()
@@ -278,7 +291,7 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
     fields = [("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("keys", "vals", "words", "sizes", "docs", "counts", "ids")]]
 
     def row(shard, salt, kind, **blobs):
-        return {"shard": shard, "salt": salt, "kind": kind} | {k: v if isinstance(v, bytes) else v.tobytes() for k, v in blobs.items()}
+        return {"shard": shard, "salt": salt, "kind": kind} | {k: _squeezed(v) for k, v in blobs.items()}
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, pa.schema(fields))
@@ -367,7 +380,7 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
                 vals = local if k == 0 else np.empty(0)
                 docs_here = np.searchsorted(here, owner[a:z]).astype(np.uint16)
                 if len(here):
-                    rows.append(row(k, salt, 3, keys=_planes(asked), vals=vals, words=b"", sizes=sizes, docs=docs_here, counts=counts[a:z].astype(np.uint8), ids=ids[here]))
+                    rows.append(row(k, salt, 3, keys=_planes(asked), vals=vals, words=b"", sizes=sizes, docs=docs_here.view(np.uint8).reshape(-1, 2).T, counts=counts[a:z].astype(np.uint8), ids=ids[here]))
             yield batch_of(rows)
         give_back()
 
@@ -377,8 +390,8 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
 
         def ready() -> tuple[np.ndarray, np.ndarray]:
             """The shard's keys and values; rare words' P turns the ratios of pairs that end in them into values."""
-            numbers_of = lambda kind, name, of: np.concatenate([np.empty(0, of), *(np.frombuffer(r[name], of) for r in held.get(kind, []))])
-            pair = np.concatenate([np.empty((0, 2), np.float32), *(np.frombuffer(r["vals"], np.float32).reshape(-1, 2) for r in held.get(0, []))])
+            numbers_of = lambda kind, name, of: np.concatenate([np.empty(0, of), *(_opened(r[name], of) for r in held.get(kind, []))])
+            pair = np.concatenate([np.empty((0, 2), np.float32), *(_opened(r["vals"], np.float32).reshape(-1, 2) for r in held.get(0, []))])
             words = numbers_of(0, "words", np.uint64)
             order = np.argsort(words)
             there, place = _found(words[order], numbers_of(2, "words", np.uint64))
@@ -398,13 +411,14 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
                 if keys is None:
                     keys, vals = ready()
                     held = {}
-                asked, ids = _from_planes(r["keys"]), np.frombuffer(r["ids"], np.int64)
+                asked, ids = _from_planes(_opened(r["keys"])), _opened(r["ids"], np.int64)
                 hit, place = _found(keys, asked)
                 val = np.where(hit, vals[place] if len(vals) else 0.0, 0.0)
-                each = np.repeat(val, np.frombuffer(r["sizes"], np.uint32).astype(np.int64)) * np.frombuffer(r["counts"], np.uint8)
-                part = np.bincount(np.frombuffer(r["docs"], np.uint16), each, len(ids)).astype(float)
+                each = np.repeat(val, _opened(r["sizes"], np.uint32).astype(np.int64)) * _opened(r["counts"])
+                docs_here = _opened(r["docs"]).reshape(2, -1).T.copy().view(np.uint16).ravel()
+                part = np.bincount(docs_here, each, len(ids)).astype(float)
                 if r["shard"] == 0:
-                    part += np.frombuffer(r["vals"], float)
+                    part += _opened(r["vals"], float)
                 copies = np.full(len(ids), int(r["shard"] == 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part), pa.array(copies)], ["key", "part", "copies"])
         give_back()
@@ -431,7 +445,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     learned = ids.where(half == 0)
     sized = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.length(F.col("text").cast("string")).alias("n"))
     chars = sized.join(learned, F.col("_doc") == F.col("_id"), "left").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("_id").isNotNull(), F.col("n"))).alias("learned")).first()
-    model = train(rows.join(learned, rows.doc_id == F.col("_id")), _power_of_two((chars.learned or 0) / 5 / SHARD_PAIRS))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        model = train(rows.join(learned, rows.doc_id == F.col("_id")), _power_of_two((chars.learned or 0) / 5 / SHARD_PAIRS))
     unknown = float(np.log(model.unknown))
     got = scores(rows, model, chars["all"] or 0)
     sized = rows.select("doc_id", "lang", "key", F.size("words").cast("long").alias("n_words"))
@@ -439,7 +454,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
         "doc_id", "lang", "n_words",
         F.when(F.col("n_words") > 0, F.exp(-(F.col("part") + (F.col("n_words") + 1) * unknown) / (F.col("n_words") + 1))).alias("perplexity"),
     )
-    scored = _stored(scored, "scored")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        scored = _stored(scored, "scored")
     held = scored.join(ids.where(half == 1), scored.doc_id == F.col("_id"))
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     overall = held.agg(limit.alias("overall"))
