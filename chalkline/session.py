@@ -41,7 +41,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: lineage ends here."""
+#: Rows of a checkpoint file, where their number is known; fewest files.
+FILE_ROWS, LEAST_FILES = 50_000, 8
+
+
+def cut(df: DataFrame, eager: bool = True, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there: lineage ends here.
+
+    ``rows``: about how many rows of a few numbers it has; then there are no more files than these need. Each file
+    costs its task some calls of the file system, which outweigh a small table.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
     return df.checkpoint(eager)
