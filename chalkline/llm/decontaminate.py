@@ -93,7 +93,7 @@ def _index(items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item_key: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(keys, item_id, word_start, similarity, distance): windows of ``docs`` that hold an item, the best of each item."""
-    items = cut(_items(benchmark, item_key, item_text, words))
+    items = cut(_items(benchmark, item_key, item_text, words), rows=benchmark.count())
     size = items.agg(F.coalesce(F.max("item_words"), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("shingles"), F.count(F.lit(1)).alias("n")).first()
     fits = lambda df, rows, most: F.broadcast(df) if rows <= most else df
     reach = max(int(size.longest) - words + 1, 1)

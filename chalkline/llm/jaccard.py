@@ -207,12 +207,13 @@ def _verifier(n: int, threshold: float):
 def connected(edges: DataFrame) -> DataFrame:
     """(node, part): for edges (a, b) each node's smallest connected node, by label spreading with jumps."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("part")))
+    n = both.count()
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("part")), rows=n)
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("_n")).agg(F.min("part").alias("_p"))
         low = labels.join(heard, labels.node == heard["_n"], "left").select("node", F.col("part").alias("_was"), F.least("part", "_p").alias("_p"))
         jump = labels.select(F.col("node").alias("_n"), F.col("part").alias("_j"))
-        new = cut(low.join(jump, low["_p"] == jump["_n"], "left").select("node", F.least("_p", "_j").alias("part"), "_was"))
+        new = cut(low.join(jump, low["_p"] == jump["_n"], "left").select("node", F.least("_p", "_j").alias("part"), "_was"), rows=n)
         changed = new.where("part <> _was").limit(1).count()
         labels = new.select("node", "part")
         if not changed:
@@ -231,12 +232,13 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     with small_batches(docs.sparkSession, BATCH_ROWS):
         sketches = cut(sketches.mapInArrow(_sketcher(words, bands, rows), _SKETCH))
     twins = sketches.groupBy("set_id").agg(F.min("second").alias("_low"), F.max("second").alias("_high")).where("_low <> _high").select("set_id")
-    if not (twins := cut(twins)).isEmpty():
+    n_rows = sketches.count()
+    if not (twins := cut(twins, rows=0)).isEmpty():
         sketches = sketches.join(twins.withColumn("_twin", F.lit(True)), "set_id", "left")
         sketches = sketches.withColumn("set_id", F.when(F.col("_twin"), F.xxhash64("set_id", "second")).otherwise(F.col("set_id"))).drop("_twin")
     named = sketches.where("doc_id is not null and set_id is not null").drop("second")
     sets = named.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("size"))
-    sets = cut(sets.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "size"))
+    sets = cut(sets.select("set_id", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "size"), rows=n_rows)
 
     seats = named.select("set_id", F.explode("bands").alias("bucket")).distinct()
     buckets = seats.groupBy("bucket").agg(
@@ -266,7 +268,7 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     linked = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = cut(
         sets.join(parts, sets.set_id == parts.node, "left").join(lowest, "part", "left").join(linked, "set_id", "left")
-        .select("set_id", F.coalesce("lowest", "doc_id").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .select("set_id", F.coalesce("lowest", "doc_id").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), rows=n_rows,
     )
     # rows without an id or words stay out of the join, where null would be one hot key; the join splits a set of many copies
     alone = F.col("doc_id").isNull() | F.col("set_id").isNull()
