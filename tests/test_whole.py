@@ -86,8 +86,6 @@ def test_speech_errors_of_all_pairs(spark, tmp_path):
     text = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = read(SF)
     assert got == {i: plain_rate(t, text[i + 1]) for i, t in text.items() if i + 1 in text}
-    checked = connection(SF).sql(registry.ORACLE_SQL["speech_errors"]).fetchall()  # the ASCII pairs
-    assert len(checked) and all(got[i] == (n, float(rate)) for i, n, rate in checked)
 
 
 def test_large_lexicon_gives_the_same(spark, monkeypatch):
