@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, licenses, perplexity, pii, quality, rollup, secrets, urls
+from chalkline.llm import decontaminate, fim, licenses, mix, perplexity, pii, quality, rollup, secrets, spelling, urls
 from chalkline.llm.jaccard import jaccard_join
 from chalkline.llm.packing import pack
 from chalkline.llm.paths import tokenizer_path
@@ -160,3 +160,100 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence statements in the paragraphs of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+WITH t AS MATERIALIZED (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS tok, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+u AS (
+  SELECT doc_id, t, tok, len(tok) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(tok) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(tok) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(tok[1:least(c1, c2)], ''), '') AS a,
+         coalesce(array_to_string(tok[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS b, coalesce(array_to_string(tok[greatest(c1, c2) + 1:], ''), '') AS c
+  FROM u)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""",
+)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, with digests of the output and of the text rebuilt from it."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"),
+    )
+
+
+@query(
+    "op12_mix",
+    r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         ('0x' || substr(sha256('mix/1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents),
+s AS (
+  SELECT source, size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source)),
+v AS (
+  SELECT source, size, weight, 3 * sum(size) OVER () - 4 * (sum(size) OVER w - size) AS num, 2 * (sum(weight) OVER () - sum(weight) OVER w + weight) AS den
+  FROM s WINDOW w AS (ORDER BY size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+l AS (
+  SELECT source, size, weight, weight * num <= 2 * size * den AS shares,
+         arg_max(struct_pack(num := num, den := den), den) FILTER (WHERE weight * num <= 2 * size * den) OVER () AS first
+  FROM v),
+t AS (SELECT source, size AS source_size, CASE WHEN shares THEN CAST(weight * first.num AS DOUBLE) / CAST(first.den AS DOUBLE) ELSE CAST(2 * size AS DOUBLE) END AS target FROM l)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE size * (CAST(floor(target / source_size) AS BIGINT) + (u < target / source_size - floor(target / source_size))::BIGINT) END AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+""",
+)
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of 150% by weighted sources takes."""
+    docs = mix.with_copies(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query(
+    "op13_spelling",
+    r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+           translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, times, hex(doc_id || ':' || run) AS x FROM d),
+h AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+                              lambda c, y: xor(t[xor(c, y) % 256 + 1], c >> 8))) AS h
+  FROM b, tab),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+c AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM c a JOIN c b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM c JOIN w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM c JOIN w ON c.rest = w.word),
+f AS MATERIALIZED (
+  SELECT word, any_value(n) AS n, count(other) AS n_near, CASE WHEN max(other_n) >= 5 * any_value(n) THEN first(other ORDER BY other_n DESC, other) END AS form,
+         CASE WHEN max(other_n) >= 5 * any_value(n) THEN max(other_n) END AS form_n
+  FROM w LEFT JOIN p USING (word) GROUP BY word),
+r AS (SELECT word, word AS root FROM f UNION SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+last AS (SELECT r.word, r.root FROM r JOIN f ON r.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+""",
+)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of documents with the form it is a variant of."""
+    return spelling.variants(spelling.counted(spelling.words_of(table(spark, sf_dir, "documents"))))
