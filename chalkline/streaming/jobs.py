@@ -1,4 +1,4 @@
-"""Streams of jobs and captions: deduplication with two lifetimes, late drop, throttle, upserts, work queues."""
+"""Streams of jobs and captions: deduplication with two lifetimes, late drop, throttle, work queues."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chalkline.operators.relational import last_wins
+from chalkline.sources.snapshots import VersionedIndex
 
 DONE_SECONDS, FAILED_SECONDS = 3600, 30
 
@@ -115,37 +115,11 @@ def valid_events(raw: DataFrame, schema: str, required: list[str]) -> DataFrame:
     return out
 
 
-def upsert_stream(events: DataFrame, path: str, keys: list[str], arrival: list[str], checkpoint: str) -> StreamingQuery:
-    """Keeps the last event of each key under ``path``: a folder for each batch, named by its number, so a
-    batch that runs again replaces itself. Read it with ``current``."""
+def index_queue(jobs: DataFrame, chunks_of, index: VersionedIndex, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Indexing jobs at least once: each batch's chunks that are not indexed yet are appended as one version.
 
-    def write(batch: DataFrame, number: int) -> None:
-        last_wins(batch, keys, arrival).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The state that ``upsert_stream`` left: the row of the highest batch for each key."""
-    return last_wins(spark.read.parquet(path), keys, ["batch"]).drop("batch")
-
-
-def index_queue(jobs: DataFrame, chunks_of, path: str, checkpoint: str) -> StreamingQuery:
-    """Indexing jobs at least once: each batch's chunks that are not indexed yet are appended by course.
-
-    ``chunks_of``: batch of jobs -> (course_id, chunk_id, text). The query's checkpoint is the list of
-    jobs in work; a batch that runs again finds its chunks present.
+    ``chunks_of``: batch of jobs -> rows of the index. The query's checkpoint is the list of jobs in work; a batch
+    that runs again finds its chunks present.
     """
-
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = chunks_of(batch).dropDuplicates(["course_id", "chunk_id"])
-        try:
-            known = spark.read.parquet(path).select("course_id", "chunk_id")
-            fresh = fresh.join(known, ["course_id", "chunk_id"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").partitionBy("course_id").parquet(path)
-
+    handle = lambda batch, number: index.append_new(chunks_of(batch), keys)
     return jobs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

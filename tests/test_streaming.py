@@ -3,6 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from chalkline.sources import snapshots
 from chalkline.streaming import jobs, segmenter
 
 
@@ -67,17 +68,15 @@ def test_acquisitions(spark, tmp_path):
     assert sorted((r.key, r.ord) for r in run(jobs.acquisitions_stream(stream), "acq") if r.acquired) == [("f", 1), ("f", 3), ("k", 0)]
 
 
-def test_upsert_and_queue(spark, tmp_path):
-    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")]
-    df = spark.createDataFrame(rows, "k string, n long, v string")
+def test_queue_indexes_each_chunk_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, n long, v string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    jobs.upsert_stream(stream(), str(tmp_path / "out"), ["k"], ["n"], str(tmp_path / "c1")).awaitTermination(120)
-    assert sorted((r.k, r.v) for r in jobs.current(spark, str(tmp_path / "out"), ["k"]).collect()) == [("a", "y"), ("b", "z")]
     chunks = lambda b: b.select(F.col("k").alias("course_id"), F.col("v").alias("chunk_id"), F.col("v").alias("text"))
+    index = snapshots.VersionedIndex(spark, str(tmp_path / "idx"), "course_id", chunks(df).schema)
     for c in ("c2", "c3"):  # the second run finds all chunks present
-        jobs.index_queue(stream(), chunks, str(tmp_path / "idx"), str(tmp_path / c)).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "idx")).count() == 3
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        assert jobs.index_queue(stream, chunks, index, ["course_id", "chunk_id"], str(tmp_path / c)).awaitTermination(120)
+    assert sorted(map(tuple, index.read().collect())) == [("a", "x", "x"), ("a", "y", "y"), ("b", "z", "z")]
 
 
 def test_windows_and_late_drop(spark, tmp_path):
