@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from chalkline.functions.text import estimate_tokens
 from chalkline.operators.ordered import filled, merged_islands
 
+_AFTER_POINT = re.compile(r"(?<=\.)[ \t\n\x0b\f\r]+")
 MIN_SLIDE_CHARS, SECTION_TOKENS, OVERLAP_TOKENS = 50, 500, 50
 
 
@@ -41,6 +46,16 @@ def deck_slides(pages: DataFrame, key: str = "doc_id", drop: tuple[str, ...] = (
     return out.select(key, "page_no", title.alias("title"), F.array_join(body, "\n").alias("body"))
 
 
+def numbered_header(lines: Column) -> tuple[Column, Column]:
+    """Title and body of a slide with a head of three lines: ``1 Unit``, its number alone, and a heading. The number is
+    that of the second line; other slides have their first line as title. Used as ``header`` of ``deck_slides``."""
+    unit = F.regexp_extract(F.get(lines, F.lit(0)), r"^[0-9]+\s+(\S.*)$", 1)
+    number = F.get(lines, F.lit(1))
+    headed = (F.size(lines) >= 3) & number.rlike("^[0-9]+$") & (unit != "")
+    title = F.concat(number, F.lit(". "), unit, F.lit(" — "), F.get(lines, F.lit(2)))
+    return F.when(headed, title).otherwise(F.get(lines, F.lit(0))), F.when(headed, F.slice(lines, 4, 100_000)).otherwise(F.slice(lines, 2, 100_000))
+
+
 def merged_slides(slides: DataFrame, keys: list[str], least: int = MIN_SLIDE_CHARS) -> DataFrame:
     """Consecutive pages of one title as one slide; slides under ``least`` characters go."""
     return merged_islands(slides, keys, "page_no", "title", "body", least)
@@ -67,23 +82,37 @@ def sections(docs: DataFrame, key: str, chapter: str, section: str, text: str =
     return out.agg(F.trim(F.array_join(body, "\n")).alias("body")).where("body <> ''")
 
 
-def overlap_parts(text: Column, most: int = SECTION_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+def overlap_parts(text: str, most: int = SECTION_TOKENS, overlap: int = OVERLAP_TOKENS) -> Iterator[str]:
     """Parts of a text over ``most`` tokens: whole sentences, each part after the first begun by the end
     (twice ``overlap`` characters) of the one before."""
-    pieces = F.split(text, r"(?<=\.)\s+")
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("current"))
-
-    def step(a: Column, s: Column) -> Column:
-        longer = F.concat_ws(" ", a["current"], s)
-        full = (a["current"] != "") & (estimate_tokens(longer) > most)
-        carried = F.concat_ws(" ", F.right(a["current"], F.lit(2 * overlap)), s)
-        return F.struct(
-            F.when(full, F.array_append(a["parts"], a["current"])).otherwise(a["parts"]).alias("parts"),
-            F.when(full, carried).otherwise(F.trim(longer)).alias("current"),
-        )
-
-    done = lambda a: F.when(a["current"] != "", F.array_append(a["parts"], a["current"])).otherwise(a["parts"])
-    return F.when(estimate_tokens(text) <= most, F.array(text)).otherwise(F.aggregate(pieces, start, step, done))
+    tokens = lambda n: max(1, n // 2)
+    if tokens(len(text)) <= most:
+        yield text
+        return
+    current = ""
+    for sentence in _AFTER_POINT.split(text):
+        if current and tokens(len(current) + 1 + len(sentence)) > most:
+            yield current
+            current = f"{current[-2 * overlap :]} {sentence}"
+        else:
+            current = f"{current} {sentence}".strip(" ")
+    if current:
+        yield current
+
+
+def overlap_chunks(docs: DataFrame, key: str, text: str = "text", most: int = SECTION_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """(key, part from 1, text) of all texts; a task holds one part of a text beside the text."""
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("text"))
+    schema = StructType([rows.schema[key], StructField("part", LongType()), StructField("text", StringType())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                parts = list(overlap_parts(batch.column(1)[at].as_py(), most, overlap))
+                keys = batch.column(0).take(pa.array([at] * len(parts), pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(range(1, len(parts) + 1), pa.int64()), pa.array(parts, pa.string())], [key, "part", "text"])
+
+    return rows.mapInArrow(split, schema)
 
 
 def with_sidecar(chunks: DataFrame, chapters: DataFrame) -> DataFrame:

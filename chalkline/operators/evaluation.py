@@ -110,6 +110,13 @@ def error_rate(distance: Column, reference_length: Column, hypothesis_length: Co
     return F.when(reference_length == 0, empty).otherwise(distance / reference_length)
 
 
+def scored_runs(samples: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """``samples`` (key, reference) with the hypothesis of ``runs`` (key, hypothesis): a run that failed, or gave nothing,
+    counts as the empty text."""
+    texts = samples.withColumn("reference", F.coalesce("reference", F.lit("")))
+    return texts.join(runs, key, "left").withColumn("hypothesis", F.coalesce("hypothesis", F.lit("")))
+
+
 def weighted_error(rate: Column, length: Column) -> Column:
     """Error rate over all units of several references; 0 without any."""
     return F.coalesce(F.sum(rate * length) / F.nullif(F.sum(length), F.lit(0)), F.lit(0.0))

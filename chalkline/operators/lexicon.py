@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.operators.automaton import contained
 from chalkline.operators.ordered import budget_prefix, first_wins
 
-#: A lexicon of at most so many patterns is sent to the tasks; a larger one is met by words first.
+#: A lexicon of at most so many patterns is sent to the tasks; a larger one is met by automata.
 BROADCAST_PATTERNS = 20_000
 
 
@@ -28,20 +29,11 @@ def matches(sentence: Column, pattern: Column, exclusions: Column | None = None)
 def candidates(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Sentence rows with each pattern that may be in them.
 
-    A small lexicon goes to the tasks as a whole; a larger one is met by equality joins, patterns by their
-    first two characters, and shorter ones by their only one. Both give equal rows.
+    A small lexicon goes to the tasks as a whole; a larger one is met by automata. Both give equal rows.
     """
-    within = F.contains(F.lower("sentence"), F.lower("pattern"))
     if lexicon.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
-        return sentences.join(F.broadcast(lexicon), within)
-    keyed = lexicon.withColumn("_gram", F.substring(F.lower("pattern"), 1, 2))
-    pairs = F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("(?s)(?=(..))"), F.lit(1)))
-    single = F.array_union(F.regexp_extract_all(F.lower("sentence"), F.lit("(?s)."), F.lit(0)), F.array(F.lit("")))  # also the empty pattern
-    long, short = (
-        sentences.withColumn("_gram", F.explode(grams)).join(keyed.where(of_length), "_gram").where(within).drop("_gram")
-        for grams, of_length in ((pairs, F.length("_gram") == 2), (single, F.length("_gram") < 2))
-    )
-    return long.unionByName(short)
+        return sentences.join(F.broadcast(lexicon), F.contains(F.lower("sentence"), F.lower("pattern")))
+    return contained(sentences, lexicon, "sentence", "pattern")
 
 
 def route(sentences: DataFrame, lexicon: DataFrame, strong: str = "GLOSSARY_TERM") -> DataFrame:
@@ -98,6 +90,23 @@ def glossary_hits(sentences: DataFrame, terms: DataFrame, extra: Column | None =
     return sentences.join(found, "sentence_id", "left").select("sentence_id", (F.array_union(own, extra) if extra is not None else own).alias("hits"))
 
 
+def glossary_hints(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """(sentence_id, hint): a line for each hit with the translations that its glossary entry prescribes, in order of hits.
+
+    ``hits``: (sentence_id, hits array); ``entries``: (term, definition, translations map), of equal terms the last by
+    ``ord`` counts. Hits without an entry, and entries without translations, give no line; a sentence without lines an
+    empty hint.
+    """
+    last = entries.groupBy("term").agg(F.max_by(F.struct("definition", "translations"), "ord").alias("e")).select("term", "e.*")
+    last = last.where(F.size("translations") > 0)
+    said = F.transform(F.array_sort(F.map_entries("translations")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    meaning = F.when(F.coalesce("definition", F.lit("")) != "", F.concat(F.lit(" ("), "definition", F.lit(")"))).otherwise("")
+    lines = hits.select("sentence_id", F.posexplode("hits").alias("k", "term")).join(last, "term")
+    lines = lines.select("sentence_id", "k", F.concat(F.lit("- "), "term", meaning, F.lit(" → "), F.array_join(said, ", ")).alias("line"))
+    joined = lines.groupBy("sentence_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("hint"))
+    return hits.select("sentence_id").join(joined, "sentence_id", "left").select("sentence_id", F.coalesce("hint", F.lit("")).alias("hint"))
+
+
 def retriggered(routed: DataFrame, hints: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``routed`` (route's rows of one fixed major) with a second try for the sentences that nothing triggered.
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from chalkline.streaming.fold import walked
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, same: str) -> DataFrame:
@@ -93,7 +96,31 @@ def latest_per_window(rows: DataFrame, keys: list[str], at: str, seconds: int =
 
 
 def running_text(rows: DataFrame, keys: list[str], order: str, delta: str, into: str) -> DataFrame:
-    """``rows`` with all deltas of their item so far, joined; null before the first one."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = F.collect_list(delta).over(w)
-    return rows.withColumn(into, F.when(F.size(parts) > 0, F.array_join(parts, "")))
+    """``rows`` with all deltas of their item so far, joined; null before the first one.
+
+    An item's rows are walked in order: a task holds the text so far, not a window of all deltas for each row.
+    """
+    others = [c for c in rows.columns if c not in keys and c != into]
+    schema = StructType([StructField("_key", rows.select(F.struct(*keys).alias("k")).schema["k"].dataType), *(rows.schema[c] for c in others), StructField(into, StringType())])
+    at = others.index(delta)
+
+    class Text:
+        def __init__(self) -> None:
+            self.text = None
+
+        def row(self, *values):
+            if values[at] is not None:
+                self.text = (self.text or "") + values[at]
+            yield *values, self.text
+
+        def end(self):
+            return iter(())
+
+    out = walked(rows.withColumn("_key", F.struct(*keys)), "_key", [order], others, Text, schema)
+    return out.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *others, into)
+
+
+def whole_text(rows: DataFrame, keys: list[str], order: str, delta: str, into: str) -> DataFrame:
+    """One row for each item with all its deltas joined in order; null without any."""
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col(delta).isNotNull(), F.struct(order, delta)))), lambda x: x[delta])
+    return rows.groupBy(*keys).agg(F.when(F.count(delta) > 0, F.array_join(parts, "")).alias(into))

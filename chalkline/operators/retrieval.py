@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the tasks at once; more are worked off in blocks.
+#: So many queries at most are sent to the tasks as they are; more meet the vectors by cells and blocks.
 QUERY_BLOCK = 4096
+#: Vectors of a cell, and scores that stand in memory at once.
+CELL, SCORES = 32_768, 1 << 22
 SCORE_DIGITS = 9
+_HITS = "query_id long, index_name string, chunk_id long, score double"
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -19,61 +22,92 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def top_k_per_index(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, index_name, chunk_id, score): the k best of each index for each query.
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
 
-    ``vectors``: (chunk_id, index_name, embedding); ``queries``: (query_id, embedding), a stated set that
-    is sent to the tasks in blocks. Each task keeps the k best of its own rows, so what is shuffled is
-    k rows for each task, query and index.
-    """
-    found = None
-    asked = queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True)
-    block: list = []
-    for row in asked:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = _merged(found, _scored(vectors, block, k)), []
-    if block or found is None:
-        found = _merged(found, _scored(vectors, block, k))
-    best = Window.partitionBy("query_id", "index_name").orderBy(F.desc("score"), "chunk_id")
-    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
+class _Best:
+    """The k best of each index for each of some queries."""
 
-def _merged(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+    def __init__(self, ids: np.ndarray, wanted: np.ndarray, k: int) -> None:
+        self.ids, self.wanted, self.k, self.found = ids, _unit(wanted), k, {}
 
+    def add(self, chunk: np.ndarray, names: list[str], vectors: np.ndarray) -> None:
+        step = max(1, SCORES // max(1, len(self.ids)))
+        for start in range(0, len(chunk), step):
+            part = slice(start, start + step)
+            self._add(chunk[part], np.array(names[part], object), np.round(self.wanted @ _unit(vectors[part]).T, SCORE_DIGITS))
 
-def _scored(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    ids = np.array([r.query_id for r in block], np.int64)
-    wanted = _unit(np.array([r.embedding for r in block], float)) if block else np.empty((0, 1))
+    def _add(self, chunk: np.ndarray, names: np.ndarray, score: np.ndarray) -> None:
+        for name in dict.fromkeys(names.tolist()):
+            at = np.flatnonzero(names == name)
+            s, c = score[:, at], np.broadcast_to(chunk[at], (len(self.ids), len(at)))
+            if name in self.found:
+                s, c = np.hstack([self.found[name][0], s]), np.hstack([self.found[name][1], c])
+            order = np.lexsort((c, -s))[:, : self.k]
+            self.found[name] = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            chunk = batch.column(0).to_numpy()
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)
-            score = np.round(wanted @ _unit(flat.reshape(len(chunk), -1)).T, SCORE_DIGITS)
-            names = np.array(batch.column(1).to_pylist(), object)
-            for name in dict.fromkeys(names.tolist()):
-                at = np.flatnonzero(names == name)
-                s, c = score[:, at], np.broadcast_to(chunk[at], (len(ids), len(at)))
-                if name in best:
-                    s, c = np.hstack([best[name][0], s]), np.hstack([best[name][1], c])
-                order = np.lexsort((c, -s))[:, :k]
-                best[name] = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-        for name, (s, c) in best.items():
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for name, (s, c) in self.found.items():
             n = s.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array([name] * s.size, pa.string()), pa.array(c.ravel()), pa.array(s.ravel())],
+                [pa.array(np.repeat(self.ids, n)), pa.array([name] * s.size, pa.string()), pa.array(c.ravel()), pa.array(s.ravel())],
                 ["query_id", "index_name", "chunk_id", "score"],
             )
 
+
+def top_k_per_index(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, index_name, chunk_id, score): the k best of each index for each query.
+
+    ``vectors``: (chunk_id, index_name, embedding); ``queries``: (query_id, embedding), a stated set. Up to
+    ``QUERY_BLOCK`` queries go to the tasks that read the vectors. More are dealt into blocks and the vectors into
+    cells, and each pair of a block and a cell is one group of bounded size; the driver sees neither. A task keeps the
+    k best of what it reads, so k rows for each query, index and task (or cell) are shuffled, never scores.
+    """
     plain = vectors.where("chunk_id is not null and embedding is not null").select(
         F.col("chunk_id").cast("long"), F.col("index_name").cast("string"), F.col("embedding").cast("array<float>")
     )
-    return plain.mapInArrow(search, "query_id long, index_name string, chunk_id long, score double")
+    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<float>"))
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    found = _scanned(plain, few, k) if few.num_rows <= QUERY_BLOCK else _in_cells(plain, asked, k)
+    best = Window.partitionBy("query_id", "index_name").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
+def _scanned(vectors: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    ids = asked.column(0).to_numpy()
+    wanted = _matrix(asked.column(1), len(ids)) if len(ids) else np.empty((0, 1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(ids, wanted, k)
+        for batch in batches:
+            if len(ids) and batch.num_rows:
+                best.add(batch.column(0).to_numpy(), batch.column(1).to_pylist(), _matrix(batch.column(2), batch.num_rows))
+        yield from best.batches()
+
+    return vectors.mapInArrow(search, _HITS)
+
+
+def _in_cells(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    n_cells, n_blocks = -(-vectors.count() // CELL), -(-asked.count() // QUERY_BLOCK)
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(max(1, n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))
+    cells = vectors.withColumns({"cell": deal("chunk_id", n_cells)}).select("*", every(n_blocks).alias("block"))
+    blocks = asked.withColumns({"block": deal("query_id", n_blocks)}).select("*", every(n_cells).alias("cell"))
+
+    def product(cell: pa.Table, block: pa.Table) -> pa.Table:
+        if not cell.num_rows or not block.num_rows:
+            return pa.Table.from_batches([], _SCHEMA)
+        best = _Best(block.column("query_id").to_numpy(), _matrix(block.column("embedding"), block.num_rows), k)
+        best.add(cell.column("chunk_id").to_numpy(), cell.column("index_name").to_pylist(), _matrix(cell.column("embedding"), cell.num_rows))
+        return pa.Table.from_batches(best.batches(), _SCHEMA)
+
+    return cells.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInArrow(product, _HITS)
+
+
+_SCHEMA = pa.schema([("query_id", pa.int64()), ("index_name", pa.string()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
 def merged_hits(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -96,7 +130,7 @@ def retrieve(hits: DataFrame, thresholds: DataFrame, k: int) -> DataFrame:
     an eligible one the best gated one is reported.
     """
     tops = hits.groupBy("query_id", "major", "major_order").agg(F.max("score").alias("top_score"))
-    tops = tops.join(F.broadcast(thresholds), "major", "left")
+    tops = tops.join(thresholds, "major", "left")
     tops = tops.withColumn("use_rag", gated(F.lit(True), F.col("top_score"), F.col("threshold")))
     order = F.struct(F.col("use_rag"), F.col("top_score"), -F.col("major_order"))
     winner = tops.groupBy("query_id").agg(F.max_by(F.struct("major", "top_score", "use_rag"), order).alias("w")).select("query_id", "w.*")

@@ -222,3 +222,20 @@ def router_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     triggered = F.col("query_id") % 200 == 0
     expected = F.get(F.array(F.lit("on"), F.lit("off"), F.lit("either")), (F.floor(F.col("query_id") / 100) % 3).cast("int"))
     return evaluation.confusion(tops.select(expected.alias("expected"), retrieval.gated(triggered, F.col("top"), 0.5).alias("use_rag"), (triggered & (F.col("top") < 0.5)).alias("gated")))
+
+
+@query(
+    "off_responses",
+    _HITS
+    + """, t AS (SELECT query_id, max(score) AS top FROM hits GROUP BY query_id), a AS (SELECT vec_id AS query_id, vec_id % 300 = 0 AS on_, vec_id % 400 <> 0 AS found FROM embeddings WHERE vec_id % 100 = 0)
+SELECT a.query_id, CASE WHEN NOT on_ THEN 'NO_TRIGGER' WHEN NOT found THEN 'NO_RESULTS' WHEN top >= 0.5 THEN 'ROUTED' ELSE 'SCORE_BELOW_THRESHOLD' END AS reason,
+  found AND top >= 0.5 AND on_ AS use_rag, CASE WHEN on_ AND found THEN round(top, 4) END AS top_score FROM a JOIN t USING (query_id)""",
+)
+def off_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query with the reason why retrieval is on or off: no trigger, no results, a score below the threshold."""
+    tops = retrieval.merged_hits(_hits(spark, sf_dir)).groupBy("query_id").agg(F.max("score").alias("top"))
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    on = F.col("top") >= 0.5
+    answers = tops.where("query_id % 300 = 0 and query_id % 400 <> 0")
+    answers = answers.select("query_id", F.when(on, "ROUTED").otherwise("SCORE_BELOW_THRESHOLD").alias("reason"), on.alias("use_rag"), F.bround("top", 4).alias("top_score"))
+    return retrieval.with_reasons(asked, asked.where("query_id % 300 = 0"), answers)

@@ -161,7 +161,13 @@ def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmenter.segments(finals)
 
 
-@query("dedupe_attempts")
+@query(
+    "dedupe_attempts",
+    """WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS key, event_id AS ord, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN 30000000::BIGINT ELSE 3600000000 END AS live FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT key, list(struct_pack(us := us, ord := ord, live := live) ORDER BY us, ord) AS a FROM e GROUP BY key),
+r AS (SELECT key, a, 1 AS k FROM l UNION ALL SELECT key, a, nxt FROM (SELECT key, a, list_position(list_transform(a, lambda x, i: i > k AND x.us >= a[k].us + a[k].live), true) AS nxt FROM r) WHERE nxt > 0)
+SELECT e.key, e.ord, e.us / 1e6 AS at, r.key IS NOT NULL AS acquired FROM e LEFT JOIN r ON r.key = e.key AND r.a[r.k].ord = e.ord""",
+)
 def dedupe_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs that may run: none with a live entry of the same key."""
     e = table(spark, sf_dir, "events").where("user_id is not null")

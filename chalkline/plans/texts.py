@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import text
 from chalkline.operators import chunking, evaluation, lexicon, ordered
+from chalkline.operators.automaton import contained
 from chalkline.registry import query
 from chalkline.session import table
 
@@ -38,12 +39,20 @@ def cut_at_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", text.head_at(F.col("text"), 60).alias("head"), text.tail_at(F.col("text"), 60).alias("tail"))
 
 
-@query("overlap_chunks")
+@query(
+    "overlap_chunks",
+    r"""WITH RECURSIVE s AS (SELECT doc_id, text AS whole, string_split(regexp_replace(text, '\.[ \t\n\x0b\f\r]+', '.' || chr(0), 'g'), chr(0)) AS p FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, p, 1 AS i, 0 AS n, CAST(NULL AS VARCHAR) AS given, trim(p[1], ' ') AS cur FROM s WHERE greatest(1, length(whole) // 2) > 500
+  UNION ALL SELECT doc_id, p, i + 1, n + is_full::INT, CASE WHEN is_full THEN cur END, CASE WHEN is_full THEN right(cur, 100) || ' ' || p[i + 1] ELSE trim(cur || ' ' || p[i + 1], ' ') END
+  FROM (SELECT *, cur <> '' AND greatest(1, length(cur || ' ' || p[i + 1]) // 2) > 500 AS is_full FROM r WHERE i < len(p)))
+SELECT format('doc{}_s{:02d}', doc_id, n) AS chunk_id, given AS text FROM r WHERE given IS NOT NULL
+UNION ALL SELECT format('doc{}_s{:02d}', doc_id, n + 1), cur FROM r WHERE i = len(p) AND cur <> ''
+UNION ALL SELECT format('doc{}_s01', doc_id), whole FROM s WHERE greatest(1, length(whole) // 2) <= 500""",
+)
 def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in parts of at most 500 tokens with carried-over ends."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    parts = d.select("doc_id", F.posexplode(chunking.overlap_parts(F.col("text"))).alias("part", "text"))
-    return parts.withColumn("chunk_id", F.format_string("doc%d_s%02d", "doc_id", F.col("part") + 1)).select("chunk_id", "text")
+    parts = chunking.overlap_chunks(table(spark, sf_dir, "documents"), "doc_id")
+    return parts.select(F.format_string("doc%d_s%02d", "doc_id", "part").alias("chunk_id"), "text")
 
 
 @query(
@@ -102,22 +111,35 @@ def lexicon_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "phrase_list",
-    """WITH w AS (SELECT lang, doc_id, unnest(string_split(text, ' '))[1:40] AS raw, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents WHERE text IS NOT NULL),
+    """WITH w AS (SELECT lang, doc_id, unnest(string_split(text, ' ')) AS raw, generate_subscripts(string_split(text, ' '), 1) AS k FROM documents WHERE text IS NOT NULL),
 p AS (SELECT lang, doc_id % 3 AS priority, doc_id, k, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS phrase FROM w),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, lower(phrase) ORDER BY priority, doc_id, k) AS n FROM p WHERE length(phrase) BETWEEN 2 AND 30) WHERE n = 1),
 b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY priority, doc_id, k) AS i, sum(length(phrase)) OVER (PARTITION BY lang ORDER BY priority, doc_id, k ROWS UNBOUNDED PRECEDING) AS used FROM o)
-SELECT lang, priority, doc_id * 100000 + k AS ord, phrase FROM b WHERE i <= 50 AND used <= 400""",
+SELECT lang, priority, doc_id, k, phrase FROM b WHERE i <= 50 AND used <= 400""",
 )
 def phrase_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised phrases of each language, once each, by priority, within the budget."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     w = d.select("lang", "doc_id", F.posexplode(F.split("text", " ")).alias("k", "raw"))
-    p = w.select("lang", (F.col("doc_id") % 3).alias("priority"), F.struct("doc_id", (F.col("k") + 1).alias("k")).alias("ord"), text.phrase(F.substring("raw", 1, 40)).alias("phrase"))
-    number = F.col("ord.doc_id") * 100000 + F.col("ord.k")
-    return lexicon.phrase_list(p, ["lang"], 50, 400).select("lang", "priority", number.alias("ord"), "phrase")
+    p = w.select("lang", (F.col("doc_id") % 3).alias("priority"), F.struct("doc_id", (F.col("k") + 1).alias("k")).alias("ord"), text.phrase(F.col("raw")).alias("phrase"))
+    return lexicon.phrase_list(p, ["lang"], 50, 400).select("lang", "priority", "ord.doc_id", "ord.k", "phrase")
 
 
-@query("speech_errors")  # no SQL: DuckDB's edit distance counts bytes, not characters
+_EDITS = """cells AS (SELECT item_id, unnest(range(0, len(h) + 1)) AS j FROM p),
+d AS (SELECT item_id, 0 AS i, j, j AS v FROM cells
+  UNION ALL SELECT item_id, i + 1, j, min(c - j) OVER (PARTITION BY item_id ORDER BY j ROWS UNBOUNDED PRECEDING) + j
+  FROM (SELECT d.item_id, d.i, d.j, least(d.v + 1, coalesce(lag(d.v) OVER (PARTITION BY d.item_id ORDER BY d.j) + CASE WHEN p.r[d.i + 1] = p.h[d.j] THEN 0 ELSE 1 END, d.i + 1)) AS c
+        FROM d JOIN p ON p.item_id = d.item_id WHERE d.i < len(p.r))),
+e AS (SELECT p.item_id, len(r) AS n, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE d.v / len(r) END AS rate FROM p JOIN d ON d.item_id = p.item_id AND d.i = len(p.r) AND d.j = len(p.h))"""
+_OUT = r"""[\s.,!?;:"''“”‘’()\[\]{}·…~\-—啊。！？、，]+"""
+
+
+@query(
+    "speech_errors",
+    f"""WITH RECURSIVE t AS (SELECT item_id, regexp_replace(lower(nfc_normalize(text)), '{_OUT}', '', 'g') AS t FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT a.item_id, CASE WHEN a.t = '' THEN [] ELSE string_split(a.t, '') END AS r, CASE WHEN b.t = '' THEN [] ELSE string_split(b.t, '') END AS h FROM t a JOIN t b ON b.item_id = a.item_id + 1), {_EDITS}
+SELECT item_id, CAST(n AS BIGINT) AS ref_chars, round(rate, 6) AS cer FROM e""",
+)
 def speech_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of each passage against the next one."""
     b = table(spark, sf_dir, "benchmark")
@@ -188,13 +210,18 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.first_wins(d, F.concat_ws("|", "source", "lang"), ["doc_id"]).select("source", "lang", "doc_id")
 
 
-@query("speech_word_errors")
+@query(
+    "speech_word_errors",
+    f"""WITH RECURSIVE t AS (SELECT item_id, coalesce(list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '{_OUT}'), lambda w: w <> ''), []) AS t FROM benchmark),
+p AS (SELECT a.item_id, a.t AS r, coalesce(b.t, []) AS h FROM t a LEFT JOIN t b ON b.item_id = a.item_id + 1 WHERE a.item_id IS NOT NULL), {_EDITS}
+SELECT item_id, CAST(n AS BIGINT) AS n_words, round(rate, 6) AS wer FROM e""",
+)
 def speech_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word error rate of each passage against the next one."""
-    b = table(spark, sf_dir, "benchmark")
-    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("heard"))
+    """Word error rate of each passage against the next one; the last has none, so that its run counts as failed."""
+    b = table(spark, sf_dir, "benchmark").where("item_id is not null")
+    runs = evaluation.scored_runs(b.select("item_id", F.col("text").alias("reference")), b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis")), "item_id")
     words = lambda c: text.compared_words(text.nfc(c))
-    p = b.join(other, "item_id").select("item_id", words("text").alias("r"), words("heard").alias("h"))
+    p = runs.select("item_id", words("reference").alias("r"), words("hypothesis").alias("h"))
     return p.select("item_id", F.size("r").cast("long").alias("n_words"), F.round(evaluation.word_error_rate(F.col("r"), F.col("h")), 6).alias("wer"))
 
 
@@ -243,3 +270,45 @@ def session_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "session")
     phrases = table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("session"), F.col("r_name").alias("phrase"))
     return lexicon.diagnostics(n.where("n_nationkey % 2 = 0"), n.where("session > 0"), phrases, "session")
+
+
+@query(
+    "glossary_hints",
+    """WITH g AS (SELECT * FROM (VALUES (0, 'the', 'article', 'en=the, ja=sono'), (1, 'er', '', 'de=er'), (2, 'ü', NULL, NULL), (3, 'de', NULL, 'fr=de')) v(ord, term, definition, pairs))
+SELECT b.item_id AS sentence_id, coalesce((SELECT string_agg('- ' || term || CASE WHEN coalesce(definition, '') <> '' THEN ' (' || definition || ')' ELSE '' END || ' → ' || pairs, chr(10) ORDER BY ord)
+  FROM g WHERE contains(b.text, g.term) AND pairs IS NOT NULL), '') AS hint FROM benchmark b WHERE b.text IS NOT NULL""",
+)
+def glossary_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The translations that the glossary prescribes for the terms of a sentence; entries without any are left out."""
+    s = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("sentence_id"), F.col("text").alias("sentence"))
+    rows = [(0, "the", "article", {"ja": "sono", "en": "the"}), (1, "er", "", {"de": "er"}), (2, "ü", None, {}), (3, "de", None, {"fr": "de"})]
+    entries = spark.createDataFrame(rows, "ord int, term string, definition string, translations map<string,string>")
+    return lexicon.glossary_hints(lexicon.glossary_hits(s, entries.select("ord", "term")), entries)
+
+
+@query(
+    "large_lexicon",
+    """WITH l AS (SELECT DISTINCT lower(w) AS pattern FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE doc_id % 2 = 0) WHERE length(w) BETWEEN 5 AND 12)
+SELECT item_id AS sentence_id, count(*) AS n_patterns, min(pattern) AS first, max(pattern) AS last FROM benchmark b JOIN l ON contains(lower(b.text), l.pattern) GROUP BY item_id""",
+)
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with the words of documents that they contain, by automata of parts of the lexicon."""
+    w = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.explode(F.split("text", " ")).alias("w")).where(F.length("w").between(5, 12))
+    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sentence_id"), F.col("text").alias("sentence"))
+    met = contained(s, w.select(F.lower("w").alias("pattern")).distinct(), "sentence", "pattern")
+    return met.groupBy("sentence_id").agg(F.count("*").alias("n_patterns"), F.min("pattern").alias("first"), F.max("pattern").alias("last"))
+
+
+@query(
+    "slide_headers",
+    """WITH c AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS l FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL),
+x AS (SELECT conv_id, turn, role, list_filter(list_transform(l, lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')) AS l FROM c)
+SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN turn % 2 = 0 AND len(l) >= 1 THEN (turn + 1) || '. ' || role || ' — ' || l[1] ELSE turn || ' ' || role END AS title,
+  array_to_string(CASE WHEN turn % 2 = 0 AND len(l) >= 1 THEN l[2:] ELSE list_concat([CASE WHEN turn % 2 = 0 THEN CAST(turn + 1 AS VARCHAR) ELSE 'no number' END], l) END, chr(10)) AS body FROM x""",
+)
+def slide_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as slides whose head has a unit, its number and a heading (even ones), or no number."""
+    c = table(spark, sf_dir, "conversations").where("text is not null and conv_id is not null and turn is not null")
+    head = F.concat(F.col("turn").cast("string"), F.lit(" "), "role", F.lit("\n"), F.when(F.col("turn") % 2 == 0, (F.col("turn") + 1).cast("string")).otherwise("no number"))
+    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.concat_ws("\n", head, "text").alias("text"))
+    return chunking.deck_slides(pages, "doc_id", header=chunking.numbered_header)

@@ -18,26 +18,27 @@ def _picked(column, values: list[str]):
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(column, F.lit(len(values))).cast("int"))
 
 
-# Sentences and fillers in Korean, dealt to the turns of conversations by their number; SQL has the same list.
-_SPOKEN = ["음 그러니까 지 디 피 성장", "자 라그은 검색을 씁니다", "백프로파게이션으로 계산합니다", "어 뭐시기 체인룰이 핵심이다", "씁 어제 하 비가 음", "사과은 맛있다", "그 체인룰을 인가 그 봅시다"]
-_SPOKEN_SQL = "[" + ", ".join(f"'{s}'" for s in _SPOKEN) + "]"
-_TERMS = [("지디피", "GDP"), ("백프로파게이션", "역전파"), ("체인룰", "연쇄 법칙"), ("라그", "RAG")]
+# Sentences and fillers in Korean, put before the texts of conversations by the numbers of turns; SQL has the same list.
+_SPOKEN = ["음 그러니까 디 엔 에 스 주소", "자 디엔에스은 이름을 찾습니다", "버퍼로 옮깁니다", "어 뭐시기 커널이 멈췄다", "씁 오늘 하 눈이 음", "바다은 넓다", "그 모듈을 인가 그 나눕니다"]
+_SHOWN = ["음 그러니까 DNS 주소", "자 DNS은 이름을 찾습니다", "완충 공간으로 옮깁니다", "어 뭐시기 핵심부가 멈췄다", "씁 오늘 하 눈이 음", "바다은 넓다", "그 부품 틀을 인가 그 나눕니다"]
+_listed = lambda values: "[" + ", ".join(f"'{s}'" for s in values) + "]"
+_TERMS = [("디엔에스", "DNS"), ("버퍼", "완충 공간"), ("커널", "핵심부"), ("모듈", "부품 틀")]
 
 
 def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
-    return c.select("conv_id", "turn", _picked(F.col("conv_id") + F.col("turn"), _SPOKEN).alias("said"))
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and text is not null")
+    return c.select("conv_id", "turn", F.concat(_picked(F.col("conv_id") + F.col("turn"), _SPOKEN), F.lit(" "), F.col("text")).alias("said"))
 
 
 @query(
     "spoken_queries",
-    f"""WITH s AS (SELECT conv_id, turn, {_SPOKEN_SQL}[(conv_id + turn) % 7 + 1] AS said FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '백\\s*프\\s*로\\s*파\\s*게\\s*이\\s*션', '역전파', 'g'), '지\\s*디\\s*피', 'GDP', 'g'),
-  '체\\s*인\\s*룰', '연쇄 법칙', 'g'), '라\\s*그', 'RAG', 'g') AS w FROM s),
+    f"""WITH s AS (SELECT conv_id, turn, {_listed(_SPOKEN)}[(conv_id + turn) % 7 + 1] || ' ' || text AS said FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '디\\s*엔\\s*에\\s*스', 'DNS', 'g'), '버\\s*퍼', '완충 공간', 'g'),
+  '커\\s*널', '핵심부', 'g'), '모\\s*듈', '부품 틀', 'g') AS w FROM s),
 f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '^(어|음|자|그|저)\\s+', ' ', 'g'), '그러니까\\s*', ' ', 'g'),
   '뭐시기\\s*', ' ', 'g'), '인가\\s+그\\s+', ' ', 'g'), '\\s+그거\\s+', ' ', 'g'), '\\s+그게\\s+', ' ', 'g') AS q FROM t)
 SELECT conv_id, turn, trim(regexp_replace(q, '\\s+', ' ', 'g')) AS query,
-  array_to_string(list_filter(string_split(said, ' '), lambda x: NOT list_contains(['씁', '쓰읍', '음', '으음', '어', '아', '에', '엄', '흠', '하'], x)), ' ') AS plain FROM f""",
+  array_to_string(list_filter(regexp_split_to_array(said, '\\s+'), lambda x: x <> '' AND NOT list_contains(['씁', '쓰읍', '음', '으음', '어', '아', '에', '엄', '흠', '하'], x)), ' ') AS plain FROM f""",
 )
 def spoken_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transliterations and fillers of spoken sentences as a search query; and stand-alone fillers removed."""
@@ -47,12 +48,11 @@ def spoken_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "display_corrections",
-    f"""WITH s AS (SELECT conv_id, turn, (conv_id + turn) % 7 AS k FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
-SELECT conv_id, turn, ['음 그러니까 GDP 성장', '자 RAG은 검색을 씁니다', '역전파로 계산합니다', '어 뭐시기 연쇄 법칙이 핵심이다', '씁 어제 하 비가 음', '사과은 맛있다', '그 연쇄 법칙을 인가 그 봅시다'][k + 1] AS shown,
-  [1, 1, 1, 1, 0, 0, 1][k + 1]::BIGINT AS fixed FROM s""",
+    f"""WITH s AS (SELECT conv_id, turn, text, (conv_id + turn) % 7 AS k FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL)
+SELECT conv_id, turn, {_listed(_SHOWN)}[k + 1] || ' ' || text AS shown, [1, 1, 1, 1, 0, 0, 1][k + 1]::BIGINT AS fixed FROM s""",
 )
 def display_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken terms as written ones, with particles that agree."""
+    """Spoken terms as written ones, with particles that agree; the text behind them stays as it is."""
     got = text.display_correction(F.col("said"), _TERMS)
     return _spoken(spark, sf_dir).select("conv_id", "turn", got.alias("c")).select("conv_id", "turn", F.col("c.text").alias("shown"), F.col("c.fixed").alias("fixed"))
 
@@ -102,13 +102,12 @@ def speech_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "failure_kinds",
-    """WITH e AS (SELECT event_id, ['HTTP 400 Invalid Key', 'Request TIMEOUT', 'connection reset, invalid key', 'other'][event_id % 4 + 1] AS m FROM events)
-SELECT event_id, CASE WHEN contains(lower(m), 'invalid') OR contains(lower(m), 'forbidden') THEN 'permanent' WHEN contains(lower(m), 'timeout') OR contains(lower(m), 'reset') THEN 'transient' ELSE 'retryable' END AS kind FROM e""",
+    """SELECT doc_id, CASE WHEN contains(lower(text), 'card') OR contains(lower(text), 'secret') THEN 'permanent' WHEN contains(lower(text), 'the ') OR contains(lower(text), 'der ') THEN 'transient' ELSE 'retryable' END AS kind FROM documents""",
 )
 def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors by marker words, permanent ones first."""
-    message = _picked(F.col("event_id"), ["HTTP 400 Invalid Key", "Request TIMEOUT", "connection reset, invalid key", "other"])
-    return table(spark, sf_dir, "events").select("event_id", text.failure_kind(message, ("invalid", "forbidden"), ("timeout", "reset")).alias("kind"))
+    """Texts of documents as messages of failures, by marker words, permanent ones first."""
+    kind = text.failure_kind(F.col("text"), ("card", "secret"), ("the ", "der "))
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
 
 
 @query(
@@ -200,14 +199,18 @@ def locale_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pdf_materials",
-    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id % 2 = 0 WHEN 1 THEN page_id % 4 = 1 ELSE true END AS is_pdf FROM pages""",
+    """WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 'application/pdf' ELSE 'text/html' END END AS mime,
+  CASE WHEN page_id % 3 = 1 THEN regexp_extract(url, '[^/?#]*$') || CASE WHEN page_id % 2 = 0 THEN '.PDF' ELSE '.pdf.txt' END END AS name, replace(url, '.html', CASE WHEN page_id % 2 = 0 THEN '.Pdf' ELSE '.html' END) AS u FROM pages)
+SELECT page_id, CASE WHEN mime IS NOT NULL THEN mime = 'application/pdf' WHEN name IS NOT NULL THEN ends_with(lower(regexp_replace(name, '[?#].*$', '')), '.pdf')
+  ELSE coalesce(ends_with(lower(regexp_replace(u, '[?#].*$', '')), '.pdf'), false) END AS is_pdf FROM p""",
 )
 def pdf_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PDF by type, else by file name, else by the path of the URL."""
-    k = F.col("page_id") % 3
-    mime = F.when(k == 0, F.when(F.col("page_id") % 2 == 0, "application/pdf").otherwise("text/html"))
-    name = F.when(k == 1, F.when(F.col("page_id") % 4 == 1, "Notes.PDF").otherwise("notes.txt"))
-    return table(spark, sf_dir, "pages").select("page_id", readers.is_pdf(mime, name, F.lit("https://h/a/b.pdf?x=1#y")).alias("is_pdf"))
+    k, even = F.col("page_id") % 3, F.col("page_id") % 2 == 0
+    mime = F.when(k == 0, F.when(even, "application/pdf").otherwise("text/html"))
+    name = F.when(k == 1, F.concat(F.regexp_extract("url", "[^/?#]*$", 0), F.when(even, ".PDF").otherwise(".pdf.txt")))
+    url = F.replace("url", F.lit(".html"), F.when(even, ".Pdf").otherwise(".html"))
+    return table(spark, sf_dir, "pages").select("page_id", readers.is_pdf(mime, name, url).alias("is_pdf"))
 
 
 @query(
@@ -278,8 +281,9 @@ def key_term_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "slide_chunks",
     """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents WHERE text IS NOT NULL),
-d AS (SELECT doc_id, page_no, trim(line) AS body FROM p WHERE regexp_matches(line, '[\\p{L}\\p{N}]'))
-SELECT doc_id, count(*) FILTER (length(body) >= 50) AS n_slides, count(*) AS n_lines, count(*) FILTER (page_no % 2 = 1) AS n_weeks FROM d GROUP BY doc_id""",
+d AS (SELECT doc_id, page_no, trim(line) AS body FROM p WHERE regexp_matches(line, '[\\p{L}\\p{N}]')),
+s AS (SELECT doc_id, count(*) FILTER (length(body) >= 50) AS n_slides, count(*) AS n_lines, count(*) FILTER (page_no % 2 = 1) AS n_weeks FROM d GROUP BY doc_id)
+SELECT * FROM s WHERE n_slides > 0 UNION ALL SELECT doc_id, 0, count(*), -1 FROM p WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE n_slides > 0) GROUP BY doc_id""",
 )
 def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as slides of a deck and of marked weeks; short ones are no chunk; sources without slides fall back."""
@@ -289,7 +293,9 @@ def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = chunking.lecture_slides(pages.withColumn("text", F.concat(F.when(F.col("page_no") % 2 == 1, "Week 3\n").otherwise("Notes\n"), "line")), "doc_id")
     shown = deck.groupBy("doc_id").agg(F.count_if(F.length("body") >= chunking.MIN_SLIDE_CHARS).alias("n_slides"), F.count(F.lit(1)).alias("n_lines"))
     marked = weeks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_weeks"))
-    return chunking.with_fallback(shown.join(marked, "doc_id", "left").na.fill(0, ["n_weeks"]), shown.limit(0), "doc_id")
+    found = shown.join(marked, "doc_id", "left").na.fill(0, ["n_weeks"])
+    whole = pages.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_slides"), F.count("*").alias("n_lines"), F.lit(-1).cast("long").alias("n_weeks"))
+    return chunking.with_fallback(found.where("n_slides > 0"), whole, "doc_id")
 
 
 @query(

@@ -23,9 +23,9 @@ from pyspark.sql.types import StructType
 ROWS = 10_000
 
 
-def walked(rows: DataFrame, key: str, order: list[str], fields: list[str], start: Callable, schema: str) -> DataFrame:
+def walked(rows: DataFrame, key: str, order: list[str], fields: list[str], start: Callable, schema: str | StructType) -> DataFrame:
     """Output of each key's machine over its rows in order; ``schema`` begins with the key's column."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def pieces(made: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made) if made else [()] * len(arrow), arrow)], schema=arrow)

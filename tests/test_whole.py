@@ -21,7 +21,7 @@ def plain_phrases(docs):
     first = {}
     for doc_id, text, lang in docs:
         for k, raw in enumerate(text.split(" ") if text is not None else []):
-            p = " ".join(raw[:40].split())
+            p = " ".join(raw.split())
             if 2 <= len(p) <= 30:
                 row = (doc_id % 3, (doc_id, k + 1), p)
                 first[lang, p.lower()] = min(first.get((lang, p.lower()), row), row)
@@ -31,12 +31,13 @@ def plain_phrases(docs):
         for n, (priority, (doc_id, k), p) in enumerate(sorted(r for (x, _), r in first.items() if x == lang)):
             used += len(p)
             if n < 50 and used <= 400:
-                out.append((lang, priority, doc_id * 100000 + k, p))
+                out.append((lang, priority, doc_id, k, p))
     return sorted(out)
 
 
 def test_phrase_list_reads_all_documents(spark, tmp_path):
     docs = [(41, "last of all", "en"), (100, "Two words", "en"), (99, "zwei Wörter zwei", "de"), (39, None, "de"), (60, "first two ", "en"), (1, "x" * 45 + " WORDS", "en")]
+    docs += [(9, "word" + "\n" * 50 + "word", "it")]
     docs += [(3, "a " * 100_001 + "tail", "fr"), (6, "early", "fr")]  # the numbers of a long text overlap the next one's
     got = registry.QUERIES["phrase_list"](spark, saved(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string"))
     assert sorted(tuple(r) for r in got.collect()) == plain_phrases(docs)
