@@ -13,11 +13,14 @@ fingerprinted; that loses nothing, as a passing window can be moved to begin at
 
 The documents are read once, whatever the number of items, in chunks of ``CHUNK`` shingles (with what
 windows need beside), so a long text costs in proportion. The three tables made from the benchmark are
-broadcast if they have few enough rows or shingles, else joined by a shuffle.
+broadcast if they have few enough rows or shingles. Where they have more, narrow rows are shuffled: shingles go alone
+to meet the items', and what is found of a chunk comes back to it; fingerprints go without their windows, which are
+stored and joined by the candidates. A text is then sent some three times (its shingles, and a chunk with findings).
 
 Defined results: null and empty texts have no windows; a text shorter than an item is one window; an
 item of fewer than ``words`` words is not searched for; repeated rows are judged alike; null ids and
-extra columns are left alone; empty tables give no rows. Words are compared in lower case.
+extra columns are left alone (key columns are not to be named like those of this module: item, seed, cell and the like);
+empty tables give no rows. Words are compared in lower case.
 """
 
 from __future__ import annotations
@@ -95,35 +98,56 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "t
     """(keys, item_id, word_start, similarity, distance): windows of ``docs`` that hold an item, the best of each item."""
     items = cut(_items(benchmark, item_key, item_text, words), rows=benchmark.count())
     size = items.agg(F.coalesce(F.max("item_words"), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("shingles"), F.count(F.lit(1)).alias("n")).first()
-    fits = lambda df, rows, most: F.broadcast(df) if rows <= most else df
     reach = max(int(size.longest) - words + 1, 1)
     chunk = max(CHUNK, reach)
 
     seeds = items.select("item_words", F.explode("item_shingles").alias("seed")).distinct()
+    index_rows = size.n * _BLOCKS * len(_near_values()) + size.shingles
+    seeds_fit, index_fits = size.shingles <= BROADCAST_ROWS, index_rows <= BROADCAST_ROWS
     df = docs.select(*keys, F.expr(word_hashes(f"lower(cast(`{text}` as string))")).alias("_h"))
-    df = df.select(*keys, F.expr(shingles("_h", words)).alias("_s"))
+    if not (seeds_fit and index_fits):  # by these a text's rows are found again after a shuffle; equal rows may share them
+        df = df.withColumns({"_row1": F.xxhash64(*keys, "_h"), "_row2": F.xxhash64(F.lit(1), *keys, "_h")})
+    row = [] if seeds_fit and index_fits else ["_row1", "_row2"]
+    df = df.select(*keys, *row, F.expr(shingles("_h", words)).alias("_s"))
     cuts = f"transform(sequence(0, greatest(size(_s) - 1, 0) div {chunk}), k -> named_struct('own', k * {chunk}, 'from', greatest(k * {chunk} - {reach}, 0), 'part', slice(_s, cast(greatest(k * {chunk} - {reach}, 0) + 1 as int), {chunk + 2 * reach})))"
-    df = df.select(*keys, F.size("_s").alias("_n"), F.explode(F.expr(cuts)).alias("_c"))
+    df = df.select(*keys, *row, F.size("_s").alias("_n"), F.explode(F.expr(cuts)).alias("_c"))
     # outer: else a filter on the array size, worked out anew from the text, goes below
-    df = df.select(*keys, "_n", "_c", F.posexplode_outer(F.expr(f"slice(_c.part, cast(_c.own - _c.from + 1 as int), {chunk})")).alias("_k", "_seed"))
-    df = df.join(fits(seeds, size.shingles, BROADCAST_ROWS), F.col("_seed") == F.col("seed"))
+    own = F.posexplode_outer(F.expr(f"slice(_c.part, cast(_c.own - _c.from + 1 as int), {chunk})")).alias("_k", "_seed")
+    if seeds_fit:
+        df = df.select(*keys, *row, "_n", "_c", own).join(F.broadcast(seeds), F.col("_seed") == F.col("seed"))
+    else:  # shingles travel alone, and what is found comes back to its chunk
+        met = df.select(*row, F.col("_c.own").alias("_own"), own).join(seeds, F.col("_seed") == F.col("seed"))
+        met = met.groupBy(*row, "_own").agg(F.collect_set(F.struct("_k", "item_words", "seed")).alias("_met")).withColumnsRenamed({c: f"{c}_" for c in row})
+        here = [df[c] == met[f"{c}_"] for c in row] + [df["_c.own"] == met["_own"]]
+        df = df.join(met, here).select(*keys, *row, "_n", "_c", F.inline("_met"))
     start = f"greatest(least(_c.own + _k, _n - (item_words - {words - 1})), 0)"
     # a generator of one row: without it the optimizer would cut the window anew wherever it is used
     window = f"array(named_struct('word_start', {start}, 'window', slice(_c.part, cast({start} - _c.from + 1 as int), item_words - {words - 1})))"
-    df = df.select(*keys, "item_words", "seed", F.inline(F.expr(window)))
+    df = df.select(*keys, *row, "item_words", "seed", F.inline(F.expr(window)))
     prints = f"array(named_struct('print', {simhash('window')}, 'plain', {_PLAIN.format('window')}))"
-    df = df.select(*keys, "item_words", "seed", "word_start", "window", F.inline(F.expr(prints)))
-
+    df = df.select(*keys, *row, "item_words", "seed", "word_start", "window", F.inline(F.expr(prints)))
+
+    place = ["item_words", "seed", "word_start"]
+    windows = df
+    if not index_fits:  # fingerprints travel without their windows
+        windows = cut(df)
+        df = windows.select(*row, *place, "print", "plain").distinct()
+    carried = [*keys, *row, *place, "window"] if index_fits else [*row, *place]
     ways = F.expr(f"sequence(if(plain, 0, {_BLOCKS}), {_BLOCKS})")
-    df = df.select(*keys, "item_words", "seed", "word_start", "window", "print", "plain", F.explode(ways).alias("b"))
+    df = df.select(*carried, "print", "plain", F.explode(ways).alias("b"))
     df = df.withColumn("cell", F.expr(f"xxhash64(item_words, b, if(b = {_BLOCKS}, seed, {_VALUE.format('print')}))"))
-    pairs = df.join(fits(_index(items), size.n * _BLOCKS * len(_near_values()) + size.shingles, BROADCAST_ROWS), "cell").where("b = way")
+    index = _index(items)
+    pairs = df.join(F.broadcast(index) if index_fits else index, "cell").where("b = way")
     pairs = pairs.withColumn("distance", F.expr("cast(bit_count(print ^ item_print) as int)"))
     # a pair that several blocks bring is taken from the first of them
     first = f"array_position(transform(sequence(0, {_BLOCKS - 1}), b -> bit_count({_VALUE.format('(print ^ item_print)')}) <= {NEAR_BITS}), true) - 1"
     pairs = pairs.where(F.expr(f"if(b = {_BLOCKS}, not (plain and item_plain), distance <= {RADIUS} and {first} = b)"))
+    if not index_fits:
+        pairs = pairs.select(*row, *place, "item", "distance").withColumnsRenamed({c: f"{c}_" for c in [*row, *place]})
+        pairs = windows.join(pairs, [windows[c] == pairs[f"{c}_"] for c in [*row, *place]])
     pairs = pairs.select(*keys, "item", "word_start", "window", "distance")
-    pairs = pairs.join(fits(items.select("item", "item_id", "item_shingles"), size.shingles, BROADCAST_SHINGLES), "item")
+    held = items.select("item", "item_id", "item_shingles")
+    pairs = pairs.join(F.broadcast(held) if size.shingles <= BROADCAST_SHINGLES else held, "item")
     pairs = pairs.withColumn("similarity", F.expr(similarity("window", "item_shingles"))).where(F.col("similarity") >= threshold)
     best = F.max(F.struct("similarity", (-F.col("word_start")).alias("before"), "distance")).alias("best")
     return pairs.groupBy(*keys, "item_id").agg(best).select(

@@ -14,8 +14,8 @@ the model's values, and the parts of a document's sum are added up. A pair goes
 a frequent one, so no word makes a hot shard; else by its last word, whose P(w) is in that shard. Each shard is dealt
 in as many salts as the volume of documents asks for, and the model's part is sent to each of them.
 
-Words are 48-bit hashes (of 10^8 words some 20 pairs agree). Keys have 20 bits more than the number of pairs in the
-model needs, so a word or pair that the model lacks gets the value of another with a chance of 2^-20. Documents less likely than
+Words are 48-bit hashes (of 10^8 words some 20 pairs agree). Keys have ``SPARE_BITS`` bits more than the number of pairs
+in the model needs, so a word or pair that the model lacks gets the value of another with a chance of 2^-16. Documents less likely than
 ``QUANTILE`` of the other half of the trusted ones of their language are rejected.
 
 Defined results: a text without words (null, empty) has null perplexity and is not kept; rows without
@@ -44,6 +44,8 @@ from chalkline.session import ensure_checkpoint_dir
 QUANTILE = 0.99
 #: Most words, and most pairs, whose values are broadcast (some 20 bytes each).
 HEAD = 1 << 18
+#: Bits of a key beyond those that tell the model's pairs apart.
+SPARE_BITS = 16
 #: Texts that a task hands to Python at once.
 BATCH_ROWS = 3000
 #: More trusted ids than this are joined by a shuffle.
@@ -286,7 +288,7 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
     shards = _power_of_two(model.size / SHARD_VALUES)
     salts = max(1, -(-chars // (shards * SALT_CHARS)))
     shard_bits = np.uint64(int(np.log2(shards)))
-    key_shift = np.uint64(max(0, 64 - 20 - int(np.ceil(np.log2(model.size + 2)))))
+    key_shift = np.uint64(max(0, 64 - SPARE_BITS - int(np.ceil(np.log2(model.size + 2)))))
     numbers = model.__getstate__()
     fields = [("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("keys", "vals", "words", "sizes", "docs", "counts", "ids")]]
 

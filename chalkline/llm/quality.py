@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a predicate over measures of a text. Its cost (seconds over a sample, its measures included,
-over those of reading the sample) and selectivity (share of the sample that it rejects) are estimated
-once; the cascade then asks rules in order of rejection per cost, and a text that one rule rejects is not
-looked at by the next. Where only the kept rows are wanted (``kept_rows``), a measure is worked out just
+Each rule is a predicate over measures of a text. Costs (seconds over a sample, for each measure and each look at the
+text) and selectivity (the rows of the sample that a rule rejects) are estimated once; the cascade then asks rules in
+order of rejection per cost, each time among the rows that are left and for the cost that is not paid yet, and a text
+that one rule rejects is not looked at by the next. Where only the kept rows are wanted (``kept_rows``), a measure is worked out just
 before the first rule that needs it, for the texts that are left. The order changes the work, never the
 verdict.
 
@@ -17,11 +17,14 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that costs and selectivities are estimated on, none longer than so many characters, and how often each is judged then.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TIMES = 300, 50_000, 10
+#: Rows that costs and selectivities are estimated on, none longer than so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 300, 50_000
+#: Runs of a job of which the shortest counts, and the seconds below which times are not told apart.
+TIMED, LEAST_COST = 1, 0.002
 
 # White space between words, and the characters that count as symbols.
 SPACES = r"[\\x20\\x09-\\x0D]+"
@@ -55,6 +58,7 @@ CASCADE_RULES = (
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_OF_WORDS = ("n_words", "word_chars", "n_repeat_words")
 
 
 def _with_measures(df: DataFrame, t: str, names: list[str], hash_bits: int = 64) -> DataFrame:
@@ -127,47 +131,79 @@ def _asked(rule: Rule, text: str) -> F.Column:
     return F.expr(rule.rejects.format(t=f"`{text}`"))
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) of each rule over at most ``rows`` rows, the first that a few partitions give.
+def _needs(rule: Rule) -> list[str]:
+    """The units of cost that a rule asks for: the split into words, its measures, its own look at the text."""
+    measures = [m for m in MEASURES if m in rule.rejects]
+    return [*(["words"] if any(m in _OF_WORDS for m in measures) else []), *measures, *([f"text of {rule.name}"] if "{t}" in rule.rejects else [])]
 
-    Each rule's job runs once to be compiled and twice to be timed, over ``SAMPLE_TIMES`` copies of the
-    sample; the time that the job takes without a rule is taken off.
+
+@dataclass(frozen=True)
+class Estimates:
+    """``costs``: seconds of each unit over the sample; ``rejects``: for each rule, whether it rejects each row of the sample."""
+
+    costs: dict[str, float]
+    rejects: dict[str, np.ndarray]
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: int = SAMPLE_ROWS) -> Estimates:
+    """Costs and rejections of ``rules`` over at most ``rows`` rows, the first that a few partitions give.
+
+    One job gives the rejections of all rules. Each unit of cost has a job of its own over the sample, once to be
+    compiled and ``TIMED`` times to be timed; the time of a job without it is taken off.
     """
     spark = docs.sparkSession
-    taken = docs.select(F.col(text).cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS).take(rows)
-    if not taken:
-        return [(rule, 0.0, 0.0) for rule in rules]
-    sample = spark.createDataFrame(taken, "_t string").repartition(1).persist()
-    try:
-        copies = sample.select(F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_TIMES))), "_t").drop("col")
-
-        def timed(df: DataFrame, rejects: F.Column) -> tuple[float, int]:
-            spent = []
-            for _ in range(3):
-                began = time.perf_counter()
-                n = df.agg(F.count_if(rejects).alias("n")).first()["n"]
-                spent.append(time.perf_counter() - began)
-            return min(spent[1:]), n
-
-        idle, _ = timed(copies, F.length("_t") < 0)
-        found = []
-        for rule in rules:
-            seconds, n = timed(measured(copies, "_t"), _asked(rule, "_t"))
-            found.append((rule, max(seconds - idle, 1e-4), n / (len(taken) * SAMPLE_TIMES)))
-        return found
-    finally:
-        sample.unpersist()
-
-
-def in_order(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
-    """Most rejection per cost first; ties in the given order."""
-    return [rule for rule, _, _ in sorted(estimates, key=lambda x: -x[2] / max(x[1], 1e-6))]
+    taken = docs.select(F.col(text).cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= SAMPLE_CHARS).limit(rows).toArrow()
+    if not taken.num_rows:
+        return Estimates({}, {rule.name: np.zeros(0, bool) for rule in rules})
+    sample = spark.createDataFrame(taken).coalesce(1)
+    said = _settled(measured(sample, "_t"), list(MEASURES)).select(*[F.coalesce(_asked(r, "_t"), F.lit(False)).alias(r.name) for r in rules]).toArrow()
+    rejects = {r.name: said.column(k).to_numpy() for k, r in enumerate(rules)}
+
+    def timed(df: DataFrame, value: F.Column) -> float:
+        spent = []
+        for _ in range(TIMED + 1):
+            began = time.perf_counter()
+            df.agg(F.max(value)).collect()
+            spent.append(time.perf_counter() - began)
+        return min(spent[1:])
+
+    split = sample.withColumn("_q_words", F.expr(_words("_t")))
+    idle = timed(sample, F.length("_t"))
+    whole = timed(split, F.size("_q_words"))
+    costs = {"words": whole - idle}
+    for unit in dict.fromkeys(u for r in rules for u in _needs(r) if u != "words"):
+        of = next((r for r in rules if unit == f"text of {r.name}"), None)
+        if of is None:
+            costs[unit] = timed(_with_measures(split, "`_t`", [unit]), F.col(unit)) - (whole if unit in _OF_WORDS else idle)
+        else:  # the measures are constants here, so that the look at the text alone is timed
+            costs[unit] = timed(sample.withColumns({m: F.length("_t").cast("long") for m in MEASURES}), _asked(of, "_t").cast("int")) - idle
+    return Estimates({u: max(c, LEAST_COST) for u, c in costs.items()}, rejects)
+
+
+def in_order(rules: tuple[Rule, ...], estimates: Estimates) -> list[Rule]:
+    """At each place the rule with most rejections, among the rows that are left, for the cost of what it needs beside
+    what the rules before it have worked out; ties in the given order."""
+    left, known, todo, out = None, set(), list(rules), []
+    while todo:
+
+        def gain(rule: Rule) -> float:
+            said = estimates.rejects[rule.name]
+            n = int((said if left is None else said & left).sum())
+            return n / (LEAST_COST + sum(estimates.costs.get(u, 0.0) for u in _needs(rule) if u not in known))
+
+        best = max(todo, key=gain)  # the first of equal ones
+        todo.remove(best)
+        out.append(best)
+        known.update(_needs(best))
+        said = estimates.rejects[best.name]
+        left = ~said if left is None else left & ~said
+    return out
 
 
 def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = CASCADE_RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with all measures, ``base_failed`` and ``kept``."""
     cascade = F
-    for rule in in_order(estimate(docs, base + rules, text, sample_rows)):
+    for rule in in_order(base + rules, estimate(docs, base + rules, text, sample_rows)):
         cascade = cascade.when(_asked(rule, text), False)
     judged = measured(docs, text).withColumns({"base_failed": F.expr(" or ".join(f"({r.rejects})" for r in base)), "kept": cascade.otherwise(True)})
     return _settled(judged, [*MEASURES, "base_failed", "kept"])
@@ -177,7 +213,7 @@ def kept_rows(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BAS
     """The rows of ``docs`` that no rule rejects; what a rule rejects costs nothing after it."""
     own = {c: f"_q_own_{c}" for c in docs.columns if c in (*MEASURES, "_q_words")}
     df, t = docs.withColumnsRenamed(own), own.get(text, text)
-    for rule in in_order(estimate(docs, rules, text, sample_rows)):
+    for rule in in_order(rules, estimate(docs, rules, text, sample_rows)):
         new = [m for m in MEASURES if m in rule.rejects and m not in df.columns]
         if new:
             df = _settled(_with_measures(df, f"`{t}`", new), [*new, "_q_words"])

@@ -64,6 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     hits = hits.join(known, "prefix").where(F.col("_digest") == F.col("digest"))
     rank = F.struct((-F.length("rule")).alias("n"), (F.col("action") != "block").alias("b"), F.col("rule").alias("r"))
     best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), rank).alias("_best"))
-    best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "_best")
-    joined = pages.join(best, (pages.host == best["_host"]) & (pages.path == best["_path"]), "left")
-    return joined.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_host", "_path", "_best")
+    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("_best.rule").alias("r"), F.col("_best.action").alias("a"))
+    joined = pages.join(best, (pages.host == best.h) & (pages.path == best.p), "left")
+    kept = [pages[f"`{c}`"] for c in pages.columns if c not in ("rule", "verdict")]
+    return joined.select(*kept, best.r.alias("rule"), F.coalesce(best.a, F.lit(default)).alias("verdict"))
