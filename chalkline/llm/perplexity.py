@@ -46,8 +46,8 @@ QUANTILE = 0.99
 HEAD = 1 << 18
 #: Bits of a key beyond those that tell the model's pairs apart.
 SPARE_BITS = 16
-#: Texts that a task hands to Python at once.
-BATCH_ROWS = 3000
+#: Texts that a task hands to Python at once, and rows of the model that it sends at once.
+BATCH_ROWS, GATHERED = 3000, 200_000
 #: More trusted ids than this are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Words of a block; pairs that a shard counts, values that it holds, and characters of documents for each of its salts.
@@ -100,6 +100,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
             at, before = to, int(ends[to - 1])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of several batches as one, ``GATHERED`` at least: sorted keys that stand closer take less space."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _bordered(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """48-bit word hashes with a border before and after each text; lengths with both borders."""
     lens = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -308,14 +320,14 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
     def pair_shards(keys: np.ndarray, w: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         return np.where(frequent, shard_of(keys), shard_of(_word_keys(w)))
 
-    def sent(shard: np.ndarray, kind: int, **columns: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(shard, kind="stable")
-        parts = of_shards(shard[order])
+    def sent(shard: np.ndarray, kind: int, keys: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((keys, shard))
+        parts, keys = of_shards(shard[order]), keys[order]
         columns = {n: c[order] for n, c in columns.items()}
-        return batch_of([row(k, t, kind, **{n: c[a:z] for n, c in columns.items()}) for k, a, z in parts if z > a for t in range(salts)])
+        return batch_of([row(k, t, kind, keys=_planes(keys[a:z]), **{n: c[a:z] for n, c in columns.items()}) for k, a, z in parts if z > a for t in range(salts)])
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _gathered(batches):
             words, p, vals = (c.to_numpy() for c in b.columns)
             keys = _word_keys(words.view(np.uint64))
             yield sent(shard_of(keys), 0, keys=keys >> key_shift, words=words, vals=np.stack([vals, p], 1).astype(np.float32))
@@ -324,7 +336,7 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
         words, p, _, head_keys, _ = head.value
         of = Model.__new__(Model)
         of.__dict__.update(numbers)
-        for b in batches:
+        for b in _gathered(batches):
             v, w, *counts = (c.to_numpy() for c in b.columns)
             v, w = v.view(np.uint64), w.view(np.uint64)
             keys = _pair_keys(v, w)
@@ -398,7 +410,7 @@ def scores(docs: DataFrame, model: Model, chars: int = 0) -> DataFrame:
             order = np.argsort(words)
             there, place = _found(words[order], numbers_of(2, "words", np.uint64))
             p = np.where(there, pair[order, 1][place] if len(order) else 1, numbers["unknown"])
-            k = np.concatenate([numbers_of(kind, "keys", np.uint64) for kind in (0, 1, 2)])
+            k = np.concatenate([np.empty(0, np.uint64), *(_from_planes(_opened(r["keys"])) for kind in (0, 1, 2) for r in held.get(kind, []))])
             v = np.concatenate([pair[:, 0], numbers_of(1, "vals", np.float32), np.log1p(numbers_of(2, "vals", np.float32) / p)])
             order = np.argsort(k)
             return k[order], v[order].astype(np.float32)
