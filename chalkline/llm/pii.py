@@ -4,10 +4,11 @@ Plain identifiers are found in the text itself. For disguised ones three transdu
 each keeping for every output character the source characters it stands for:
 
 1. homoglyphs and invisible characters fold to ASCII;
-2. "(at)", "[dot]" and then "na dot me at host dot tld" and "name_at_host_dot_tld" become ``@`` and ``.``, in any
-   mix that has an at-mark; "name at host.tld" with plain dots only is left, since prose has it ("look at
-   example.com"); "192 dot 168 dot 1 dot 5" becomes an address with dots;
-3. runs of spelled digits ("plus one four ...", "eins neun zwei Punkt ...") become digits.
+2. "(at)", "[dot]", coded at-marks and then "na dot me at host dot tld" (also by the words of other languages, with
+   line breaks, or marks between blanks, if the host ends as hosts do) and "name_at_host_dot_tld" become ``@`` and
+   ``.``, in any mix that has an at-mark; "name at host.tld" with plain dots only is left, since prose has it ("look
+   at example.com"); "192 dot 168 point 1 dot 5" becomes an address with dots;
+3. runs of spelled digits ("plus one four double two ...", "eins neun zwei Punkt ...") become digits.
 
 The same detectors then read the normalised text, and their spans map back to source characters.
 
@@ -60,23 +61,32 @@ DIGIT_WORDS = {
 }
 _POINT_WORDS, _PLUS_WORDS = ("dot", "point", "punkt", "punto"), ("plus", "más")
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "¹²³⁰-₉①-⑳﹒﹫！-～\U0001d400-\U0001d7ff]")
-_AT = re.compile(r" ?[\[({<] ?(?:at|@|ät) ?[\])}>] ?", re.I)
-_DOT = re.compile(r" ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?", re.I)
+_AT = re.compile(r"\s?[\[({<] ?(?:at|@|ät|arroba) ?[\])}>]\s?|&#0*64;|&#x0*40;|&commat;|%40", re.I)
+_DOT = re.compile(r"\s?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>]\s?", re.I)
+# Words for the marks, and ends of hosts; where a mark is said otherwise than by "at" and "dot", the host has one of these.
+_AT_WORDS = ("at", "ät", "arroba", "chez")
+TLDS = frozenset("com org net edu gov info io de fr es eu uk us ch at it nl be pt mx ar co ca au test example".split())
+_SAID_DOT = rf"\s{{1,2}}(?:{'|'.join(_POINT_WORDS)})\s{{1,2}}"
+_SAID_AT = rf"\s{{1,2}}(?:{'|'.join(_AT_WORDS)})\s{{1,2}}|\s?\(a\)\s?|\s?@\s?"
 # A chain of words of a local part, and the host after it; chains without one are taken too, so each is read once.
 _SPOKEN = re.compile(
-    r"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?: dot (?!at )[A-Za-z0-9._%+-]++)*+(?:(?P<at>@| at )[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++)?", re.I
+    rf"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?:{_SAID_DOT}(?!at\s)[A-Za-z0-9._%+-]++)*+(?:(?P<at>{_SAID_AT})[A-Za-z0-9-]++(?:(?:{_SAID_DOT}|\s\.\s|\.)[A-Za-z0-9-]++)++)?", re.I
 )
-_SPOKEN_DOT = re.compile(r" dot ", re.I)
-_SPOKEN_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?![\w.])", re.I)
+_SPOKEN_DOT = re.compile(rf"{_SAID_DOT}|\s\.\s", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:{_SAID_DOT}|\.)[0-9]{{1,3}}){{3}}(?![\w.])", re.I)
+# What a said address, and a said number with points, cannot be without.
+_SPOKEN_HINT = re.compile(rf"\s(?:{'|'.join(_AT_WORDS)})\s|\(a\)|\s@|@\s|@[A-Za-z0-9-]+(?:{_SAID_DOT})|{_SAID_DOT}[A-Za-z0-9._%+-]+@", re.I)
+_DOT_HINT = re.compile(_SAID_DOT, re.I)
 _JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+]+?(?P<at>([_-])at\2)[A-Za-z0-9]+(?:\2dot\2[A-Za-z0-9]+)+(?![A-Za-z0-9])", re.I)
 _JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
-_MARKED = re.compile(r"[\[({<] ?(?:at|@|ät|dot|punkt|point|punto|\.) ?[\])}>]", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(
-    rf"(?<!\w)(?:(?:{'|'.join(_PLUS_WORDS)}|\+)[ -]?)?(?:{_WORD})(?:(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9]|{'|'.join(_POINT_WORDS)}))(?!\w)){{6,}}", re.I
-)
+_TIMES = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
+_SAID = rf"(?:(?:{'|'.join(_TIMES)})[ -])?(?:{_WORD})"
+_BETWEEN = r"[ ,()\n-]{1,3}"
+_PLUS = rf"(?:{'|'.join(_PLUS_WORDS)}|\+)[ -]?(?:[0-9]{{1,3}}[ (-]{{1,2}})?"
+_SPELLED = re.compile(rf"(?:(?<!\w){_PLUS})?(?<!\w){_SAID}(?:(?:{_BETWEEN}(?:{_SAID}|[0-9]|{'|'.join(_POINT_WORDS)}))(?!\w)){{5,}}", re.I)
 _SPELLED_PART = re.compile(r"\w+|\+")
-_HINT = re.compile(rf"\W(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9]|{'|'.join(_POINT_WORDS)})(?!\w)")  # what any spelled run begins with
+_HINT = re.compile(rf"\W{_SAID}{_BETWEEN}(?:{_SAID}|[0-9]|{'|'.join(_POINT_WORDS)})(?!\w)")  # what any spelled run begins with
 
 
 def luhn(digits: str) -> bool:
@@ -173,28 +183,31 @@ def _folded(c: str) -> str:
 
 
 def _spelled(part: str) -> str:
-    out = []
+    out, times = [], 1
     for word in _SPELLED_PART.findall(part.lower()):
-        out.append("+" if word in _PLUS_WORDS else "." if word in _POINT_WORDS else DIGIT_WORDS.get(word, word))
+        if word in _TIMES:
+            times = _TIMES[word]
+            continue
+        out.append(times * ("+" if word in _PLUS_WORDS else "." if word in _POINT_WORDS else DIGIT_WORDS.get(word, word)))
+        times = 1
     return "".join(out)
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans in source characters of what is found only after the transducers."""
     odd, lower = bool(_ODD.search(text)), text.lower()
-    spoken = " at " in lower or " dot " in lower
-    marked = bool(_MARKED.search(text)) or (" dot " in lower and ("@" in lower or " at " in lower))
+    spoken, points = bool(_SPOKEN_HINT.search(text)), bool(_DOT_HINT.search(text))
     joined_up = "_dot_" in lower or "-dot-" in lower
-    numbers = " dot " in lower and bool(_SPOKEN_IP.search(text))
-    if not (odd or marked or joined_up or numbers or _HINT.search(f" {lower}")):
+    if not (odd or spoken or points or joined_up or _AT.search(text) or _DOT.search(text) or _HINT.search(f" {lower}")):
         return []
     tape = _Tape(text)
     if odd:
         tape.rewrite([(m.start(), m.end(), _folded(m[0])) for m in _ODD.finditer(tape.text)])
+        spoken, points = bool(_SPOKEN_HINT.search(tape.text)), bool(_DOT_HINT.search(tape.text))
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
     edits = []
-    for m in _SPOKEN.finditer(tape.text) if spoken else ():
+    for m in _SPOKEN.finditer(tape.text) if spoken or points else ():
         if not m["at"]:
             continue
         dots = [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, *m.span())]
@@ -202,11 +215,14 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
             if not m[0][0].isalnum() or not (dots or "." in tape.new_text(*m.span())):
                 continue
             dots.append((*m.span("at"), "@"))
+        usual = m["at"].strip().lower() in ("@", "at") and all(tape.text[s:e].strip().lower() == "dot" for s, e, new in dots if new == ".")
+        if not usual and m[0].lower().replace(".", " ").split()[-1] not in TLDS:
+            continue
         edits += sorted(dots)
     tape.rewrite(edits)
     if joined_up:
         tape.rewrite([e for m in _JOINED.finditer(tape.text) for e in sorted([(*m.span("at"), "@"), *((d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(tape.text, m.end("at"), m.end()))])])
-    if " dot " in lower:
+    if points:
         tape.rewrite([(d.start(), d.end(), ".") for m in _SPOKEN_IP.finditer(tape.text) for d in _SPOKEN_DOT.finditer(tape.text, *m.span())])
     tape.rewrite([(m.start(), m.end(), _spelled(m[0])) for m in _SPELLED.finditer(tape.text)])
     if tape.text == text:
