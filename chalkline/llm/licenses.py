@@ -265,18 +265,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, paragraph, word_start, family, probability, template_share) of each passage that states a licence, by family."""
     spark = docs.sparkSession
     rows, intercepts, _ = _trained(spark)
-    table = spark.createDataFrame(rows, "pair long, weights array<double>, holds array<double>")
     n, m, groups = len(CLASSES), len(TEMPLATES), _groups()
+    names = [f"z{k}" for k in range(n)], [f"h{k}" for k in range(m + len(groups))]
+    table = spark.createDataFrame([(g, *z, *h) for g, z, h in rows], "pair long, " + ", ".join(f"{c} double" for c in [*names[0], *names[1]]))
     found = passages(docs, table.select("pair"), key, text)
     place = ["_row", "paragraph", "passage", "doc_id"]
     once = found.groupBy(*place, "pair").agg(F.min("at").alias("at")).join(F.broadcast(table), "pair")
-    zero = lambda k: F.array_repeat(F.lit(0.0), k)
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    gathered = once.groupBy(*place).agg(F.min("at").cast("long").alias("word_start"), F.collect_list(F.struct("weights", "holds")).alias("all"))
-    start = F.array(*[F.lit(float(x)) for x in intercepts])
+    # sums of plain columns, which tasks add up before they are shuffled
+    gathered = once.groupBy(*place).agg(F.min("at").cast("long").alias("word_start"), F.count("*").alias("n_pairs"), *[F.sum(c).alias(c) for c in [*names[0], *names[1]]])
     summed = gathered.select(
-        "_row", "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "word_start", F.size("all").alias("n_pairs"),
-        F.aggregate("all", start, lambda a, r: plus(a, r["weights"])).alias("z"), F.aggregate("all", zero(m + len(groups)), lambda a, r: plus(a, r["holds"])).alias("h"),
+        "_row", "doc_id", F.col("paragraph").cast("long").alias("paragraph"), "word_start", "n_pairs",
+        F.array(*[F.col(c) + float(x) for c, x in zip(names[0], intercepts)]).alias("z"), F.array(*names[1]).alias("h"),
     )
     own = {f: [F.get("h", F.lit(k)) for k in range(m) if TEMPLATES[k][0] == f] for f in FAMILIES}
     marked = lambda f: reduce(and_, [F.get("h", F.lit(m + k)) > 0 for k, (g, _) in enumerate(groups) if g == f], F.lit(True))

@@ -74,9 +74,9 @@ _SPOKEN = re.compile(
 )
 _SPOKEN_DOT = re.compile(rf"{_SAID_DOT}|\s\.\s", re.I)
 _SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?:{_SAID_DOT}|\.)[0-9]{{1,3}}){{3}}(?![\w.])", re.I)
-# What a said address, and a said number with points, cannot be without.
-_SPOKEN_HINT = re.compile(rf"\s(?:{'|'.join(_AT_WORDS)})\s|\(a\)|\s@|@\s|@[A-Za-z0-9-]+(?:{_SAID_DOT})|{_SAID_DOT}[A-Za-z0-9._%+-]+@", re.I)
-_DOT_HINT = re.compile(_SAID_DOT, re.I)
+# What no marked, said or pointed form can be without, from the same words.
+_MARKED = re.compile(r"[\[({<] ?(?:at|@|ät|arroba|dot|punkt|point|punto|\.) ?[\])}>]|&#|&commat;|%40", re.I)
+_AT_HINTS, _DOT_HINTS = [f" {w} " for w in _AT_WORDS], [f" {w} " for w in _POINT_WORDS]
 _JOINED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+]+?(?P<at>([_-])at\2)[A-Za-z0-9]+(?:\2dot\2[A-Za-z0-9]+)+(?![A-Za-z0-9])", re.I)
 _JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -193,21 +193,29 @@ def _spelled(part: str) -> str:
     return "".join(out)
 
 
+def _hints(lower: str) -> tuple[bool, bool]:
+    """Whether a text may have a said address, and a point that is a word."""
+    flat = " ".join(lower.split())
+    points = any(w in flat for w in _DOT_HINTS)
+    at = "@" in flat and ("@ " in flat or " @" in flat or points)
+    return at or "(a)" in flat or points and any(w in flat for w in _AT_HINTS), points
+
+
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans in source characters of what is found only after the transducers."""
     odd, lower = bool(_ODD.search(text)), text.lower()
-    spoken, points = bool(_SPOKEN_HINT.search(text)), bool(_DOT_HINT.search(text))
+    spoken, points = _hints(lower)
     joined_up = "_dot_" in lower or "-dot-" in lower
-    if not (odd or spoken or points or joined_up or _AT.search(text) or _DOT.search(text) or _HINT.search(f" {lower}")):
+    if not (odd or spoken or points or joined_up or _MARKED.search(text) or _HINT.search(f" {lower}")):
         return []
     tape = _Tape(text)
     if odd:
         tape.rewrite([(m.start(), m.end(), _folded(m[0])) for m in _ODD.finditer(tape.text)])
-        spoken, points = bool(_SPOKEN_HINT.search(tape.text)), bool(_DOT_HINT.search(tape.text))
+        spoken, points = _hints(tape.text.lower())
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
     edits = []
-    for m in _SPOKEN.finditer(tape.text) if spoken or points else ():
+    for m in _SPOKEN.finditer(tape.text) if spoken or tape.text != text else ():
         if not m["at"]:
             continue
         dots = [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, *m.span())]
