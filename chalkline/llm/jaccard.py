@@ -26,12 +26,15 @@ from pyspark.sql import types as T
 
 from chalkline.llm.batches import small_batches
 from chalkline.llm.tokens import give_back
-from chalkline.session import cut
+from chalkline.session import LEAST_FILES, cut
 
 #: Most members of a block; a bucket of more is dealt in pairs of blocks.
 BLOCK = 512
 #: Texts that a task hands to Python at once.
 BATCH_ROWS = 1000
+#: Splits of the documents, or parts of a shuffle, that are written to one checkpoint file: each file costs its executor
+#: some forks, for whose instant its memory counts twice.
+TOGETHER = 3
 #: Most rows to drop that are broadcast; more meet the documents by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _SKETCH = T.StructType(
@@ -229,8 +232,9 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.expr(word_hashes("text")).alias("words"))
+    files = lambda n: max(LEAST_FILES, n // TOGETHER)
     with small_batches(docs.sparkSession, BATCH_ROWS):
-        sketches = cut(sketches.mapInArrow(_sketcher(words, bands, rows), _SKETCH))
+        sketches = cut(sketches.mapInArrow(_sketcher(words, bands, rows), _SKETCH).coalesce(files(source.rdd.getNumPartitions())))
     twins = sketches.groupBy("set_id").agg(F.min("second").alias("_low"), F.max("second").alias("_high")).where("_low <> _high").select("set_id")
     n_rows = sketches.count()
     if not (twins := cut(twins, rows=0)).isEmpty():
@@ -260,7 +264,8 @@ def labelled(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     )
     place = ["bucket", "left", "right"]
     with small_batches(docs.sparkSession, BATCH_ROWS):
-        found = cut(dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_verifier(words, threshold), _LINKS))
+        found = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_verifier(words, threshold), _LINKS)
+        found = cut(found.coalesce(files(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
     parts = connected(found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     grouped = parts.join(sets, parts.node == sets.set_id)
