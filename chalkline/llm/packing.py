@@ -86,8 +86,8 @@ def plan(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     whole, rest = np.divmod(lengths, window)
     for k in np.flatnonzero(whole):
         sequences += [[(int(k), i * window, window)] for i in range(int(whole[k]))]
-    bins = min(BINS, window)
-    width = -(-window // bins)
+    width = -(-window // min(BINS, window))
+    bins = window // width  # their ends are within the window; what is longer stands alone in the last one
     members: list[list[int]] = [[] for _ in range(bins)]
     for k in np.flatnonzero(rest):
         members[min(bins, -(-int(rest[k]) // width)) - 1].append(int(k))
@@ -97,7 +97,7 @@ def plan(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
         spare += m[:keep]
         del m[:keep]
     combos = combinations(bins, DEPTH)
-    times = nnls(combos, np.array([len(m) for m in members], float)) if any(members) and width * bins <= window else np.zeros(combos.shape[1])
+    times = nnls(combos, np.array([len(m) for m in members], float)) if any(members) else np.zeros(combos.shape[1])
     made: list[tuple[list[tuple[int, int, int]], int]] = []
     for c, count in zip(combos.T.astype(int), np.floor(times + 1e-9).astype(int)):
         used = np.flatnonzero(c)

@@ -29,7 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.llm.tokens import give_back
+
 KINDS = ("email", "ip", "card", "phone")
+#: Texts that are Python strings at once.
+PART_ROWS = 256
 SPAN_TYPE = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
 )
@@ -285,14 +289,21 @@ def _list_array(rows: list[list[tuple[int, int, int, bool]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans).cast(_ARROW_SPANS)
 
 
+def _in_parts(texts: pa.Array, made) -> pa.Array:
+    """``made`` of a few texts at a time, so that a batch of long ones stands in memory as Arrow data only."""
+    parts = [made(texts.slice(at, PART_ROWS).to_pylist()) for at in range(0, len(texts), PART_ROWS)]
+    give_back()
+    return pa.concat_arrays(parts) if parts else made([])
+
+
 @F.arrow_udf(SPAN_TYPE)
 def _find_udf(texts: pa.Array) -> pa.Array:
-    return _list_array([find(t) for t in texts.to_pylist()])
+    return _in_parts(texts, lambda part: _list_array([find(t) for t in part]))
 
 
 @F.arrow_udf(T.StringType())
 def _redact_udf(texts: pa.Array) -> pa.Array:
-    return pa.array([redacted(t) for t in texts.to_pylist()], pa.string())
+    return _in_parts(texts, lambda part: pa.array([redacted(t) for t in part], pa.string()))
 
 
 def with_pii(docs: DataFrame, text: str = "text", into: str = "pii_spans") -> DataFrame:
