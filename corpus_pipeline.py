@@ -18,6 +18,9 @@ from chalkline.llm import decontaminate, jaccard, packing, pii, quality
 from chalkline.llm.paths import tokenizer_path
 from chalkline.session import ensure_checkpoint_dir, table
 
+#: Texts that a task hands to Python at once in the last two stages.
+BATCH_ROWS = 1500
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_rows(docs)
@@ -31,11 +34,21 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """From here on whole texts go to Python ``BATCH_ROWS`` at a time: the stages are planned when they are written, so
+    the setting of the session has to hold until then."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_ = int(spark.conf.get(name))
+    spark.conf.set(name, str(BATCH_ROWS if set_ <= 0 else min(set_, BATCH_ROWS)))
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
