@@ -37,7 +37,7 @@ class WordIds:
     """Ids of whole texts; ``max_chunks`` bounds the cache: the chunks met first stay, later ones are
     worked out for the texts at hand and forgotten."""
 
-    def __init__(self, path: str, max_chunks: int = 700_000, max_words: int = 100_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 1_400_000, max_words: int = 100_000) -> None:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
