@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.llm.tokens import MAX_CHUNKS
+
 WINDOW = 2048
 #: Histogram bins in a window, most pieces in a combination, share of remainders kept for the gaps.
 BINS, DEPTH, SPARE = 32, 3, 0.08
@@ -131,17 +133,18 @@ def plan(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     return sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1, with_ids: bool = True, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all ``docs``.
 
     ``ids`` holds a piece's ids as little-endian unsigned 32-bit numbers (null unless ``with_ids``).
+    ``max_chunks`` bounds the cache of the tokenizer in a worker; it changes time and memory, never rows.
     ``sequence_id`` is made of the task's number and a count, so a task that runs anew gives the same.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chalkline.llm.tokens import give_back, word_ids
 
-        coder = word_ids(tokenizer)
+        coder = word_ids(tokenizer, max_chunks)
         sequence = TaskContext.get().partitionId() << 33
         end = np.array([end_id], np.uint32)
         keys: list[int | None] = []

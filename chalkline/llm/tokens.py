@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: The pre-token pattern of the word_bpe_49k file, written for the `regex` module.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks in a worker's cache; fewer take less memory and more time, and the ids are the same.
+MAX_CHUNKS = 1_400_000
 #: Letters below this code point are their own NFC form and have a lower case free of context.
 PLAIN_BELOW = 0x250
 
@@ -37,7 +39,7 @@ class WordIds:
     """Ids of whole texts; ``max_chunks`` bounds the cache: the chunks met first stay, later ones are
     worked out for the texts at hand and forgotten."""
 
-    def __init__(self, path: str, max_chunks: int = 1_400_000, max_words: int = 100_000) -> None:
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS, max_words: int = 100_000) -> None:
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -149,6 +151,6 @@ def give_back() -> None:
 
 
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    """One ``WordIds`` for each file and Python worker."""
-    return WordIds(path)
+def word_ids(path: str, max_chunks: int = MAX_CHUNKS) -> WordIds:
+    """One ``WordIds`` for each Python worker, of the file and the size asked for last."""
+    return WordIds(path, max_chunks)

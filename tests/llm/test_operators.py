@@ -384,14 +384,15 @@ def test_url_rules_of_many_shapes(spark, monkeypatch):
 # 7
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("max_chunks", [1_400_000, 300, 0])
+def test_packing(spark, max_chunks):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(TOKENIZER)
     rng = random.Random(7)
     texts = [sentence(rng, rng.randrange(1, 900)) for _ in range(150)] + EDGES + ["<|endoftext|> İ Σς ½² １２ e\u0301 don't", "word " * 9000]
     ids = {i: coder.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
-    pieces = packing.pack(docs_of(spark, texts), TOKENIZER).collect()
+    pieces = packing.pack(docs_of(spark, texts), TOKENIZER, max_chunks=max_chunks).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
