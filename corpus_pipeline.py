@@ -20,6 +20,8 @@ from chalkline.session import ensure_checkpoint_dir, table
 
 #: Texts that a task hands to Python at once in the last two stages.
 BATCH_ROWS = 1500
+#: Chunks in the tokenizer's cache: the workers stand beside a JVM that four stages have filled.
+CACHED_CHUNKS = 250_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _in_small_batches(spark)
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False).drop("ids")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False, max_chunks=CACHED_CHUNKS).drop("ids")
 
 
 STAGES = [
