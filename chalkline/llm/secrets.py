@@ -54,6 +54,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: Matches whose positions are worked out in one go; an array grows by copying, so it is kept short.
 PIECES = 1000
+#: Blobs looked up by a broadcast, at some 300 bytes each.
+BROADCAST_BLOBS = 200_000
 SPAN = "start:bigint,rank:int,rule:string,end:bigint"
 _SCANS = f"blob_id string, scanned array<string>, findings array<struct<{SPAN}>>"
 _VERSIONS = "path {path}, blob_id string"
@@ -132,16 +134,26 @@ class Ledger:
 
 
 def scan_unseen(versions: DataFrame, scans: DataFrame | None = None, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """(blob_id, scanned, findings): one row for each blob that lacks a rule version in ``scans``."""
-    ids = versions.groupBy("blob_id").agg(F.min("path").alias("_path"))
+    """(blob_id, scanned, findings): one row for each blob that lacks a rule version in ``scans``.
+
+    A blob of one version that no scan knows is scanned where it lies. Only the others (copies, and blobs seen
+    before) are looked up: by a broadcast up to ``BROADCAST_BLOBS`` of them, beyond it by a shuffle on blob and path.
+    """
     keys, none = F.array(*[F.lit(r.key) for r in rules]), F.array().cast("array<string>")
+    ids = versions.groupBy("blob_id").agg(F.min("path").alias("_path"), F.count(F.lit(1)).alias("_n"))
     if scans is None:
-        ids = ids.withColumn("scanned", keys)
+        ids = ids.withColumns({"_seen": F.lit(False), "scanned": keys})
+    else:
+        seen = scans.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("_keys"))
+        ids = ids.join(seen, "blob_id", "left").withColumns({"_seen": F.col("_keys").isNotNull(), "scanned": F.array_except(keys, F.coalesce("_keys", none))})
+    ids = cut(ids.select(F.col("blob_id").alias("_blob"), "_path", (F.col("_seen") | (F.col("_n") > 1)).alias("_other"), "scanned"))
+    others = ids.where("_other")
+    if others.count() <= BROADCAST_BLOBS:
+        mine = versions.join(F.broadcast(others), versions["blob_id"] == others["_blob"], "left")
+        mine = mine.where("_blob is null or (path <=> _path and size(scanned) > 0)").withColumn("scanned", F.coalesce("scanned", keys))
     else:
-        seen = scans.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("_seen"))
-        ids = ids.join(seen, "blob_id", "left").withColumn("scanned", F.array_except(keys, F.coalesce("_seen", none))).where(F.size("scanned") > 0)
-    ids = cut(ids.select(F.col("blob_id").alias("_blob"), "_path", "scanned"))
-    mine = versions.join(ids.hint("shuffle_hash"), (versions["blob_id"] == ids["_blob"]) & versions["path"].eqNullSafe(ids["_path"]))
+        asked = ids.where(F.size("scanned") > 0).hint("shuffle_hash")
+        mine = versions.join(asked, (versions["blob_id"] == ids["_blob"]) & versions["path"].eqNullSafe(ids["_path"]))
     found = []
     for rank, rule in enumerate(rules):
         spans = rule_spans(F.col("content"), rule, rank)

@@ -515,7 +515,9 @@ def test_secrets(spark):
         assert [s for s in got[i] if s[1] < 3] == base_secrets(t or ""), t
 
 
-def test_ledger_is_incremental(spark):
+@pytest.mark.parametrize("most", [0, secrets.BROADCAST_BLOBS])
+def test_ledger_is_incremental(spark, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", most)
     versions = secrets.versions_of(docs_of(spark, ["x token: abcdefghijklmnop", "x token: abcdefghijklmnop", "clean"]))
     first = secrets.scan_unseen(versions, secrets.Ledger.fresh(spark).scans.read())
     assert first.count() == 2
@@ -530,7 +532,29 @@ def test_ledger_is_incremental(spark):
     assert secrets.scan_unseen(versions.limit(0)).count() == 0
 
 
-def test_ledger_commits(spark):
+@pytest.mark.parametrize("most", [0, secrets.BROADCAST_BLOBS])
+def test_scan_of_copies_and_null_paths(spark, monkeypatch, most):
+    """Copies over paths, of a path, and of no path are scanned once, whichever way their ids meet them."""
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", most)
+    one, two, three = (f"token: abcdefghijkl{k}" for k in range(3))
+    rows = [(1, one), (2, one), (2, one), (3, two), (None, two), (None, three), (4, None), (None, ""), (None, "x"), (None, "x")]
+    versions = secrets.versions_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    scans = secrets.scan_unseen(versions)
+    assert scans.count() == 5 and all(len(r.scanned) == len(secrets.RULES) for r in scans.collect())
+    found = secrets.findings_by_path(versions, scans).collect()
+    assert len(found) == len(rows) and sum(secrets_of(r) == ["assign"] for r in found) == 6
+
+
+def test_lone_blobs_stay_where_they_lie(spark):
+    versions = secrets.versions_of(docs_of(spark, ["x token: abcdefghijklmnop", "a", "a", "clean"]))
+    plan = secrets.scan_unseen(versions)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "LeftOuter" in joins[0] and "strategy=broadcast" in joins[0]
+
+
+@pytest.mark.parametrize("most", [0, secrets.BROADCAST_BLOBS])
+def test_ledger_commits(spark, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", most)
     ledger = secrets.Ledger.fresh(spark)
     first = secrets.versions_of(docs_of(spark, ["x token: abcdefghijklmnop", "x token: abcdefghijklmnop", "clean", None]))
     assert ledger.findings().count() == 0
