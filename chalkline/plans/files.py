@@ -85,15 +85,15 @@ def built_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lexicon_files",
-    """SELECT 'r' || n_regionkey AS major, n_name AS pattern, lower(n_name) AS canonical, CASE WHEN n_nationkey % 2 = 0 THEN 'TEXTBOOK' ELSE 'GLOSSARY_TERM' END AS reason,
-  row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS ord FROM nation""",
+    """SELECT 'm' || p_partkey // 100 AS major, p_name || ' ' || p_partkey AS pattern, p_name AS canonical, CASE WHEN p_size % 2 = 0 THEN 'TEXTBOOK' ELSE 'GLOSSARY_TERM' END AS reason,
+  row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_name || ' ' || p_partkey) - 1 AS ord FROM part""",
 )
 def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicons of majors exported sorted by pattern, one JSON a major, and read back; a broken file is skipped."""
-    n = table(spark, sf_dir, "nation")
-    rows = n.select(
-        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("major"), F.col("n_name").alias("pattern"), F.lower("n_name").alias("canonical"),
-        F.when(F.col("n_nationkey") % 2 == 0, "TEXTBOOK").otherwise("GLOSSARY_TERM").alias("reason"),
+    """Lexicons of majors (a hundred parts each) exported sorted by pattern, one JSON a major, and read back; a broken file is skipped."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("m"), F.floor(key / 100).cast("string")).alias("major"), F.concat_ws(" ", "p_name", key.cast("string")).alias("pattern"),
+        F.col("p_name").alias("canonical"), F.when(F.col("p_size") % 2 == 0, "TEXTBOOK").otherwise("GLOSSARY_TERM").alias("reason"),
     )
     path = _folder(spark, "lexicons")
     files = writers.exported_lexicon(rows).select("value").unionByName(spark.createDataFrame([('{"major": "broken", "lexicon": [',)], "value string"))
@@ -104,15 +104,14 @@ def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "glossary_files",
-    """SELECT n_regionkey AS course_id, n_name AS term, 'nation ' || n_nationkey AS definition FROM nation WHERE n_regionkey <> 3""",
+    """SELECT p_partkey // 50 AS course_id, p_name AS term, p_brand AS definition FROM part WHERE p_partkey // 50 % 10 <> 3 AND p_partkey % 50 <> 7""",
 )
 def glossary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A course's glossary as one JSON array under its key: blank terms go, an unreadable one is empty."""
-    n = table(spark, sf_dir, "nation")
-    entry = F.struct(F.col("n_name").alias("term"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("definition"))
-    blank = n.limit(1).select("n_regionkey", F.struct(F.lit("  ").alias("term"), F.lit("blank").alias("definition")).alias("e"))
-    keyed = n.select("n_regionkey", entry.alias("e")).unionByName(blank).groupBy("n_regionkey").agg(F.to_json(F.collect_list("e")).alias("value"))
-    raw = keyed.select(F.col("n_regionkey").alias("course_id"), F.when(F.col("n_regionkey") == 3, "not json").otherwise(F.col("value")).alias("value"))
+    key = F.col("p_partkey")
+    entry = F.struct(F.when(key % 50 == 7, "  ").otherwise(F.col("p_name")).alias("term"), F.col("p_brand").alias("definition"))
+    keyed = table(spark, sf_dir, "part").select(F.floor(key / 50).alias("course_id"), entry.alias("e")).groupBy("course_id").agg(F.to_json(F.collect_list("e")).alias("value"))
+    raw = keyed.withColumn("value", F.when(F.col("course_id") % 10 == 3, "not json").otherwise(F.col("value")))
     return readers.glossary(raw).select("course_id", "term", "definition")
 
 
@@ -186,14 +185,16 @@ def repaired_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chapter_sidecar",
-    """SELECT CAST(r_regionkey AS VARCHAR) AS chapter_no, r_name AS title, 'p' || r_regionkey AS part FROM region""",
+    """SELECT p_partkey // 100 AS book, CAST(p_partkey % 100 AS VARCHAR) AS chapter_no, p_name AS title, p_type AS part, p_brand AS field FROM part""",
 )
 def chapter_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sidecar of chapters as one JSON object, read back by chapter."""
-    r = table(spark, sf_dir, "region")
-    none = F.lit(None).cast("string")
-    chapters = r.select(F.col("r_regionkey").cast("int").alias("chapter_no"), F.col("r_name").alias("title"), F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("part"), none.alias("field"), none.alias("field_en"), F.array(F.lit("k")).alias("key_terms"))
+    """The sidecar of each book's chapters as one JSON object, written and read back by chapter."""
+    key = F.col("p_partkey")
+    chapters = table(spark, sf_dir, "part").select(
+        F.floor(key / 100).alias("book"), (key % 100).cast("int").alias("chapter_no"), F.col("p_name").alias("title"), F.col("p_type").alias("part"),
+        F.col("p_brand").alias("field"), F.lit(None).cast("string").alias("field_en"), F.split("p_name", " ").alias("key_terms"),
+    )
     path = _folder(spark, "sidecar")
-    writers.chapter_sidecar(chapters).write.text(path)
-    read = spark.read.text(path).select(F.from_json("value", "chapters map<string,struct<title:string,part:string>>").alias("v"))
-    return read.select(F.explode("v.chapters").alias("chapter_no", "c")).select("chapter_no", "c.title", "c.part")
+    writers.chapter_sidecar(chapters, "book").write.parquet(path)
+    read = spark.read.parquet(path).select("book", F.from_json("value", "chapters map<string,struct<title:string,part:string,field:string>>").alias("v"))
+    return read.select("book", F.explode("v.chapters").alias("chapter_no", "c")).select("book", "chapter_no", "c.title", "c.part", "c.field")

@@ -227,49 +227,50 @@ def speech_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "retriggered_routes",
-    """WITH s AS (SELECT item_id, text FROM benchmark WHERE text IS NOT NULL),
-r AS (SELECT item_id, text, contains(lower(text), 'ü') AS own, item_id % 3 = 0 AS hinted FROM s)
-SELECT item_id AS sentence_id, own OR hinted AS use_rag, CASE WHEN own OR hinted THEN 'UML' ELSE '' END AS terms,
-  CASE WHEN own THEN text || ' UML' WHEN hinted THEN text || ' ü UML' ELSE text END AS query FROM r""",
+    """WITH lex(ord, pattern, canonical) AS (VALUES (0, 'ou', 'or-term'), (1, 'sh', 'hush'), (2, 'ü', 'uml')),
+a AS (SELECT item_id, text AS said FROM benchmark WHERE text IS NOT NULL),
+own AS (SELECT DISTINCT item_id FROM a, lex WHERE CASE WHEN pattern = 'ü' THEN contains(lower(said), pattern) ELSE regexp_matches(lower(said), '(^|[^a-z0-9])' || pattern || '($|[^a-z0-9])') END),
+h AS (SELECT item_id, string_agg(pattern, ' ' ORDER BY ord) AS hits FROM a, lex WHERE ord < 2 AND contains(said, pattern) GROUP BY item_id),
+s AS (SELECT a.item_id, said, CASE WHEN own.item_id IS NULL THEN concat_ws(' ', said, hits) ELSE said END AS q FROM a LEFT JOIN own USING (item_id) LEFT JOIN h USING (item_id)),
+m AS (SELECT item_id, string_agg(canonical, ',' ORDER BY canonical) AS terms, string_agg(CASE WHEN NOT contains(lower(q), canonical) THEN canonical END, ' ' ORDER BY ord) AS more FROM s, lex WHERE CASE WHEN pattern = 'ü' THEN contains(lower(q), pattern) ELSE regexp_matches(lower(q), '(^|[^a-z0-9])' || pattern || '($|[^a-z0-9])') END GROUP BY item_id)
+SELECT item_id AS sentence_id, terms IS NOT NULL AS use_rag, coalesce(terms, '') AS terms, CASE WHEN terms IS NULL THEN said ELSE q || ' ' || coalesce(more, '') END AS query FROM s LEFT JOIN m USING (item_id)""",
 )
 def retriggered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that trigger nothing, tried again with their glossary hints."""
+    """Sentences that trigger nothing, tried again with the glossary terms that are anywhere in them, as words of their own."""
     s = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("sentence_id"), F.col("text").alias("sentence"))
-    lex = spark.createDataFrame([(0, "ü", "UML", "TEXTBOOK", None)], "ord int, pattern string, canonical string, reason string, exclusions array<string>")
-    hints = s.select("sentence_id", F.when(F.col("sentence_id") % 3 == 0, F.array(F.lit("ü"))).otherwise(F.array().cast("array<string>")).alias("hits"))
+    rows = [(0, "ou", "or-term", "TEXTBOOK", None), (1, "sh", "hush", "TEXTBOOK", None), (2, "ü", "uml", "TEXTBOOK", None)]
+    lex = spark.createDataFrame(rows, "ord int, pattern string, canonical string, reason string, exclusions array<string>")
+    hints = lexicon.glossary_hits(s, lex.where("ord < 2").select("ord", F.col("pattern").alias("term")))
     return lexicon.retriggered(lexicon.route(s, lex), hints, lex).select("sentence_id", "use_rag", "terms", "query")
 
 
 @query(
     "textbook_blocks",
-    """WITH l AS (SELECT doc_id, k, CASE k % 7 WHEN 0 THEN 'Chapter ' || k WHEN 2 THEN '1.' || k WHEN 4 THEN 'Summary' WHEN 5 THEN 'Key terms' ELSE 'w' || k END AS line, k % 7 AS m
-  FROM (SELECT doc_id, unnest(range(0, 7 + doc_id % 9)) AS k FROM documents WHERE doc_id IS NOT NULL))
-SELECT doc_id, k // 7 + 1 AS chapter_no, CASE m WHEN 1 THEN 'intro' WHEN 3 THEN 'section' ELSE 'terms' END AS block, CASE WHEN m = 3 THEN 1 ELSE 0 END::BIGINT AS section_no, line AS body FROM l WHERE m IN (1, 3, 6)""",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-F]') THEN 'intro' WHEN regexp_matches(line, '^[G-L]') THEN 'section' WHEN regexp_matches(line, '^[M-S]') THEN 'summary' WHEN regexp_matches(line, '^[T-Z]') THEN 'terms' END AS mark FROM l),
+b AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS block, count(*) FILTER (mark = 'intro') OVER w AS chapter_no FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT *, CASE WHEN block = 'section' THEN count(*) FILTER (mark = 'section') OVER (PARTITION BY doc_id, chapter_no ORDER BY k ROWS UNBOUNDED PRECEDING) ELSE 0 END AS section_no FROM b)
+SELECT * FROM (SELECT doc_id, chapter_no, block, section_no, trim(string_agg(line, chr(10) ORDER BY k), ' ') AS body FROM n WHERE mark IS NULL AND chapter_no > 0 GROUP BY ALL) WHERE body <> ''""",
 )
 def textbook_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intro, sections, summary and terms of chapters, on line patterns made from the documents' numbers."""
-    d = table(spark, sf_dir, "documents").where("doc_id is not null")
-    k = F.explode(F.sequence(F.lit(0), (6 + F.col("doc_id") % 9).cast("int"))).alias("k")
-    n, m = F.col("k").cast("string"), F.col("k") % 7
-    line = F.when(m == 0, F.concat(F.lit("Chapter "), n)).when(m == 2, F.concat(F.lit("1."), n)).when(m == 4, "Summary").when(m == 5, "Key terms").otherwise(F.concat(F.lit("w"), n))
-    lines = d.select("doc_id", k).select("doc_id", "k", line.alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
-    text_ = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return chunking.textbook_blocks(lines.select("doc_id", text_.alias("text")), "doc_id", "^Chapter ", r"^\d+\.\d+", "^Summary$", "^Key terms$")
+    """Intro, sections, summary and terms of chapters; the capital that begins a line of a document stands for a heading."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+    return chunking.textbook_blocks(d, "doc_id", "^[A-F]", "^[G-L]", "^[M-S]", "^[T-Z]")
 
 
 @query(
     "session_diagnostics",
-    """WITH g AS (SELECT n_regionkey AS session, count(*) AS n_glossary FROM nation WHERE n_nationkey % 2 = 0 GROUP BY ALL),
-l AS (SELECT n_regionkey AS session, count(*) AS n_lexicon FROM nation WHERE n_regionkey > 0 GROUP BY ALL),
-p AS (SELECT r_regionkey AS session, count(*) AS n_phrases, sum(length(r_name))::BIGINT AS n_phrase_chars FROM region WHERE r_regionkey <> 2 GROUP BY ALL)
+    """WITH c AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id AS session, count(*) AS n_glossary FROM c WHERE role = 'user' AND turn > 1 GROUP BY ALL),
+l AS (SELECT conv_id AS session, count(*) AS n_lexicon FROM c WHERE turn > 2 GROUP BY ALL),
+p AS (SELECT conv_id AS session, count(*) AS n_phrases, sum(length(text))::BIGINT AS n_phrase_chars FROM c WHERE conv_id % 4 <> 1 GROUP BY ALL)
 SELECT session, coalesce(n_glossary, 0) AS n_glossary, coalesce(n_lexicon, 0) AS n_lexicon, coalesce(n_phrases, 0) AS n_phrases, coalesce(n_phrase_chars, 0) AS n_phrase_chars
 FROM g FULL JOIN l USING (session) FULL JOIN p USING (session)""",
 )
 def session_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of each session's glossary, lexicon and phrase list."""
-    n = table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "session")
-    phrases = table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").alias("session"), F.col("r_name").alias("phrase"))
-    return lexicon.diagnostics(n.where("n_nationkey % 2 = 0"), n.where("session > 0"), phrases, "session")
+    """Sizes of each session's glossary, lexicon and phrase list, where a conversation's turns are its aids."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("session"), "turn", "role", F.col("text").alias("phrase"))
+    return lexicon.diagnostics(c.where("role = 'user' and turn > 1"), c.where("turn > 2"), c.where("session % 4 <> 1"), "session")
 
 
 @query(

@@ -149,34 +149,33 @@ def resampled_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "parsed_locales",
-    """WITH j AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{"en-US": "t' || turn || '", "ja-JP": "j"}' WHEN 1 THEN '{"en-US": "only"}' ELSE 'no object' END AS raw FROM conversations WHERE turn IS NOT NULL)
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 't' || turn WHEN 1 THEN 'only' ELSE '' END AS en, CASE turn % 3 WHEN 0 THEN 'j' ELSE '' END AS ja,
-  CASE WHEN turn % 4 = 0 THEN 'active' WHEN turn % 4 = 1 THEN 'ended' END AS status, CASE WHEN turn % 2 = 0 THEN 'own' ELSE 'base' END AS voice, 'x' AS rate FROM j""",
+    """SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN coalesce(text, '') ELSE '' END AS en, CASE WHEN turn % 3 = 0 THEN coalesce(role, '') ELSE '' END AS ja,
+  CASE WHEN role IN ('user', 'assistant') THEN role END AS status, CASE WHEN turn % 2 = 0 THEN coalesce(role, 'base') ELSE 'base' END AS voice, 'x' AS rate FROM conversations WHERE turn IS NOT NULL""",
 )
 def parsed_locales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locale columns of JSON objects, worker status in JSON or bare, configuration laid over defaults."""
+    """Turns as JSON objects of locales (every third is bare text), status in JSON or bare, configuration laid over defaults."""
     c = table(spark, sf_dir, "conversations").where("turn is not null")
-    n = F.col("turn").cast("string")
-    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"en-US": "t'), n, F.lit('", "ja-JP": "j"}'))).when(F.col("turn") % 3 == 1, '{"en-US": "only"}').otherwise("no object")
-    status = _picked(F.col("turn"), ['{"status": "active"}', "ended", '{"status": "lost"}', "nothing"])
+    both = F.to_json(F.struct(F.col("text").alias("en-US"), F.col("role").alias("ja-JP")))
+    raw = F.when(F.col("turn") % 3 == 0, both).when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.col("text").alias("en-US")))).otherwise(F.col("text"))
+    status = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("role").alias("status")))).otherwise(F.col("role"))
     base = F.create_map(F.lit("voice"), F.lit("base"), F.lit("rate"), F.lit("x"))
-    over = F.create_map(F.lit("voice"), F.when(F.col("turn") % 2 == 0, "own"))
-    own = maps.overlaid(base, over)
+    own = maps.overlaid(base, F.create_map(F.lit("voice"), F.when(F.col("turn") % 2 == 0, F.col("role"))))
     en, ja = maps.parsed_locales(raw, ["en-US", "ja-JP"])
-    return c.select("conv_id", "turn", en.alias("en"), ja.alias("ja"), maps.worker_status(status, ("active", "ended")).alias("status"), own["voice"].alias("voice"), own["rate"].alias("rate"))
+    return c.select("conv_id", "turn", en.alias("en"), ja.alias("ja"), maps.worker_status(status, ("user", "assistant")).alias("status"), own["voice"].alias("voice"), own["rate"].alias("rate"))
 
 
 @query(
     "cancellation_details",
-    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'first ' || event_id WHEN 1 THEN 'second' END AS details, CASE event_id % 3 WHEN 2 THEN NULL WHEN 1 THEN 'E' || (event_id % 5) END AS code FROM events""",
+    """SELECT event_id, CASE WHEN value > 50 THEN event_type WHEN value > 10 THEN props END AS details, CASE WHEN value > 50 THEN NULL WHEN value > 10 THEN CAST(user_id AS VARCHAR) END AS code
+FROM events WHERE event_type IS NOT NULL AND props IS NOT NULL""",
 )
 def cancellation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details and code of a cancelled result: those of the first of two places that has details."""
-    k = F.col("event_id") % 3
-    one = F.struct(F.when(k == 0, F.concat(F.lit("first "), F.col("event_id").cast("string"))).alias("details"), F.lit(None).cast("string").alias("code"))
-    two = F.struct(F.when(k < 2, F.lit("second")).alias("details"), F.concat(F.lit("E"), (F.col("event_id") % 5).cast("string")).alias("code"))
+    e = table(spark, sf_dir, "events").where("event_type is not null and props is not null")
+    one = F.struct(F.when(F.col("value") > 50, F.col("event_type")).alias("details"), F.lit(None).cast("string").alias("code"))
+    two = F.struct(F.when(F.col("value") > 10, F.col("props")).alias("details"), F.col("user_id").cast("string").alias("code"))
     got = maps.cancellation(one, two)
-    return table(spark, sf_dir, "events").select("event_id", got["details"].alias("details"), got["code"].alias("code"))
+    return e.select("event_id", got["details"].alias("details"), got["code"].alias("code"))
 
 
 @query(
@@ -233,48 +232,49 @@ def recogniser_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "accepted_messages",
-    """SELECT event_id, user_id FROM events WHERE event_id % 5 NOT IN (1, 2) AND event_id IS NOT NULL AND user_id IS NOT NULL""",
+    """SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND event_type <> 'error' AND value >= 20 AND json_extract_string(props, '$.k') IS NOT NULL""",
 )
 def accepted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that are JSON objects with all required members."""
-    n = F.col("event_id")
-    whole = F.to_json(F.struct("event_id", "user_id"))
-    value = F.when(n % 5 == 1, "not json").when(n % 5 == 2, F.to_json(F.struct("event_id"))).otherwise(whole)
-    return jobs.valid_events(table(spark, sf_dir, "events").select(value.alias("value")), "event_id bigint, user_id bigint", ["event_id", "user_id"])
+    """Messages that are JSON objects with all required members; some come cut short, some without their members."""
+    whole = F.to_json(F.struct("event_id", "user_id", F.from_json("props", "k bigint")["k"].alias("k")))
+    value = F.when(F.col("event_type") == "error", F.col("props")).when(F.col("value") >= 20, whole).otherwise(F.left(whole, F.length(whole) - 3))
+    events = table(spark, sf_dir, "events").where("event_type is not null")
+    return jobs.valid_events(events.select(value.alias("value")), "event_id bigint, user_id bigint, k bigint", ["event_id", "user_id", "k"])
 
 
 @query(
     "glossary_terms",
-    """WITH r AS (SELECT n_nationkey AS id, n_name, n_regionkey, [n_nationkey + 1, n_nationkey + 100] AS rel FROM nation),
-l AS (SELECT r.id, coalesce(m.n_name, CAST(x AS VARCHAR)) AS name, k FROM (SELECT id, unnest(rel) AS x, generate_subscripts(rel, 1) AS k FROM r) r LEFT JOIN nation m ON m.n_nationkey = r.x)
-SELECT 'term_' || r.id AS chunk_id, concat_ws(chr(10), 'term: ' || n_name, CASE WHEN n_regionkey > 0 THEN 'english: R' || n_regionkey END, 'definition: nation ' || r.id, 'related: ' || (SELECT string_agg(name, ', ' ORDER BY k) FROM l WHERE l.id = r.id)) AS text FROM r""",
+    """WITH l AS (SELECT id, string_agg(coalesce(p_name, CAST(rel AS VARCHAR)), ', ' ORDER BY k) AS related
+  FROM (SELECT p_partkey AS id, unnest([p_partkey + 1, p_partkey * 2]) AS rel, unnest([1, 2]) AS k FROM part) LEFT JOIN part ON p_partkey = rel GROUP BY id)
+SELECT 'term_' || id AS chunk_id, concat_ws(chr(10), 'term: ' || p_name, CASE WHEN p_size > 25 THEN 'english: ' || p_type END, 'definition: ' || p_brand, 'related: ' || related) AS text
+FROM part JOIN l ON p_partkey = id""",
 )
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk for each glossary term with its related terms by name."""
-    n = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    english = F.when(F.col("n_regionkey") > 0, F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).otherwise("")
-    terms = n.select(
-        key.cast("string").alias("id"), F.col("n_name").alias("ko"), english.alias("en"), F.concat(F.lit("nation "), key.cast("string")).alias("definition"),
-        F.array((key + 1).cast("string"), (key + 100).cast("string")).alias("related"),
+    """A chunk for each part as a glossary term, with its related terms by name (unknown ones by number)."""
+    key = F.col("p_partkey")
+    terms = table(spark, sf_dir, "part").select(
+        key.cast("string").alias("id"), F.col("p_name").alias("ko"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise("").alias("en"),
+        F.col("p_brand").alias("definition"), F.array((key + 1).cast("string"), (key * 2).cast("string")).alias("related"),
     )
     return chunking.glossary_chunks(terms)
 
 
 @query(
     "key_term_chunks",
-    """WITH c AS (SELECT 'b_ch' || lpad(CAST(n_nationkey % 5 AS VARCHAR), 2, '0') || CASE WHEN n_nationkey < 15 THEN '_terms_' ELSE '_s' END || n_nationkey AS chunk_id, n_nationkey % 5 AS ch, n_nationkey < 15 AS t, n_name AS text FROM nation),
-k AS (SELECT r_regionkey AS ch, unnest([r_name, 'x']) AS term, unnest([1, 2]) AS i FROM region WHERE r_regionkey < 3)
-SELECT chunk_id, text FROM c WHERE NOT (t AND ch < 3)
-UNION ALL SELECT DISTINCT 'b_ch' || lpad(CAST(ch AS VARCHAR), 2, '0') || '_term' || lpad(CAST(i AS VARCHAR), 2, '0'), term || ': d' || i FROM k WHERE ch IN (SELECT ch FROM c WHERE t)""",
+    """WITH c AS (SELECT p_partkey // 8 AS ch, p_partkey % 8 < 3 AS t, printf('b_ch%02d', p_partkey // 8) || CASE WHEN p_partkey % 8 < 3 THEN '_terms_' ELSE '_s' END || p_partkey AS chunk_id, p_name AS text FROM part),
+k AS (SELECT s_suppkey AS ch, unnest([s_name, 'n' || s_nationkey]) AS term, unnest(['d1', 'd2']) AS said, unnest([1, 2]) AS i FROM supplier WHERE s_nationkey % 3 <> 2)
+SELECT chunk_id, text FROM c WHERE NOT (t AND ch IN (SELECT ch FROM k))
+UNION ALL SELECT printf('b_ch%02d_term%02d', ch, i), term || ': ' || said FROM k WHERE ch IN (SELECT ch FROM c WHERE t)""",
 )
 def key_term_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first terms chunk of a chapter gives way to one chunk for each key term; its siblings go."""
-    n = table(spark, sf_dir, "nation")
-    kind = F.when(F.col("n_nationkey") < 15, "_terms_").otherwise("_s")
-    chunks = n.select(F.concat(F.format_string("b_ch%02d", F.col("n_nationkey") % 5), kind, F.col("n_nationkey").cast("string")).alias("chunk_id"), F.col("n_name").alias("text"))
+    key = F.col("p_partkey")
+    kind = F.when(key % 8 < 3, "_terms_").otherwise("_s")
+    chunks = table(spark, sf_dir, "part").select(F.concat(F.format_string("b_ch%02d", F.floor(key / 8)), kind, key.cast("string")).alias("chunk_id"), F.col("p_name").alias("text"))
     term = lambda t, d: F.struct(t.alias("term"), F.lit(d).alias("desc"))
-    chapters = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("chapter_no"), F.array(term(F.col("r_name"), "d1"), term(F.lit("x"), "d2")).alias("key_terms"))
+    chapters = table(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 2")
+    chapters = chapters.select(F.col("s_suppkey").alias("chapter_no"), F.array(term(F.col("s_name"), "d1"), term(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "d2")).alias("key_terms"))
     return chunking.split_key_terms(chunks, chapters)
 
 
@@ -300,15 +300,18 @@ def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hit_payloads",
-    """SELECT o_orderkey, coalesce(nullif(CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN '' END, ''), nullif(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END, ''), '') AS section_title FROM orders""",
+    """WITH c AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '' END AS section, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS chapter FROM part WHERE p_size > 5)
+SELECT l_orderkey, l_linenumber, coalesce(nullif(section, ''), nullif(chapter, ''), '') AS section_title, round_even(l_discount / 7, 4) AS score FROM lineitem LEFT JOIN c ON l_partkey = p_partkey""",
 )
 def hit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section title of a hit: its section, else its chapter, else nothing."""
-    k = F.col("o_orderkey")
-    hits = table(spark, sf_dir, "orders").select(
-        k, F.when(k % 3 == 0, F.col("o_orderpriority")).when(k % 3 == 1, "").alias("section_title"), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise("").alias("chapter"), F.lit(0.5).alias("score")
+    """Hits with their chunk's section title: its section, else its chapter, else nothing; a hit without a chunk has none."""
+    k = F.col("p_size")
+    chunks = table(spark, sf_dir, "part").where(k > 5).select(
+        "p_partkey", F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, "").alias("section_title"), F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("chapter")
     )
-    return chunking.hit_payload(hits).select("o_orderkey", "section_title")
+    hits = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_discount") / 7).alias("score"))
+    found = hits.join(chunks, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return chunking.hit_payload(found).select("l_orderkey", "l_linenumber", "section_title", "score")
 
 
 @query(
@@ -325,16 +328,17 @@ def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "united_lexicon",
-    """WITH u AS (SELECT 0 AS s, n_nationkey AS ord, n_name AS pattern, 'GLOSSARY_TERM' AS reason FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 1, n_nationkey, upper(n_name), 'TEXTBOOK' FROM nation WHERE n_nationkey % 3 = 0
-  UNION ALL SELECT 2, n_nationkey, n_name, 'SUPPLEMENT' FROM nation)
+    """WITH u AS (SELECT 0 AS s, p_partkey AS ord, p_name || ' ' || p_brand AS pattern, 'GLOSSARY_TERM' AS reason FROM part WHERE p_size > 30 UNION ALL SELECT 1, p_partkey, upper(p_name || ' ' || p_brand), 'TEXTBOOK' FROM part WHERE p_size <= 40
+  UNION ALL SELECT 2, s_suppkey, s_name, 'SUPPLEMENT' FROM supplier UNION ALL SELECT 2, s_suppkey + 1000000000, lower(s_name), 'SUPPLEMENT' FROM supplier)
 SELECT pattern, reason, ord FROM (SELECT *, row_number() OVER (PARTITION BY lower(pattern) ORDER BY s, ord) AS n FROM u) WHERE n = 1""",
 )
 def united_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon sources in one: of equal patterns the first source's stays."""
-    n = table(spark, sf_dir, "nation")
-    one = lambda rows, pattern, reason: rows.select(F.col("n_nationkey").alias("ord"), pattern.alias("pattern"), F.lit(reason).alias("reason"))
-    name = F.col("n_name")
-    return lexicon.united(one(n.where("n_nationkey % 2 = 0"), name, "GLOSSARY_TERM"), one(n.where("n_nationkey % 3 = 0"), F.upper(name), "TEXTBOOK"), one(n, name, "SUPPLEMENT")).select("pattern", "reason", "ord")
+    """Lexicon sources in one: of equal patterns the first source's stays, and its first in order."""
+    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    one = lambda rows, ord_, pattern, reason: rows.select(ord_.alias("ord"), pattern.alias("pattern"), F.lit(reason).alias("reason"))
+    key, name, named = F.col("p_partkey"), F.concat_ws(" ", "p_name", "p_brand"), F.col("s_suppkey")
+    more = one(s, named, F.col("s_name"), "SUPPLEMENT").unionByName(one(s, named + 1_000_000_000, F.lower("s_name"), "SUPPLEMENT"))
+    return lexicon.united(one(p.where("p_size > 30"), key, name, "GLOSSARY_TERM"), one(p.where("p_size <= 40"), key, F.upper(name), "TEXTBOOK"), more).select("pattern", "reason", "ord")
 
 
 @query(

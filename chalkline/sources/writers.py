@@ -44,10 +44,10 @@ def latest_status(status: DataFrame, key: str, at: str, now, seconds: int) -> Da
     return last.where(F.col(at) > now - F.expr(f"interval {seconds} seconds"))
 
 
-def chapter_sidecar(chapters: DataFrame) -> DataFrame:
-    """One row with the map of chapter number -> title, part, field and key terms."""
+def chapter_sidecar(chapters: DataFrame, *by: str) -> DataFrame:
+    """One row (one for each value of ``by``) with the map of chapter number -> title, part, field and key terms."""
     entry = F.struct(F.col("chapter_no"), F.struct("title", "part", "field", "field_en", "key_terms"))
-    return chapters.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("chapters"))).alias("value"))
+    return chapters.groupBy(*by).agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("chapters"))).alias("value"))
 
 
 def exported_lexicon(lexicon: DataFrame) -> DataFrame:
