@@ -12,7 +12,7 @@ from chalkline.registry import query
 from chalkline.session import ensure_checkpoint_dir, table
 from chalkline.sources import channel
 from chalkline.sources.snapshots import VersionedIndex
-from chalkline.streaming import conflate, joins, numbering, ordering, pairs
+from chalkline.streaming import conflate, joins, lanes, numbering, ordering, pairs
 from chalkline.streaming.jobs import valid_events
 from chalkline.streaming.upserts import Upserts
 
@@ -85,6 +85,25 @@ def conflated_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflate.conflated(rows, conflate.Throttle(interval_ms=6 * _HOUR, min_chars=2))
 
 
+@query(
+    "lane_jobs",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_id * 7919 % 60 * {_HOUR} AS takes, unnest(CASE WHEN event_type = 'view' THEN ['en-US', 'ja-JP'] ELSE ['en-US', 'xx-XX'] END) AS locale
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, row_number() OVER w AS k, lead(ms) OVER w AS nxt FROM e WHERE locale <> 'xx-XX' WINDOW w AS (PARTITION BY user_id, locale ORDER BY ms, event_id)),
+r AS (SELECT user_id, locale, k, event_id, ms, ms AS began, false AS stale, ms + takes AS free FROM n WHERE k = 1
+  UNION ALL SELECT user_id, locale, k, event_id, ms, began, stale, CASE WHEN stale THEN began ELSE began + takes END FROM (SELECT *, began - ms > {72 * _HOUR} AND coalesce(nxt <= began, false) AS stale
+    FROM (SELECT n.*, greatest(r.free, n.ms) AS began FROM r JOIN n ON n.user_id = r.user_id AND n.locale = r.locale AND n.k = r.k + 1)))
+SELECT CAST(user_id AS VARCHAR) AS session_id, locale, event_id AS ord, CASE WHEN stale THEN 'skipped' ELSE 'played' END AS status, ms AS queued_ms, CASE WHEN NOT stale THEN began END AS started_ms, CASE WHEN NOT stale THEN free END AS ended_ms FROM r
+UNION ALL SELECT CAST(user_id AS VARCHAR), locale, event_id, 'unsupported', ms, NULL, NULL FROM e WHERE locale = 'xx-XX'""",
+)
+def lane_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs of up to 59 hours for one or two locales, one after the other; those that wait over 72 hours give way to newer ones."""
+    e = table(spark, sf_dir, "events")
+    locales = F.array(F.lit("en-US"), F.when(F.col("event_type") == "view", "ja-JP").otherwise("xx-XX"))
+    jobs = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.lit("job").alias("kind"), locales.alias("locales"), _at().alias("at"), (F.col("event_id") * 7919 % 60 * _HOUR).alias("takes_ms"))
+    return lanes.worked_off(jobs, lanes.Lanes(("en-US", "ja-JP"), most_wait_ms=72 * _HOUR))
+
+
 @query(
     "captions_with_audio",
     f"""WITH c AS (SELECT event_id, user_id, event_id % 3 AS locale, ts FROM events WHERE event_type = 'view'), a AS (SELECT user_id, event_id % 3 AS locale, ts, event_id AS sound FROM events WHERE event_type = 'click')
