@@ -162,6 +162,25 @@ def compacted_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.read().drop("ts")
 
 
+@query(
+    "indexed_materials",
+    """WITH m AS (SELECT event_id // 20 AS id, event_type, event_id, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'error')
+SELECT page_id, url, coalesce(event_type, 'pending') AS status, coalesce(event_id, -1) AS event_id FROM pages LEFT JOIN m ON id = page_id AND n = 1 WHERE page_id IS NOT NULL""",
+)
+def indexed_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as materials whose status follows a stream of messages; broken ones and those of unknown materials change nothing."""
+    event, folder = F.col("event_id"), _folder(spark, "materials")
+    pages = table(spark, sf_dir, "pages").where("page_id is not null").select("page_id", "url", F.lit("pending").alias("status"), F.lit(-1).cast("long").alias("event_id"))
+    held = Upserts(spark, f"{folder}/table", pages.schema, ["page_id"], ["event_id"])
+    held.merge(pages, 0)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").where("event_type is not null")
+    whole = F.to_json(F.struct(F.floor(event / 20).alias("page_id"), F.col("event_type").alias("status"), "event_id"))
+    raw = stream.select(F.when(F.col("event_type") == "error", F.left(whole, F.length(whole) - 1)).otherwise(whole).alias("value"))
+    changes = valid_events(raw, "page_id bigint, status string, event_id bigint", ["page_id", "status"])
+    held.start(changes, f"{folder}/check", only_known=True, first=1).awaitTermination()
+    return held.read()
+
+
 @query(
     "channel_messages",
     """SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('view', 'click') AND user_id IS NOT NULL""",

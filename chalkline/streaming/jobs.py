@@ -108,8 +108,9 @@ def idle_sessions(finals: DataFrame, gap: str = "2 seconds", lateness: str = "10
 
 
 def valid_events(raw: DataFrame, schema: str, required: list[str]) -> DataFrame:
-    """Objects of JSON lines (column value) with all required members; others are dropped."""
-    out = raw.select(F.from_json("value", schema).alias("e")).where("e is not null").select("e.*")
+    """Objects of JSON lines (column value) with all required members; others are dropped, also those that text follows."""
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<struct<{schema}>>")
+    out = raw.select(alone.alias("e")).where("size(e) = 1").select(F.get("e", F.lit(0)).alias("e")).where("e is not null").select("e.*")
     for c in required:
         out = out.where(F.col(c).isNotNull())
     return out

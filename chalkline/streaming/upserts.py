@@ -64,6 +64,20 @@ class Upserts:
         self._compact(version, number, runs)
         return True
 
+    def update(self, changes: DataFrame, number: int) -> bool:
+        """Micro-batch ``number`` of changes (keys, arrival and some columns) to rows that are there.
+
+        Of a key's changes the last by arrival counts; a null leaves the column as it is. Keys that the table lacks,
+        and null keys, change nothing. False if the batch is in the table already.
+        """
+        if number <= self._state()[1]["done"]:
+            return False
+        names = [c for c in self.schema.names if c in changes.columns and c not in self.keys]
+        last = last_wins(changes.select(*self.keys, *names), self.keys, self.arrival)
+        last = last.select(*self.keys, *[F.col(c).alias(f"_new_{c}") for c in names])
+        held = self.lookup(last).join(last, self.keys)
+        return self.merge(held.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in self.schema.names]), number)
+
     def _compact(self, version: int, number: int, runs: list) -> None:
         level = 0
         while (full := [f for at, f in runs if at == level]) and len(full) >= self.fan:
@@ -92,6 +106,11 @@ class Upserts:
     def clean(self, keep: int = 2) -> int:
         return self.versions.clean(keep, lambda content: {f for _, f in content.get("runs", [])})
 
-    def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Keeps the table up to date with a stream."""
-        return events.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def start(self, events: DataFrame, checkpoint: str, only_known: bool = False, first: int = 0, **trigger) -> StreamingQuery:
+        """Keeps the table up to date with a stream of rows, or (``only_known``) of changes to the rows that are there.
+
+        ``first``: number of the stream's first batch, above those merged before it.
+        """
+        take = self.update if only_known else self.merge
+        handle = lambda batch, number: take(batch, number + first)
+        return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

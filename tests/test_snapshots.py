@@ -105,6 +105,32 @@ def test_upserts_of_a_stream(spark, tmp_path):
     assert got.keys() == {1, 10, 11, 12} and got[1].startswith("a")
 
 
+def test_updates_change_only_known_rows(spark, tmp_path):
+    rng = random.Random(8)
+    table = Upserts(spark, str(tmp_path / "t"), spark.createDataFrame([], EVENT + ", w string").schema, ["k"], ["n"], fan=3, buckets=2)
+    want = {k: (k, 0, "old", f"w{k}") for k in [None, *range(6)]}
+    table.merge(spark.createDataFrame([*want.values()], EVENT + ", w string"), 0)
+    for number in range(1, 6):
+        rows = [(rng.choice([None, *range(9)]), 100 * number + i, rng.choice([None, f"{number}-{i}"])) for i in range(8)]
+        for k in {r[0] for r in rows} & set(range(6)):
+            _, n, v = max((r for r in rows if r[0] == k), key=lambda r: r[1])
+            want[k] = (k, n, want[k][2] if v is None else v, want[k][3])
+        batch = spark.createDataFrame(rows, EVENT)
+        assert table.update(batch, number) and not table.update(batch, number)
+    assert held(table.read()) == sorted(want.values(), key=repr)
+    assert table.update(spark.createDataFrame([], EVENT), 6) and held(table.read()) == sorted(want.values(), key=repr)
+
+
+def test_updates_of_a_stream(spark, tmp_path):
+    table = Upserts(spark, str(tmp_path / "t"), spark.createDataFrame([], EVENT).schema, ["k"], ["n"])
+    table.merge(spark.createDataFrame([(1, 0, "a"), (2, 0, "a")], EVENT), 0)
+    spark.createDataFrame([(1, 1, "b"), (3, 1, "b")], EVENT).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        events = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+        assert table.start(events, str(tmp_path / "check"), only_known=True, first=1).awaitTermination(120)
+    assert held(table.read()) == [(1, 1, "b"), (2, 0, "a")]
+
+
 def test_versions_hold_no_rows(spark, tmp_path):
     index, rows = index_of(spark, tmp_path)
     index.replace(rows(*[("a", str(k), "x") for k in range(500)]))

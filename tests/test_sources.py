@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chalkline.functions import maps
 from chalkline.operators import chunking, ordered, relational, retrieval
 from chalkline.sources import readers, writers
+from chalkline.streaming import jobs
 
 
 def test_latency_lines(spark, tmp_path):
@@ -92,3 +93,15 @@ def test_stale_last_job_plays(spark):
     rows = spark.createDataFrame([("ko", 1, 0.0, 0.0), ("ko", 2, 0.0, 10.0), ("ko", 3, 0.0, 10.0)], "locale string, n int, queued double, started double")
     got = {r.n: r.skipped for r in ordered.stale_skips(rows, ["locale"], "n", "queued", "started").collect()}
     assert got == {1: False, 2: True, 3: False}
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ('{"a":1,"b":"x"}', (1, "x")), (' {"a":1,"b":{"k":1}} ', (1, '{"k":1}')), ('{"a":1,"b":"x"', None), ('{"a":1,"b":"x"} more', None), ('{"a":1,"b":"x"}{"a":2,"b":"y"}', None),
+        ('{"a":1,"b":"x"},{"a":2,"b":"y"}', None), ('{"a":"no","b":"x"}', None), ('[{"a":1,"b":"x"}]', None), ('{"a":1,"b":"x","c":[1,2', None), ('{"a":1}', None), ("null", None), ("", None), (None, None),
+    ],
+)
+def test_valid_events(spark, value, want):
+    got = jobs.valid_events(spark.createDataFrame([(value,)], "value string"), "a bigint, b string", ["a", "b"]).collect()
+    assert list(map(tuple, got)) == ([want] if want else [])
