@@ -142,7 +142,8 @@ SELECT vec_id, array_to_string(list_transform(places, lambda p: CAST(round(a[CAS
 def resampled_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples from 16 to 24 kHz by linear interpolation; durations, and lengths filled up to frames."""
     s = table(spark, sf_dir, "embeddings").where("size(embedding) >= 8")
-    samples = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000).cast("int"))
+    # the product stays a 32-bit float: a wider one lies beside some of the halves that it is rounded to
+    samples = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("float") * F.lit(1000).cast("float")).cast("int"))
     pcm = F.encode(F.repeat(F.lit("x"), (2 * (F.col("vec_id") % 900)).cast("int")), "UTF-8")
     return s.select("vec_id", F.array_join(audio.resampled(samples), ",").alias("samples"), audio.duration_ms(pcm).alias("ms"), F.length(audio.padded(pcm)).cast("long").alias("padded"))
 

@@ -3,6 +3,8 @@
 import re
 import unicodedata
 
+import duckdb
+
 import chalkline.plans  # noqa: F401
 from chalkline import registry
 from chalkline.operators import lexicon
@@ -67,6 +69,16 @@ def test_completed_sentences_of_all_texts(spark, tmp_path):
     assert len(checked) and all(got[i] == (n, complete) for i, n, complete in checked)
 
 
+def test_resampled_sound_rounds_halves_of_floats(spark, tmp_path):
+    sound = [0.07629919797182083, -0.27649998664855957, 0.2782303988933563, -0.13032056391239166, 0.09449999779462814, -0.14749999344348907, 0.13349999487400055, -0.08010582625865936]
+    sf = saved(spark, tmp_path, "embeddings", [(7, sound), (8, sound[:7]), (9, sound[::-1])], "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet/*.parquet'")
+    checked = sorted(con.sql(registry.ORACLE_SQL["resampled_sound"]).fetchall())
+    assert len(checked) == 2 and checked[0][1].startswith("76,-159,-92,")
+    assert sorted(tuple(r) for r in registry.QUERIES["resampled_sound"](spark, sf).collect()) == checked
+
+
 def plain_rate(a, b):
     a, b = (re.sub("[\\s.,!?;:\"'“”‘’()\\[\\]{}·…~\\-—啊。！？、，]+", "", unicodedata.normalize("NFC", t).lower()) for t in (a, b))
     before = list(range(len(b) + 1))
