@@ -13,12 +13,16 @@ FILLER_TOKENS = ("씁", "쓰읍", "음", "으음", "어", "아", "에", "엄", "
 FILLER_PATTERNS = (r"^(어|음|자|그|저)\s+", r"그러니까\s*", r"뭐시기\s*", r"인가\s+그\s+", r"\s+그거\s+", r"\s+그게\s+")
 # White space of other scripts, which Java's \s lacks; punctuation and white space that a comparison of transcripts leaves out.
 _SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # the same, one by one
 COMPARED_OUT = rf"[{_SPACE}.,!?;:\"'“”‘’()\[\]{{}}·…~\-—啊。！？、，]+"
 # Particles after a final consonant, and without one.
 PARTICLES = (("으로", "로"), ("이랑", "랑"), ("이라", "라"), ("이며", "며"), ("은", "는"), ("이", "가"), ("을", "를"), ("과", "와"))
 _ENDS = ".!?。！？…"
 _CLOSING = "[\"'”’)\\]】」』]*"
 SENTENCE_END = f"[{_ENDS}]+{_CLOSING}"
+# All other characters as ranges: Java tests a negated class of these about nine times slower.
+_PLACES = [-1, *sorted(map(ord, _ENDS)), 0x110000]
+_OTHERS = "".join(rf"\x{{{a + 1:x}}}-\x{{{b - 1:x}}}" for a, b in zip(_PLACES, _PLACES[1:]) if a + 1 < b)
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -28,18 +32,12 @@ def estimate_tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Completed sentences: up to their terminal punctuation and closing quotes, trimmed, none empty."""
-    found = F.regexp_extract_all(text, F.lit(rf"\G[^{_ENDS}]*+{SENTENCE_END}"), F.lit(0))
-    return F.filter(F.transform(found, _stripped), lambda s: s != "")
-
-
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{_SPACE}]+|[{_SPACE}]+\z", "")
+    return F.regexp_extract_all(text, F.lit(rf"\G[{_SPACE}]*+([{_OTHERS}]*{SENTENCE_END})"), F.lit(1))
 
 
 def remainder(text: Column) -> Column:
     """What follows the last completed sentence."""
-    tail = F.regexp_extract(text, rf"(?:^|(?<=[{_ENDS}]))[^{_ENDS}]*+\z", 0)
-    return _stripped(F.when(text.rlike(f"[{_ENDS}]"), F.regexp_replace(tail, f"^{_CLOSING}", "")).otherwise(tail))
+    return F.btrim(F.regexp_extract(text, rf"(?s)\A(?:.*[{_ENDS}]{_CLOSING}+)?+(.*)\z", 1), F.lit(_BLANKS))
 
 
 def head_at(text: Column, n: int) -> Column:

@@ -1,6 +1,7 @@
 """Queries and operators over whole tables, against plain versions."""
 
 import re
+import time
 import unicodedata
 
 import duckdb
@@ -69,6 +70,16 @@ def test_completed_sentences_of_all_texts(spark, tmp_path):
     assert len(checked) and all(got[i] == (n, complete) for i, n, complete in checked)
 
 
+def test_completed_sentences_take_time_by_length(spark, tmp_path):
+    gap = " " * 150_000  # was tried from each of its blanks to its end
+    texts = [f"One{gap}two.{gap}x", f"{gap}One.”{gap}", f"No{gap}end", "。\U0001f600…\uffff？ \x00!"]
+    sf = saved(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r.doc_id: (r.n_sentences, r.complete) for r in registry.QUERIES["completed_sentences"](spark, sf).collect()}
+    assert time.monotonic() - begun < 15
+    assert got == {i: plain_sentences(t) for i, t in enumerate(texts)}
+
+
 def test_resampled_sound_rounds_halves_of_floats(spark, tmp_path):
     sound = [0.07629919797182083, -0.27649998664855957, 0.2782303988933563, -0.13032056391239166, 0.09449999779462814, -0.14749999344348907, 0.13349999487400055, -0.08010582625865936]
     sf = saved(spark, tmp_path, "embeddings", [(7, sound), (8, sound[:7]), (9, sound[::-1])], "vec_id long, embedding array<float>")
