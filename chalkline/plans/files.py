@@ -89,14 +89,16 @@ def built_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_name || ' ' || p_partkey) - 1 AS ord FROM part""",
 )
 def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicons of majors (a hundred parts each) exported sorted by pattern, one JSON a major, and read back; a broken file is skipped."""
+    """Lexicons of majors (a hundred parts each) exported sorted by pattern, one JSON a major and 200 to a file, and read back; a broken file is skipped."""
     key = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(
         F.concat(F.lit("m"), F.floor(key / 100).cast("string")).alias("major"), F.concat_ws(" ", "p_name", key.cast("string")).alias("pattern"),
         F.col("p_name").alias("canonical"), F.when(F.col("p_size") % 2 == 0, "TEXTBOOK").otherwise("GLOSSARY_TERM").alias("reason"),
     )
     path = _folder(spark, "lexicons")
-    files = writers.exported_lexicon(rows).select("value").unionByName(spark.createDataFrame([('{"major": "broken", "lexicon": [',)], "value string"))
+    bundle = F.floor(F.substring("major", 2, 20).cast("long") / 200)
+    arrays = writers.exported_lexicon(rows).groupBy(bundle.alias("b")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    files = arrays.select("value").unionByName(spark.createDataFrame([('{"major": "broken", "lexicon": [',)], "value string"))
     files.withColumn("file", F.xxhash64("value")).repartition("file").select("value", "file").write.partitionBy("file").text(path)
     patterns, _ = readers.lexicons(spark, f"{path}/*")
     return patterns.select("major", "pattern", "canonical", "reason", F.col("ord").cast("long").alias("ord"))
@@ -121,14 +123,11 @@ def glossary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, generate_subscripts(string_split(text, chr(12)), 1) AS page_no, sha256(unnest(string_split(text, chr(12)))) AS digest FROM p""",
 )
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as text files with form feeds between pages, read back as pages."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\f")
+    """Conversations as texts with form feeds between pages, many to a file, read back as pages."""
     path = _folder(spark, "pages")
-    c.groupBy("conv_id").agg(whole.alias("value")).repartition("conv_id").write.partitionBy("conv_id").option("lineSep", "\x00").text(path)
-    whole = spark.read.text(path, wholetext=True).select("conv_id", F.rtrim(F.col("value"), F.lit("\x00")).alias("value"))
-    pages = whole.select("conv_id", F.posexplode(F.split("value", "\f")).alias("p", "text"))
-    return pages.select(F.col("conv_id").cast("long").alias("conv_id"), (F.col("p") + 1).cast("long").alias("page_no"), F.sha2("text", 256).alias("digest"))
+    writers.write_page_texts(table(spark, sf_dir, "conversations").where("text is not null"), path, "conv_id", "turn", "text")
+    pages = readers.keyed_page_texts(spark, path)
+    return pages.select(F.col("key").cast("long").alias("conv_id"), F.col("page_no").cast("long").alias("page_no"), F.sha2("text", 256).alias("digest"))
 
 
 @query(

@@ -74,6 +74,14 @@ def page_texts(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("doc_id", F.posexplode(F.split("value", "\f")).alias("_p", "text")).select("doc_id", (F.col("_p") + 1).alias("page_no"), "text")
 
 
+def keyed_page_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(key, page_no, text) of ``write_page_texts``'s files; the key is a string."""
+    parts = F.split("value", "\f")
+    pages = spark.read.option("lineSep", "\x00").text(path).select(F.nullif(parts[0], F.lit("")).alias("key"), F.posexplode(F.slice(parts, 2, F.size(parts))).alias("_p", "text"))
+    text = F.replace(F.replace("text", F.lit("\x01a"), F.lit("\x00")), F.lit("\x01b"), F.lit("\x01"))
+    return pages.select("key", (F.col("_p") + 1).alias("page_no"), text.alias("text"))
+
+
 def vector_index(spark: SparkSession, path: str, course_id: str | None = None) -> DataFrame:
     """Index folders; one course's alone is a pruned partition."""
     rows = spark.read.parquet(path)

@@ -38,6 +38,14 @@ def append_lines(rows: DataFrame, path: str) -> None:
     json_lines(rows).write.mode("append").text(path)
 
 
+def write_page_texts(pages: DataFrame, path: str, key: str, order: str, text: str) -> None:
+    """Texts of each key, with form feeds between its pages, in one file a task: a zero byte ends a key's text, which begins with the key."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\f")
+    marked = F.replace(F.replace(whole, F.lit("\x01"), F.lit("\x01b")), F.lit("\x00"), F.lit("\x01a"))
+    value = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\f"), marked)
+    pages.groupBy(key).agg(value.alias("value")).select("value").write.option("lineSep", "\x00").text(path)
+
+
 def latest_status(status: DataFrame, key: str, at: str, now, seconds: int) -> DataFrame:
     """The newest status of each key that has not expired."""
     last = status.groupBy(key).agg(F.max_by(F.struct(*[c for c in status.columns if c != key]), at).alias("s")).select(key, "s.*")

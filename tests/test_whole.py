@@ -1,5 +1,6 @@
 """Queries and operators over whole tables, against plain versions."""
 
+import hashlib
 import re
 import time
 import unicodedata
@@ -9,6 +10,7 @@ import duckdb
 import chalkline.plans  # noqa: F401
 from chalkline import registry
 from chalkline.operators import lexicon
+from chalkline.plans import files
 from tests.compare import connection
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +92,36 @@ def test_resampled_sound_rounds_halves_of_floats(spark, tmp_path):
     assert sorted(tuple(r) for r in registry.QUERIES["resampled_sound"](spark, sf).collect()) == checked
 
 
+def files_below(path):
+    return [f for f in path.rglob("part-*") if f.is_file()]
+
+
+def test_page_files_are_few(spark, tmp_path, monkeypatch):
+    rows = [(k, turn, f"turn {turn} of {k}") for k in range(300) for turn in range(3)]
+    rows += [(900, 0, "a\x00b\x01a\x01\x01b\x00"), (900, 1, "\x00\x00"), (901, 0, ""), (902, 0, "one\ftwo\r\nthree\n"), (902, 1, "\f"), (903, 0, None), (None, 0, "no key")]
+    sf = saved(spark, tmp_path, "conversations", rows, "conv_id long, turn long, text string")
+    monkeypatch.setattr(files, "_folder", lambda spark, name: str(tmp_path / name))
+    plain = {}
+    for k, _, text in rows:
+        if text is not None:
+            plain.setdefault(k, []).append(text)
+    wanted = {(k, n, hashlib.sha256(p.encode()).hexdigest()) for k, texts in plain.items() for n, p in enumerate("\f".join(texts).split("\f"), 1)}
+    got = [tuple(r) for r in registry.QUERIES["page_files"](spark, sf).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted
+    assert len(files_below(tmp_path / "pages")) <= 8
+
+
+def test_lexicon_files_are_few(spark, tmp_path, monkeypatch):
+    rows = [(k, f"name {k % 7} \"x\"\n", k % 5) for k in range(0, 50_000, 20)]
+    sf = saved(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_size long")
+    monkeypatch.setattr(files, "_folder", lambda spark, name: str(tmp_path / name))
+    got = sorted(tuple(r) for r in registry.QUERIES["lexicon_files"](spark, sf).collect())
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{sf}/part.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.ORACLE_SQL["lexicon_files"]).fetchall())
+    assert len(files_below(tmp_path / "lexicons")) == 4
+
+
 def plain_rate(a, b):
     a, b = (re.sub("[\\s.,!?;:\"'“”‘’()\\[\\]{}·…~\\-—啊。！？、，]+", "", unicodedata.normalize("NFC", t).lower()) for t in (a, b))
     before = list(range(len(b) + 1))
