@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
+from chalkline.functions import text as texts_
 from chalkline.operators.automaton import contained
 from chalkline.operators.ordered import budget_prefix, first_wins
 
 #: A lexicon of at most so many patterns is sent to the tasks; a larger one is met by automata.
 BROADCAST_PATTERNS = 20_000
+#: Phrases that a task holds back at most; with more keys than these allow it hands on what it has.
+HELD_PHRASES = 200_000
 
 
 def matches(sentence: Column, pattern: Column, exclusions: Column | None = None) -> Column:
@@ -80,6 +86,70 @@ def phrase_list(phrases: DataFrame, keys: list[str], items: int = 500, chars: in
     return budget_prefix(once.select(*keys, "_first.*"), keys, ["priority", "ord"], "phrase", items, chars)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _first_of(words: Column, items: int) -> Column:
+    """The first ``items`` phrases among raw ones by place: (k, phrase, lower), each once."""
+
+    def placed(named: Column, lower: Column) -> Column:
+        row = lambda k, x: F.struct(k.cast("int").alias("k"), F.get(named, k.cast("int") - 1).alias("phrase"), x.alias("lower"))
+        return F.transform(F.slice(F.filter(F.array_distinct(lower), lambda x: x.isNotNull()), 1, items), lambda x: _once(F.array_position(lower, x), lambda k: row(k, x)))
+
+    return _once(F.transform(words, texts_.phrase), lambda named: _once(F.transform(named, F.lower), lambda lower: placed(named, lower)))
+
+
+def leading_phrases(texts: DataFrame, keys: list[str], ord: str, items: int = 500) -> DataFrame:
+    """(keys, priority, ord struct(ord, k), phrase): what of all phrases of texts can be on a list of ``items``.
+
+    ``texts``: (keys, priority, ord, text), with blanks between raw phrases. A phrase of the list has fewer than ``items``
+    others before its first place, so fewer in its text and in its task, too: each text gives its first ``items``
+    phrases, and a task keeps as many of each key. A list of these is the list of all phrases.
+    """
+    some = 3 * items  # a text's first words mostly have enough phrases; the others' are taken from all words
+    head = F.split("text", " ", some + 1)
+    own = _once(_first_of(F.slice(head, 1, some), items), lambda x: F.when((F.size(x) >= items) | (F.size(head) <= some), x).otherwise(_first_of(F.split("text", " "), items)))
+    rows = texts.where("text is not null").select(*keys, "priority", ord, own.alias("_own"))
+    at, types = len(keys), rows.schema
+    place = StructType([types[ord], StructField("k", types["_own"].dataType.elementType["k"].dataType)])
+    schema = StructType([*(types[k] for k in keys), types["priority"], StructField("ord", place), StructField("phrase", types["_own"].dataType.elementType["phrase"].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def kept(best: dict) -> pa.RecordBatch:
+        out = [(*key, p, {ord: o, "k": k}, phrase) for key, (found, _) in best.items() for ((_, p), (_, o), k, phrase) in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(arrow), arrow)], schema=arrow)
+
+    def reduce(batches):
+        best, held = {}, 0  # of each key: the places of its first phrases by lower case, and the last one when they are enough
+        for batch in batches:
+            *names, priorities, ords = (c.to_pylist() for c in batch.columns[: at + 2])
+            for i, (*key, p, o) in enumerate(zip(*names, priorities, ords)):
+                start = ((p is not None, p), (o is not None, o))
+                found, last = best.get(key := tuple(key), ({}, None))
+                if last and start > last[:2]:
+                    continue
+                for x in batch.column(at + 2)[i].as_py():
+                    row = (*start, x["k"], x["phrase"])
+                    if last and row > last:
+                        break
+                    if x["lower"] not in found or row < found[x["lower"]]:
+                        held += x["lower"] not in found
+                        found[x["lower"]] = row
+                        if len(found) > items:
+                            del found[max(found, key=found.get)]
+                            held -= 1
+                        last = max(found.values()) if len(found) == items else None
+                best[key] = found, last
+            if held > HELD_PHRASES:
+                yield kept(best)
+                best, held = {}, 0
+        yield kept(best)
+
+    return rows.mapInArrow(reduce, schema)
+
+
 def glossary_hits(sentences: DataFrame, terms: DataFrame, extra: Column | None = None) -> DataFrame:
     """(sentence_id, hits): glossary terms in a sentence in glossary order, then further ones, each once."""
     hit = sentences.join(F.broadcast(terms), F.contains("sentence", "term")) if terms.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else candidates(

@@ -120,8 +120,7 @@ SELECT lang, priority, doc_id, k, phrase FROM b WHERE i <= 50 AND used <= 400"""
 def phrase_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised phrases of each language, once each, by priority, within the budget."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    w = d.select("lang", "doc_id", F.posexplode(F.split("text", " ")).alias("k", "raw"))
-    p = w.select("lang", (F.col("doc_id") % 3).alias("priority"), F.struct("doc_id", (F.col("k") + 1).alias("k")).alias("ord"), text.phrase(F.col("raw")).alias("phrase"))
+    p = lexicon.leading_phrases(d.select("lang", (F.col("doc_id") % 3).alias("priority"), "doc_id", "text"), ["lang"], "doc_id", 50)
     return lexicon.phrase_list(p, ["lang"], 50, 400).select("lang", "priority", "ord.doc_id", "ord.k", "phrase")
 
 

@@ -1,6 +1,7 @@
 """Queries and operators over whole tables, against plain versions."""
 
 import hashlib
+import random
 import re
 import time
 import unicodedata
@@ -50,6 +51,20 @@ def test_phrase_list_reads_all_documents(spark, tmp_path):
     assert sorted(tuple(r) for r in registry.QUERIES["phrase_list"](spark, SF).collect()) == plain_phrases(found)
 
 
+def test_phrase_list_moves_few_phrases(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("Wort", "word", "\tx\n\ny", "İ", "ß", "ΑΣ", "a", "", "\U0001f600", "long" * 8) for b in ("", "A", "a", "1", "-2", "É", "é")]
+    docs = [(d, " ".join(rng.choices(words[: rng.choice((2, 9, 70))], k=rng.choice((0, 1, 3, 20, 200)))), rng.choice(("de", "en", "fr"))) for d in range(400, 100, -1)]
+    docs += [(9, "one two " * 300 + " ".join(f"late{k}" for k in range(90)), "it"), (3, "late7 LATE8 " * 90, "it"), (50, None, "en"), (0, "", "en")]
+    docs += [(6 + 3 * k, "Copy of it", "es") for k in range(200)] + [(1206 - 3 * k, f"own{k} copy", "es") for k in range(90)]
+    sf = saved(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
+    d = spark.read.parquet(f"{sf}/documents.parquet").repartition(3).selectExpr("lang", "doc_id % 3 AS priority", "doc_id", "text")
+    assert lexicon.leading_phrases(d, ["lang"], "doc_id", 50).count() <= 3 * 5 * 50
+    for most in (lexicon.HELD_PHRASES, 20):
+        monkeypatch.setattr(lexicon, "HELD_PHRASES", most)
+        assert sorted(tuple(r) for r in registry.QUERIES["phrase_list"](spark, sf).collect()) == plain_phrases(docs)
+
+
 END = re.compile("[.!?。！？…]+[\"'”’)\\]】」』]*\\s*")
 
 
